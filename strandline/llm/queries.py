@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, neardup, packing, quality, suffixes
+from . import language_model, mainpage, mixing, neardup, neighbours, packing, quality, suffixes, toxicity, urls
 from .ship import ship
 
 
@@ -21,10 +21,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_read(spark, sf_dir, "documents"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(_read(spark, sf_dir, "documents"))
 
@@ -37,19 +54,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": op1_urls,
+        "op2_main_text": op2_main_text,
         "op3_packing": op3_packing,
+        "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
         "op6_neardup": op6_neardup,
         "op7_language_model": op7_language_model,
         "op8_quality": op8_quality,
+        "op9_neighbours": op9_neighbours,
         "op10_suffixes": op10_suffixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_urls": urls.oracle(), "op5_mixing": mixing.oracle()}
