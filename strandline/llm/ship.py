@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: A Python worker holds a few batches at a time, whatever the length of the texts.
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once for each application."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

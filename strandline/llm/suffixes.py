@@ -45,7 +45,7 @@ LENGTH = 400
 GRAM = 100
 BAND = 76
 _RANK_BITS = np.uint64(0xFFFFFF)
-_FLUSH_BYTES = 8 << 20
+_FLUSH_BYTES = 2 << 20
 
 
 def chosen_grams(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
