@@ -10,12 +10,18 @@ from the start, so exact copies are never paired.
 * *Short lists* (at most ``SHORT`` classes) give all their pairs.
 * *Long lists* come from passages that many documents share and from large
   groups of near copies.  Their classes are listed again under all values of
-  the sketch that few of them share, which separates the former.  Classes made
-  mostly of common values are the latter: each round, the most central
-  undecided class of every list is compared with the whole list, and classes
-  it links are decided.  Comparisons grow with the list, not with its square.
-  Undecided rests are paired in full, and a class that lies between two groups
-  is compared with both lists, so no link between groups is lost.
+  the sketch that few of them share; a class with a share of rare values of
+  0.45 or more cannot have a link without one of these.  The others, made
+  mostly of common shingles, are taken exactly: the shingles of their whole
+  sets are ordered from rare to common, and a set is listed under its first
+  ``n - ceil(0.85 n) + 1`` only, one of which any link must share.  Copies with
+  many edits are thereby listed under their own edits, not under the common
+  text.
+* *Hubs.*  Lists that stay long hold near copies with few edits.  Each round,
+  the class with the fewest rare shingles of every list is compared with the
+  whole list, and classes it links are decided.  Undecided rests are paired in
+  full after ``ROUNDS``, and a class between two groups is compared with its
+  lists as well, so no link between groups is lost.
 * *Union-sketch estimation* drops pairs that cannot reach the threshold (a
   shared part of the union's smallest values below ``ESTIMATE``; for Jaccard
   0.85 that is over seven standard deviations off).
@@ -46,9 +52,8 @@ KEYS = 16
 SHORT = 24
 ESTIMATE = 0.55
 BETWEEN = 0.70
-CORE = 0.25
-FRINGE = 0.45
-ROUNDS = 8
+CROWDED = 0.60
+ROUNDS = 3
 PIVOTS = 16
 
 
@@ -196,26 +201,31 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of every pivot (v, p, pn) with all of its list."""
-    met = members.join(pivots, "v").where((F.col("c") != F.col("p")) & _close(F.col("n"), F.col("pn")))
+    """Pairs of every pivot (v, p, pn, ppos) with all of its list that can still reach the threshold.
+
+    If v is the first shingle that two ordered sets share, their overlap is at
+    most what follows it in either.
+    """
+    enough = 185 * F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) >= 85 * (F.col("n") + F.col("pn"))
+    met = members.join(pivots, "v").where((F.col("c") != F.col("p")) & _close(F.col("n"), F.col("pn")) & enough)
     return met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
 
 
 def _long_lists(members: DataFrame, reps: DataFrame, sets: DataFrame) -> list[DataFrame]:
-    """Measured pairs of the long lists (v, c, n, common, core), by rounds of central classes."""
+    """Measured pairs of the long lists (v, c, n, rare, pos), by rounds of central classes."""
     found: list[DataFrame] = []
-    undone = save(members.where("core").select("v", "c", "n", "common"), "undone")
+    undone = members.select("v", "c", "n", "rare", "pos")
     pivoted: list[DataFrame] = []
     turn = 0
     while not undone.isEmpty():
         if turn >= ROUNDS:
-            pivots = undone.select("v", F.col("c").alias("p"), F.col("n").alias("pn"))
+            pivots = undone.select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"))
         elif turn == 0:
-            pivots = undone.groupBy("v").agg(F.max_by(F.struct("c", "n"), F.struct("common", -F.col("c"))).alias("x")).select("v", F.col("x.c").alias("p"), F.col("x.n").alias("pn"))
+            pivots = undone.groupBy("v").agg(F.min_by(F.struct("c", "n", "pos"), F.struct("rare", "c")).alias("x")).select("v", F.col("x.c").alias("p"), F.col("x.n").alias("pn"), F.col("x.pos").alias("ppos"))
         else:
             size = undone.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least"))
             chosen = F.expr(f"c = least or pmod(xxhash64(c, {turn}), greatest(1, size div {PIVOTS})) = 0")
-            pivots = undone.join(size, "v").where(chosen).select("v", F.col("c").alias("p"), F.col("n").alias("pn"))
+            pivots = undone.join(size, "v").where(chosen).select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"))
         pivots = save(pivots, "pivots")
         pivoted.append(pivots)
         measured = save(_measured(_likely(_star(members, pivots), reps), sets), "measured")
@@ -243,7 +253,7 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets: DataFrame) -> list[Da
         tried = pivoted[0]
         for p in pivoted[1:]:
             tried = tried.union(p)
-        more = save(members.join(ends, "c").select("v", F.col("c").alias("p"), F.col("n").alias("pn")).join(tried.select("v", "p"), ["v", "p"], "left_anti"), "pivots")
+        more = save(members.join(ends, "c").select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos")).join(tried.select("v", "p"), ["v", "p"], "left_anti"), "pivots")
         if more.isEmpty():
             break
         pivoted.append(more)
@@ -251,6 +261,28 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets: DataFrame) -> list[Da
     return found
 
 
+def _crowd_pairs(reps: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Measured pairs of classes made mostly of common shingles, by their rarest shingles."""
+
+    def run(batches):
+        for batch in batches:
+            blobs = batch.column(1)
+            size = np.array([len(x.as_buffer()) // 8 for x in blobs], dtype=np.int64)
+            items = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in blobs]) if len(size) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(items)], ["c", "v"])
+
+    items = sets.select("c", "items").mapInArrow(run, "c long, v long")
+    counted = items.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    order = items.join(counted, "v").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("o"))
+    first = order.select("c", F.size("o").cast("long").alias("n"), F.size(F.filter("o", lambda x: x["df"] <= SHORT)).alias("rare"), F.expr("slice(o, 1, size(o) - cast(ceil(size(o) * 85 / 100) as int) + 1)").alias("o"))
+    listed = first.select("c", "n", "rare", F.posexplode("o").alias("pos", "x")).where("x.df > 1").select(F.col("x.v").alias("v"), "c", "n", "rare", F.col("pos").cast("long").alias("pos"))
+    listed = save(listed, "prefixes")
+    lists = save(listed.join(listed.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "v"), "prefixes")
+    pairs = _list_pairs(lists.where(F.col("size") <= SHORT))
+    found = [save(_measured(_likely(pairs, reps), sets), "measured")]
+    return found + _long_lists(lists.where(F.col("size") > SHORT).drop("size"), reps, sets)
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """rid, doc_id, th, n and root (a name for the group) of every document."""
     rows = save(sketches(documents), "sketches")
@@ -270,15 +302,15 @@ def groups(documents: DataFrame) -> DataFrame:
         spread = save(every.join(every.groupBy("v").agg(F.count(F.lit(1)).alias("size")), "v"), "values")
         pairs = pairs.union(_list_pairs(spread.where(f"size between 2 and {SHORT}"))).distinct()
         rare = spread.groupBy("c", "held").agg(F.count_if(F.col("size") <= SHORT).alias("rare"))
-        crowd = save(long.select("v", "c", "n").join(rare.where(F.col("rare") < FRINGE * F.col("held")), "c").select("v", "c", "n", (F.col("held") - F.col("rare")).alias("common"), (F.col("rare") < CORE * F.col("held")).alias("core")), "crowd")
+        crowd = save(rare.where(F.col("rare") < CROWDED * F.col("held")).select("c"), "crowd")
     likely = save(_likely(pairs, reps), "likely")
     wanted = likely.select(F.col("a").alias("c")).union(likely.select(F.col("b").alias("c")))
     if busy:
-        wanted = wanted.union(crowd.select("c"))
+        wanted = wanted.union(crowd)
     sets = save(_sets(documents, reps.select("c", "th").join(wanted.distinct(), "c", "left_semi")), "sets")
     found = [save(_measured(likely, sets), "measured")]
     if busy:
-        found += _long_lists(crowd, reps, sets)
+        found += _crowd_pairs(save(reps.select("c", "n", "sketch").join(crowd, "c"), "crowd"), save(sets.join(crowd, "c"), "crowd"))
     links = found[0].where("linked").select("a", "b")
     for m in found[1:]:
         links = links.union(m.where("linked").select("a", "b"))
