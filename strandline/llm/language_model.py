@@ -21,6 +21,7 @@ result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +46,7 @@ class Model:
 
     folder: str
     order: int
-    buckets: int
+    buckets: tuple[int, ...]  # by order, from 1
     tokens: int
     words: int
     discounts: tuple[tuple[float, float, float], ...]  # by order, from 1
@@ -140,7 +141,7 @@ def _counted(texts: DataFrame, order: int, buckets: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, _SENT)
 
 
-def _reduced(sent: DataFrame, order: int, buckets: int, folder: str) -> DataFrame:
+def _reduced(sent: DataFrame, order: int, lower_buckets: int, folder: str) -> DataFrame:
     """Store one order's arrays; return next lower order's n-grams, and at b = -1 the counts of counts."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -169,7 +170,7 @@ def _reduced(sent: DataFrame, order: int, buckets: int, folder: str) -> DataFram
             put(folder, f"{order}-{bucket}.context", context[first])
             put(folder, f"{order}-{bucket}.sums", np.stack([np.add.reduceat(x, first) for x in (c, c == 1, c == 2, c >= 3)]).astype(np.int64))
             lower, (left, total) = combined(columns[1:], np.ones(len(seen), dtype=np.int64), raw)
-            _emit(lower, [left, total], buckets, rows)
+            _emit(lower, [left, total], lower_buckets, rows)
         return pa.Table.from_batches([_sent(rows)])
 
     return sent.groupBy("b").applyInArrow(run, _SENT)
@@ -189,17 +190,19 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     if order < 2:
         raise ValueError("order must be at least 2")
     spark = texts.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)
+    # each bucket sends to every bucket of the next order, so lower orders have far fewer
+    counts = [4 * math.isqrt(buckets)] * (order - 1) + [buckets]
     folder = fresh_path(spark, "ngrams")
     sent = _counted(texts, order, buckets)
     found: dict[int, np.ndarray] = {}
     for level in range(order, 0, -1):
-        done = save(_reduced(sent, level, buckets, folder), f"ngrams-{level}")
+        done = save(_reduced(sent, level, counts[max(level - 2, 0)], folder), f"ngrams-{level}")
         rows = [np.frombuffer(r.grams, dtype=np.int64) for r in done.where("b = -1").select("grams").collect()]  # one for each bucket
         found[level] = np.sum(rows, axis=0) if rows else np.zeros(8, dtype=np.int64)
         sent = done.where("b >= 0")
     lowest = [int(x) for x in found[1]]
-    return Model(folder, order, buckets, lowest[6], lowest[7], tuple(discounts(*map(int, found[k][:4])) for k in range(1, order + 1)), lowest[5], (lowest[0], lowest[1], lowest[4]))
+    return Model(folder, order, tuple(counts), lowest[6], lowest[7], tuple(discounts(*map(int, found[k][:4])) for k in range(1, order + 1)), lowest[5], (lowest[0], lowest[1], lowest[4]))
 
 
 _OPEN: dict[str, tuple] = {}
@@ -224,7 +227,7 @@ class Reader:
         """For each key its values, zero where it is not held."""
         out = [np.zeros((width, len(key)), dtype=np.int64) for _, _, width in values]
         order = np.lexsort((key, bucket))
-        cuts = np.searchsorted(bucket[order], np.arange(self.model.buckets + 1))
+        cuts = np.searchsorted(bucket[order], np.arange(self.model.buckets[self.level - 1] + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[b] : cuts[b + 1]]
             held = self.array(int(b), keys, "<u8")
@@ -250,7 +253,7 @@ def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray,
         _OPEN[model.folder] = tuple(Reader(model, k) for k in range(1, model.order + 1))
     readers = _OPEN[model.folder]
     word = columns[-1]
-    seen, raw = (x[0] for x in readers[0].find(word, bucket_of(extend(np.zeros(len(word), np.uint64), word), model.buckets), "key", ("seen", "<i8", 1), ("raw", "<i8", 1)))
+    seen, raw = (x[0] for x in readers[0].find(word, bucket_of(extend(np.zeros(len(word), np.uint64), word), model.buckets[0]), "key", ("seen", "<i8", 1), ("raw", "<i8", 1)))
     d = model.discounts[0]
     uniform = 1.0 / (model.words + 1)
     if model.left_total:
@@ -260,7 +263,7 @@ def probabilities(model: Model, columns: list[np.ndarray]) -> tuple[np.ndarray,
         p = np.full(len(word), uniform)
     for level in range(2, model.order + 1):
         context = context_keys(columns[-level:-1])
-        bucket = bucket_of(context, model.buckets)
+        bucket = bucket_of(context, model.buckets[level - 1])
         count = readers[level - 1].find(extend(context, word), bucket, "key", ("seen", "<u4", 1))[0][0]
         total, one, two, more = readers[level - 1].find(context, bucket, "context", ("sums", "<i8", 4))[0]
         d = model.discounts[level - 1]
