@@ -21,10 +21,10 @@ first.  An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 2
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
 _CACHE_CHARS = 48
+_LETTERS = "[a-zß-öø-ÿ]+"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -47,55 +48,51 @@ class Limits:
     window: int = 256
 
 
-class WordEncoder:
-    """ids of whole texts, with a cache of encoded words.
+class WordEncoder(dict):
+    """ids of whole texts; a dict of encoded words in two generations, which bounds its memory.
 
     The tokenizer of ``word_bpe_49k.json`` never lets a token or a normalised
     character cross white space, so a text's ids are those of its runs between
     blanks and line feeds, one after the other; letters before a full stop or
     comma are a token run of their own, and A-Z count as a-z.  Runs are encoded
-    by the tokenizer once and remembered as little-endian 32-bit ids.
+    once and remembered as little-endian 32-bit ids.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.split = re.compile("[a-zß-öø-ÿ]+(?=[.,])|[^ \n]+").findall
-
-    def learn(self, words: list[str]) -> None:
-        """Add words to the cache: from the older generation, else from the tokenizer."""
-        if len(self.known) > _CACHE_WORDS:
-            self.older, self.known = self.known, {}
-        older, fresh = self.older, []
-        for w in words:
-            if w in older:
-                self.known[w] = older[w]
+        self.split = re.compile(f"{_LETTERS}(?=[.,])|[^ \n]+").findall
+        self.plain = re.compile(_LETTERS).fullmatch
+        # how the byte-level step writes the letters of plain words
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(ord("ß"), ord("ÿ") + 1)) if self.plain(c)}
+        self.merge = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if self.plain(word):  # one run of lower-case letters: the merges alone are left to do
+                ids = pack_ids([t.id for t in self.merge(word if word.isascii() else word.translate(self.written))])
             else:
-                fresh.append(w)
-        if fresh:
-            encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(fresh))
-            every = np.fromiter(chain.from_iterable(e.ids for e in encoded), dtype="<u4", count=int(lengths.sum())).tobytes()
-            ends = (4 * np.cumsum(lengths)).tolist()
-            self.known.update(zip(fresh, (every[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                ids = pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(word) <= _CACHE_CHARS:
+            if len(self) >= _CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        words = self.split(text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
-        missing = set(words).difference(self.known)
-        if missing:
-            long = {w for w in missing if len(w) > _CACHE_CHARS}
-            known = self.known
-            self.learn(sorted(missing - long))
-            if known is not self.known:  # a new generation has begun
-                self.learn(sorted(set(words).difference(self.known, long)))
-            if long:
-                once = {w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in long}
-                return b"".join([once[w] if w in once else self.known[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
+        low = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+        return b"".join(map(self.__getitem__, self.split(low)))
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
