@@ -43,7 +43,7 @@ from .store import save, shuffle_partitions
 
 LENGTH = 400
 GRAM = 100
-BAND = 76
+BAND = 152
 _RANK_BITS = np.uint64(0xFFFFFF)
 _FLUSH_BYTES = 2 << 20
 
