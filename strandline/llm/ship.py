@@ -1,31 +1,16 @@
-"""Put this package on the executors' import path, where it isn't installed there."""
+"""What the operators of this subpackage need of a session."""
 
 from __future__ import annotations
 
-import io
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
-_SHIPPED: set[str] = set()
+from ..ship import ship as _ship
+
 #: A Python worker holds a few batches at a time, whatever the length of the texts.
 BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package to the executors and bound the size of Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    store = io.BytesIO()
-    with zipfile.ZipFile(store, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, str(source.relative_to(root.parent)))
-    target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"
-    target.write_bytes(store.getvalue())
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+    _ship(spark)
