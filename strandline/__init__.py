@@ -1,0 +1 @@
+"""Web-graph analytics and search on Spark DataFrames."""

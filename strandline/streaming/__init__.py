@@ -1,0 +1 @@
+"""Streaming forms of the periodic passes."""

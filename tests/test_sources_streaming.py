@@ -1,0 +1,60 @@
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.errors import StrandlineError
+from strandline.functions import ids
+from strandline.schemas import LINK
+from strandline.sources.stores import GRAPH_TABLES, JdbcStore, open_graph, open_index
+from strandline.streaming.crawl_stream import GraphTables, crawl_stream
+
+
+@pytest.mark.parametrize("scheme", ["in-memory:", "parquet:"])
+def test_store_round_trip(spark, tmp_path, scheme):
+    store = open_graph(spark, scheme + (str(tmp_path) if scheme == "parquet:" else ""))
+    assert store.read("links").count() == 0
+    for n in (3, 5):
+        rows = spark.range(n).selectExpr("uuid() as id", "cast(id as string) as url", "timestamp'2020-01-01' as retrieved_at").select("id", "url", "retrieved_at")
+        store.write("links", rows)
+        assert store.read("links").count() == n
+    assert store.read("links").schema.fieldNames() == LINK.fieldNames()
+    with pytest.raises(StrandlineError):
+        store.read("documents")
+
+
+def test_store_schemes(spark):
+    assert open_index(spark, "in-memory:").read("documents").count() == 0
+    with pytest.raises(StrandlineError, match="unsupported"):
+        open_graph(spark, "ftp://x")
+    ranges = JdbcStore(spark, GRAPH_TABLES, "postgresql://db/x", partitions=4).predicates("edges")
+    assert len(ranges) == 4 and ranges[0].startswith("src >= '00000000") and "<" not in ranges[-1]
+
+
+def test_crawl_stream(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("pages", "graph", "state"))
+
+    def arrive(n, html):
+        spark.createDataFrame([(n, f"http://site{n}.com/", html)], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(source)
+
+    def edges():
+        tables = GraphTables(spark, target)
+        links, found = tables.read(1000)
+        names = {r.id: r.url for r in links.collect()}
+        return {(names[r.src], names[r.dst]) for r in found.collect()}
+
+    def go():
+        query = crawl_stream(spark, source, target, checkpoint, interval=None)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    arrive(1, '<a href="/a">x</a><a href="/b">y</a>')
+    arrive(2, '<a href="http://site1.com/a">x</a>')
+    go()
+    assert edges() == {("http://site1.com/", "http://site1.com/a"), ("http://site1.com/", "http://site1.com/b"), ("http://site2.com/", "http://site1.com/a")}
+    arrive(1, '<a href="/c">x</a>')
+    go()
+    assert edges() == {("http://site1.com/", "http://site1.com/c"), ("http://site2.com/", "http://site1.com/a")}
+
+
+def test_ids(spark):
+    row = spark.createDataFrame([(bytes(range(16)),)], "b binary").select(ids.uuid_from_bytes(F.col("b"))).first()
+    assert row[0] == "00010203-0405-0607-0809-0a0b0c0d0e0f"
