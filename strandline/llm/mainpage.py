@@ -28,6 +28,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
         for batch in batches:
             inside, outside = Counter(), Counter()
             for source in batch["html"]:
-                for element, text, _ in Page(source).blocks:
+                for element, text, _ in Page(source or "").blocks:
                     words = text.count(" ") + 1
                     (inside if element.inside else outside).update(dict.fromkeys(["*", *features_of(element)], words))
             names = list(inside.keys() | outside.keys())
@@ -271,7 +272,8 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     def run(batches):
         scorer = Scorer(weights)
         for batch in batches:
-            text = ["\n".join(main_blocks(source, scorer)) for source in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+            text = ["\n".join(main_blocks(source, scorer)) for source in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

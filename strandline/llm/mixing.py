@@ -96,12 +96,12 @@ def schedule(documents: DataFrame, shares: DataFrame | None = None, block_chars:
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """``documents``, every row once, in the order of the schedule: written out, its files follow the slots."""
-    plan = schedule(documents, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("chars").alias("_chars"), "slot")
-    plan = plan.groupBy("_id", "_source", "_chars").agg(F.min("slot").alias("_slot"))
+    plan = schedule(documents, **options).select(F.col("doc_id").alias("_sl_id"), F.col("source").alias("_sl_source"), F.col("chars").alias("_sl_chars"), "slot")
+    plan = plan.groupBy("_sl_id", "_sl_source", "_sl_chars").agg(F.min("slot").alias("_sl_slot"))
     chars = F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    placed = documents.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (chars == F.col("_chars")), "left")
-    spread = placed.repartitionByRange(F.col("_slot"), F.col("_id"))
-    return spread.sortWithinPartitions("_slot", "_id").select(*[F.col(f"`{c}`") for c in documents.columns])
+    placed = documents.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_sl_id")) & F.col("source").cast("string").eqNullSafe(F.col("_sl_source")) & (chars == F.col("_sl_chars")), "left")
+    spread = placed.repartitionByRange(F.col("_sl_slot"), F.col("_sl_id"))
+    return spread.sortWithinPartitions("_sl_slot", "_sl_id").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def oracle(table: str = "documents") -> str:

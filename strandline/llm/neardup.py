@@ -328,13 +328,13 @@ def report(documents: DataFrame) -> DataFrame:
 def distinct_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each group: the least doc_id's, and of repeated rows one."""
     grouped = save(groups(documents), "groups")
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "th")).alias("x")).select(F.col("x.doc_id").alias("_doc"), F.col("x.th").alias("_th"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "th")).alias("x")).select(F.col("x.doc_id").alias("_sl_doc"), F.col("x.th").alias("_sl_th"))
     keep = best.distinct()
-    kept = documents.join(keep, documents["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (text_hash() == F.col("_th")), "left_semi")
-    repeated = grouped.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    kept = documents.join(keep, documents["doc_id"].cast("long").eqNullSafe(F.col("_sl_doc")) & (text_hash() == F.col("_sl_th")), "left_semi")
+    repeated = grouped.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_sl_doc"), F.col("th").alias("_sl_th"))
     if repeated.isEmpty():
         return kept
-    match = documents["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (text_hash() == F.col("_th"))
+    match = documents["doc_id"].cast("long").eqNullSafe(F.col("_sl_doc")) & (text_hash() == F.col("_sl_th"))
     once = kept.join(repeated, match, "left_anti")
-    extra = kept.join(repeated, match, "left_semi").withColumn("_key", text_hash()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    extra = kept.join(repeated, match, "left_semi").withColumn("_sl_key", text_hash()).dropDuplicates(["doc_id", "_sl_key"]).drop("_sl_key")
     return once.unionByName(extra)
