@@ -490,7 +490,14 @@ def query_type(spark, d):
     return table(spark, d, "documents").select("doc_id", search.query_type(q).alias("kind"))
 
 
-@query()
+SENTENCES = r"""chars AS (SELECT doc_id, text, string_split(text, '') AS c FROM documents),
+cuts AS (SELECT doc_id, text, len(c) AS n, list_filter(range(2, len(c) - 1), lambda i: c[i] IN ('.', '!', '?') AND (
+    (regexp_matches(c[i - 1], '[\p{Ll}\p{N}\s\x0B\x{85}\p{Z}\p{S}]') AND regexp_matches(c[i + 1], '[\p{P}\s\x0B\p{Z}\p{N}\p{Lu}]')) OR regexp_matches(c[i - 1], '\p{S}'))) AS ends FROM chars),
+pieces AS (SELECT doc_id, text, unnest([0] || ends) AS lo, unnest(ends || [n]) AS hi, generate_subscripts([0] || ends, 1) - 1 AS ordinal FROM cuts),
+sentences AS (SELECT doc_id, ordinal::INT AS ordinal, substr(text, lo + 1, hi - lo) AS sentence FROM pieces WHERE hi > lo)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, ordinal, sentence FROM sentences")
 def split_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("ordinal", "sentence"))
 
@@ -503,7 +510,15 @@ def match_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(X.match_ratio(F.col("text"), ["The", "QUE"]).cast("double"), 6).alias("ratio"))
 
 
-@query()
+@query(
+    rf"""WITH {SENTENCES}, split_up AS (SELECT *, list_filter(regexp_split_to_array(sentence, '[\s\x0B\x{{85}}\p{{Z}}]+'), lambda w: w <> '') AS ws FROM sentences),
+    rated AS (SELECT *, (len(list_filter(ws, lambda w: lower(w) IN ('the', 'que', 'der')))::DOUBLE / greatest(len(ws), 1))::FLOAT AS ratio FROM split_up),
+    sized AS (SELECT *, coalesce(sum(strlen(sentence)) OVER (PARTITION BY doc_id ORDER BY ratio DESC, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM rated WHERE ratio > 0),
+    chosen AS (SELECT doc_id, ordinal, CASE WHEN strlen(sentence) > 256 - before THEN left(sentence, 256 - before) || '...' ELSE sentence END AS part FROM sized WHERE before < 256),
+    marked AS (SELECT doc_id, ordinal, CASE WHEN ordinal - lag(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) <> 1 THEN '..' ELSE '' END || part || CASE WHEN ends_with(part, '.') THEN '' ELSE '.' END AS part FROM chosen)
+    SELECT doc_id, coalesce(regexp_replace(joined, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g'), '') AS summary
+    FROM documents LEFT JOIN (SELECT doc_id, string_agg(part, '' ORDER BY ordinal) AS joined FROM marked GROUP BY doc_id) USING (doc_id)"""
+)
 def match_summary(spark, d):
     return table(spark, d, "documents").select("doc_id", X.match_summary(F.col("text"), ["the", "que", "der"]).alias("summary"))
 
@@ -615,16 +630,17 @@ def rank_then_index(spark, d):
     return index.update_scores(documents_of(spark, d).drop("doc_id"), scores).select("link_id", "url", F.round("pagerank", 9).alias("pagerank"))
 
 
-PATH_DEPTH = 12
+PATH_DEPTH = 20
 
 
 @query(
     f"""WITH RECURSIVE {GRAPH}, reach(id, cost, depth) AS (SELECT id, 0::BIGINT, 0 FROM vertices WHERE id = 's1' UNION
       SELECT dst, min(reach.cost + edges.cost)::BIGINT, depth + 1 FROM reach JOIN edges ON src = id WHERE depth < {PATH_DEPTH} GROUP BY dst, depth)
-    SELECT v.id, min(reach.cost)::BIGINT AS cost FROM vertices v LEFT JOIN reach ON v.id = reach.id GROUP BY v.id"""
+    , best AS MATERIALIZED (SELECT v.id, min(reach.cost)::BIGINT AS cost FROM vertices v LEFT JOIN reach ON v.id = reach.id GROUP BY v.id)
+    SELECT b.id, b.cost, min(e.src) FILTER (b.id <> 's1') AS prev FROM best b LEFT JOIN (edges e JOIN best s ON s.id = e.src) ON e.dst = b.id AND s.cost + e.cost = b.cost GROUP BY b.id, b.cost"""
 )
 def shortest_paths(spark, d):
-    return SP.shortest_paths(*graph_of(spark, d), "s1", max_steps=PATH_DEPTH).select("id", "cost")
+    return SP.shortest_paths(*graph_of(spark, d), "s1", max_steps=PATH_DEPTH).select("id", "cost", "prev")
 
 
 @query()
