@@ -32,7 +32,8 @@ feed a score; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .store import save
 
 MAX_LABELLED = 40_000
 MAX_WORDS = 50_000
@@ -48,6 +50,7 @@ NEUTRAL = 0.10
 KEEP_RATIO = 3.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
+MOST_EVIDENCE = 30.0
 PREFIXES = (4, 5)
 
 #: bytes that end a word: ASCII other than letters and digits
@@ -57,24 +60,30 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _BREAK[_a:_b] = False
 
 
+_MASK = (1 << 18) - 1
+
+
 @dataclass(frozen=True)
 class Model:
     names: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # ascending hashes of words and prefixes
     scores: np.ndarray = field(default_factory=lambda: np.empty(0))
+    mask: np.ndarray = field(default_factory=lambda: np.zeros(_MASK + 1, dtype=bool))  # low bits of the names
     decay: float = 1.0  # lambda
     scale: float = 1.0  # K
-    intercept: float = -1e9
+    intercept: float = -math.inf
     slope: float = 0.0
 
-    def word_scores(self, features: list[np.ndarray]) -> np.ndarray:
-        """Scores of words from their (word, longer prefix, shorter prefix): the first that is known; zero for none."""
-        out = np.zeros(len(features[0]))
+    def word_scores(self, words: Words) -> np.ndarray:
+        """Scores of words: the word's own, else its longer prefix's, else its shorter one's; zero for none."""
+        out = np.zeros(len(words.starts))
         if len(self.names) == 0:
             return out
-        # a word can only be known if its shortest prefix is
-        todo = np.flatnonzero(self._known(features[-1])[1])
-        for f in features:
-            place, known = self._known(f[todo])
+        # a word can only be known if its shortest prefix is, and few are
+        last = words.feature(len(PREFIXES))
+        todo = np.flatnonzero(self.mask[last & np.uint64(_MASK)])
+        todo = todo[self._known(last[todo])[1]]
+        for level in range(len(PREFIXES) + 1):
+            place, known = self._known(words.feature(level, todo))
             out[todo[known]] = self.scores[place[known]]
             todo = todo[~known]
         return out
@@ -88,18 +97,24 @@ class Model:
         return -math.expm1(-self.scale * words * math.exp(-self.decay * score))
 
     def probability(self, evidence: float) -> float:
+        if self.intercept == -math.inf:
+            return 0.0
         return 1.0 / (1.0 + math.exp(min(700.0, max(-700.0, -(self.intercept + self.slope * evidence)))))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """starts, ends, bounds of the words (letters and digits, A-Z lower-cased), and hashes of word and prefixes."""
-    low = tk.LOWER[data]
-    spaced = np.where(_BREAK[low], np.uint8(32), low)
-    starts, ends, bounds = tk.word_spans(spaced, offsets)
-    hasher = tk.Hasher(low)
-    # marked by level: a prefix that is also a word is another feature
-    features = [tk.mix(hasher.spans(starts, np.minimum(ends, starts + p)) + np.uint64(k)) for k, p in enumerate((1 << 40, *sorted(PREFIXES, reverse=True)))]
-    return starts, ends, bounds, features
+class Words:
+    """Words of one chunk (letters and digits, A-Z lower-cased) and the hashes of themselves and their prefixes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        low = tk.LOWER[data]
+        self.starts, self.ends, self.bounds = tk.word_spans(np.where(_BREAK[low], np.uint8(32), low), offsets)
+        self.hasher = tk.Hasher(low)
+
+    def feature(self, level: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the words (0), their longer (1) or shorter prefix (2); marked by level, as a prefix may be a word too."""
+        starts, ends = (self.starts, self.ends) if at is None else (self.starts[at], self.ends[at])
+        length = (1 << 40, *sorted(PREFIXES, reverse=True))[level]
+        return tk.mix(self.hasher.spans(starts, np.minimum(ends, starts + length)) + np.uint64(length))
 
 
 def maximal_segments(scores: list[float], gaps: list[int], neutral: float = NEUTRAL) -> list[tuple[int, int, float]]:
@@ -132,18 +147,19 @@ def maximal_segments(scores: list[float], gaps: list[int], neutral: float = NEUT
 
 def _scan(model: Model, data: np.ndarray, offsets: np.ndarray):
     """For each text: index, words, the indexes of its scored words, and its maximal segments over them."""
-    starts, ends, bounds, features = words_of(data, offsets)
-    score = model.word_scores(features)
+    found = Words(data, offsets)
+    starts, ends, bounds = found.starts, found.ends, found.bounds
+    score = model.word_scores(found)
     hit = np.flatnonzero(score)
     cuts = np.searchsorted(hit, bounds)
     for t in range(len(offsets) - 1):
         at = hit[cuts[t] : cuts[t + 1]]
         words = int(bounds[t + 1] - bounds[t])
         if len(at) == 0:
-            yield t, words, at, [], starts, ends
+            yield t, words, at, score[at], [], starts, ends
             continue
         gaps = np.diff(at, prepend=bounds[t] - 1) - 1
-        yield t, words, at, maximal_segments(score[at].tolist(), gaps.tolist()), starts, ends
+        yield t, words, at, score[at], maximal_segments(score[at].tolist(), gaps.tolist()), starts, ends
 
 
 def evidence(model: Model, words: int, segments: list[tuple[int, int, float]]) -> float:
@@ -176,8 +192,9 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = np.asarray(batch.column(0))
             for lo, _, data, offsets in tk.chunks(batch.column(1)):
-                _, _, bounds, features = words_of(data, offsets)
-                text = tk.owners(bounds)
+                found = Words(data, offsets)
+                features = [found.feature(k) for k in range(len(PREFIXES) + 1)]
+                text = tk.owners(found.bounds)
                 order = np.lexsort((text, features[0]))
                 name, text = features[0][order], text[order]
                 new = np.ones(len(order), dtype=bool)
@@ -217,31 +234,53 @@ def _ratios(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.n
     return names[order], np.where(value == 0, -1e-9, value)
 
 
-def _observed(sample: DataFrame, model: Model) -> list[tuple[int, int, list[float], list[float]]]:
-    """toxic, words, word scores, segment scores of each training document; as many rows as the sample has."""
+def _histogram(sample: DataFrame, measure) -> dict[tuple[str, int, int], int]:
+    """Counts of (kind, toxic, level) over the sample; ``measure`` gives the (kind, level, count) of one document."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            held: Counter = Counter()
             for lo, _, data, offsets in tk.chunks(batch.column(1)):
-                _, _, _, features = words_of(data, offsets)
-                score = model.word_scores(features)
-                for t, words, at, segments, _, _ in _scan(model, data, offsets):
-                    rows.append((batch.column(0)[lo + t].as_py(), words, score[at].tolist(), [s for _, _, s in segments]))
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                for t, toxic, kinds in measure(data, offsets, batch.column(0)[lo : lo + len(offsets) - 1].to_pylist()):
+                    for kind, level, n in kinds:
+                        held[kind, toxic, level] += n
+            rows = [(*k, n) for k, n in held.items()]
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "words", "scores", "segments"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["kind", "toxic", "level", "n"])
+
+    counted = sample.mapInArrow(run, "kind string, toxic int, level long, n long").groupBy("kind", "toxic", "level").agg(F.sum("n").alias("n"))
+    return {(r.kind, r.toxic, r.level): r.n for r in counted.collect()}  # scores in hundredths, at most some thousands of rows
+
 
-    return [tuple(r) for r in sample.mapInArrow(run, "toxic int, words long, scores array<double>, segments array<double>").collect()]
+def _levels(model: Model):
+    """Of each document: its words, word scores and segment scores, in hundredths."""
 
+    def measure(data, offsets, labels):
+        for t, words, _, scores, segments, _, _ in _scan(model, data, offsets):
+            at, n = np.unique(np.rint(scores * 100).astype(np.int64), return_counts=True)
+            yield t, labels[t], [("words", 0, words), *(("score", a, b) for a, b in zip(at.tolist(), n.tolist(), strict=True)), *(("segment", round(s * 100), 1) for _, _, s in segments)]
 
-def _decay(scores: np.ndarray, neutral: int) -> float:
+    return measure
+
+
+def _evidence_levels(model: Model):
+    """Of each document: its evidence in tenths."""
+
+    def measure(data, offsets, labels):
+        for t, words, _, _, segments, _, _ in _scan(model, data, offsets):
+            yield t, labels[t], [("evidence", round(min(evidence(model, words, segments), MOST_EVIDENCE) * 10), 1)]
+
+    return measure
+
+
+def _decay(scores: np.ndarray, counts: np.ndarray, neutral: int) -> float:
     """Lambda > 0 with mean exp(lambda s) = 1, where one more word has the highest score seen."""
     top = float(scores.max()) if len(scores) else 1.0
-    n = len(scores) + neutral + 1
+    n = counts.sum() + neutral + 1
 
     def excess(x: float) -> float:
-        return (np.exp(x * scores).sum() + math.exp(x * max(top, 1.0)) + neutral * math.exp(-x * NEUTRAL)) / n - 1.0
+        return ((counts * np.exp(x * scores)).sum() + math.exp(x * max(top, 1.0)) + neutral * math.exp(-x * NEUTRAL)) / n - 1.0
 
     low, high = 1e-6, 1e-6
     while high < 50 and excess(high) <= 0:
@@ -252,14 +291,14 @@ def _decay(scores: np.ndarray, neutral: int) -> float:
     return max(low, 1e-3)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve, with a weak ridge; Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve over n observations each, with a weak ridge; Newton steps."""
     design = np.stack([np.ones_like(x), x], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + 1e-2 * w
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        gradient = design.T @ (n * (p - y)) + 1e-2 * w
+        curve = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(curve, gradient)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -269,27 +308,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     """A model from the labels of documents that are not held out."""
-    from .store import save
-
     sample = save(_sample(documents, labels, limit), "labelled")
     kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return Model()
-    names, scores = _ratios(_word_counts(sample), kinds[1], kinds[0])
-    model = Model(names, scores)
-    seen = _observed(sample, model)
-    clean = [r for r in seen if r[0] == 0]
-    value = np.array([s for r in clean for s in r[2]])
-    words = sum(r[1] for r in clean)
-    decay = _decay(value, words - len(value))
+    names, scores = _ratios(save(_word_counts(sample), "words"), kinds[1], kinds[0])
+    mask = np.zeros(_MASK + 1, dtype=bool)
+    mask[names & np.uint64(_MASK)] = True
+    model = Model(names, scores, mask)
+    seen = _histogram(sample, _levels(model))
+    clean = lambda kind: np.array(sorted((level / 100, n) for (k, toxic, level), n in seen.items() if k == kind and toxic == 0)).reshape(-1, 2)
+    words, value, segments = sum(n for (k, toxic, _), n in seen.items() if k == "words" and toxic == 0), clean("score"), clean("segment")
+    decay = _decay(value[:, 0], value[:, 1], int(words - value[:, 1].sum()))
     # K: clean segments met, and one more, against those that exp(-lambda S) leads to expect
-    segments = [s for r in clean for s in r[3]]
-    floor = min(segments, default=1.0)
-    scale = (len(segments) + 1) / max(words * math.exp(-decay * floor), 1e-9)
-    model = Model(names, scores, decay, scale)
-    x = np.array([evidence(model, r[1], [(0, 0, s) for s in r[3]]) for r in seen])
-    intercept, slope = _logistic(np.minimum(x, 30.0), np.array([r[0] for r in seen], dtype=np.float64))
-    return Model(names, scores, decay, scale, intercept, slope)
+    floor = float(segments[0, 0]) if len(segments) else 1.0
+    scale = (segments[:, 1].sum() + 1) / max(words * math.exp(-decay * floor), 1e-9)
+    model = replace(model, decay=decay, scale=float(scale))
+    levels = [(level / 10, toxic, n) for (_, toxic, level), n in _histogram(sample, _evidence_levels(model)).items()]
+    intercept, slope = _logistic(*np.array(sorted(levels), dtype=np.float64).T)
+    return replace(model, intercept=intercept, slope=slope)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -299,7 +336,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = []
             for _, _, data, offsets in tk.chunks(batch.column(1)):
-                out += [model.probability(min(evidence(model, words, segments), 30.0)) for _, words, _, segments, _, _ in _scan(model, data, offsets)]
+                out += [model.probability(min(evidence(model, words, segments), MOST_EVIDENCE)) for _, words, _, _, segments, _, _ in _scan(model, data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), is_held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -313,7 +350,7 @@ def passages(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows = []
             for lo, _, data, offsets in tk.chunks(batch.column(1)):
-                for t, words, at, segments, starts, ends in _scan(model, data, offsets):
+                for t, words, at, _, segments, starts, ends in _scan(model, data, offsets):
                     for a, b, s in segments:
                         if (p := model.chance(s, words)) < SIGNIFICANT:
                             rows.append((batch.column(0)[lo + t].as_py(), int(starts[at[a]] - offsets[t]), int(ends[at[b]] - offsets[t]), s, p))
@@ -331,7 +368,7 @@ def clean_documents(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             bad = []
             for _, _, data, offsets in tk.chunks(batch.column("text")):
-                bad += [model.probability(min(evidence(model, words, segments), 30.0)) >= THRESHOLD for _, words, _, segments, _, _ in _scan(model, data, offsets)]
+                bad += [model.probability(min(evidence(model, words, segments), MOST_EVIDENCE)) >= THRESHOLD for _, words, _, _, segments, _, _ in _scan(model, data, offsets)]
             yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
