@@ -162,3 +162,35 @@ def judge(documents: DataFrame) -> DataFrame:
     return measured.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(True))).alias("kept"), "lang", "source"
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL with the columns of :func:`judge`."""
+    word = r"[^\x20\x09-\x0D]+"
+    only = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
+    levels = " UNION ALL ".join(f"SELECT doc_row, lang, source, '{m}' AS metric, least({LEVELS - 1}, (1000 * {a}) // greatest({b}, 1)) AS level FROM counts" for m, (a, b) in LEVEL.items())
+    margins = ", ".join(f"('{m}', {margin}, {spread})" for m, (margin, spread) in RULES.items())
+
+    def limits(name: str, keys: str) -> str:
+        by = f"{keys}, metric" if keys else "metric"
+        return f"""{name}_h AS (SELECT {by}, level, count(*) AS n FROM levels GROUP BY ALL),
+        {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY level) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_h),
+        {name} AS (SELECT {by}, max(size) AS size, min(level) FILTER (upto * 100 >= size * 75) AS q75, min(level) FILTER (upto * 100 >= size * 25) AS q25 FROM {name}_c GROUP BY {by})"""
+
+    bound = lambda t: f"{t}.q75 + greatest(r.margin, r.spread * ({t}.q75 - {t}.q25))"
+    return rf"""
+    WITH rules(metric, margin, spread) AS (VALUES {margins}),
+    texts AS (SELECT row_number() OVER () AS doc_row, CAST(doc_id AS BIGINT) AS doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+    split_up AS (SELECT *, regexp_extract_all(t, '{word}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM texts),
+    grams AS (SELECT doc_row, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_row, ws, unnest(range(1, len(ws) - 3)) AS i FROM split_up WHERE len(ws) >= 5)),
+    many AS (SELECT doc_row, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_row, g) AS n FROM grams) WHERE n > 1),
+    repeats AS (SELECT doc_row, count(DISTINCT i + j) AS n FROM many, range(5) r(j) GROUP BY doc_row),
+    counts AS (SELECT s.doc_row, doc_id, lang, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+      {only('#*$%&|<>')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, {only('A-Z')} AS n_capitals, {only('!?')} AS n_shouts
+      FROM split_up s LEFT JOIN repeats r ON s.doc_row = r.doc_row),
+    levels AS ({levels}), {limits('own', 'lang, source')}, {limits('tongue', 'lang')}, {limits('every', '')},
+    bounds AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= {MIN_GROUP} THEN {bound('o')} WHEN t.size >= {MIN_GROUP} THEN {bound('t')} ELSE {bound('e')} END AS most
+      FROM own o JOIN tongue t ON o.lang IS NOT DISTINCT FROM t.lang AND o.metric = t.metric JOIN every e ON o.metric = e.metric JOIN rules r ON o.metric = r.metric),
+    within AS (SELECT l.doc_row, bool_and(level <= most) AS ok FROM levels l JOIN bounds b ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source AND l.metric = b.metric GROUP BY l.doc_row),
+    failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, lang, source FROM failed JOIN within USING (doc_row)"""

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urls": urls.oracle(), "op5_mixing": mixing.oracle()}
+    return {"op1_urls": urls.oracle(), "op5_mixing": mixing.oracle(), "op6_neardup": neardup.oracle(), "op8_quality": quality.oracle()}
