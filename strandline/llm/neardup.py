@@ -338,3 +338,19 @@ def distinct_documents(documents: DataFrame) -> DataFrame:
     once = kept.join(repeated, match, "left_anti")
     extra = kept.join(repeated, match, "left_semi").withColumn("_sl_key", text_hash()).dropDuplicates(["doc_id", "_sl_key"]).drop("_sl_key")
     return once.unionByName(extra)
+
+
+def oracle() -> str:
+    """DuckDB SQL with the columns of :func:`report`, for tables whose doc_ids are distinct."""
+    return r"""
+    WITH RECURSIVE texts AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    shingles AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (
+      SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM texts WHERE len(ws) >= 5)
+      UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM texts WHERE len(ws) BETWEEN 1 AND 4)),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+    ties AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach(a, b) AS (SELECT a, b FROM ties UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a)
+    SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, least(t.doc_id, coalesce(r.least_id, t.doc_id)) AS component_id, t.doc_id <= coalesce(r.least_id, t.doc_id) AS kept
+    FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) r USING (doc_id)"""
