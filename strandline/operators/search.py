@@ -75,7 +75,7 @@ def ranked(documents: DataFrame, query: Query, blend: str | None = None) -> Data
     return found.withColumn("rank_score", F.col("score") * total if blend == "multiply" else total)
 
 
-def order(blend: str | None = None) -> list[Column]:
+def order() -> list[Column]:
     """Best first; ties by text score, then the smaller id."""
     return [F.desc("rank_score"), F.desc("score"), F.asc("link_id")]
 
@@ -87,9 +87,8 @@ def search(documents: DataFrame, query: Query, blend: str | None = None, page_si
     never a full sort.
     """
     hits = ranked(documents, query, blend)
-    total = hits.agg(F.count(F.lit(1)).alias("total_count"))
-    page = hits.orderBy(*order(blend)).offset(query.offset).limit(page_size)
-    return page.crossJoin(F.broadcast(total)).orderBy(*order(blend))  # total is one row
+    total = hits.agg(F.count(F.lit(1))).scalar()
+    return hits.orderBy(*order()).offset(query.offset).limit(page_size).withColumn("total_count", total)
 
 
 def search_page(documents: DataFrame, text: str, offset: str | int = 0, page_size: int = PAGE_SIZE, summary_length: int = SUMMARY_LENGTH) -> DataFrame:

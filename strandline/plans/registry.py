@@ -459,7 +459,7 @@ PHRASE = '"of the"'
 )
 def search_phrase(spark, d):
     hits = search.ranked(documents_of(spark, d), search.Query.parse(PHRASE))
-    return hits.select("link_id", "url").join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total_count"))))
+    return hits.select("link_id", "url").withColumn("total_count", hits.agg(F.count(F.lit(1))).scalar())
 
 
 @query(f"WITH {DOCS}, {bm25_sql(['que'])} SELECT link_id, url, CASE WHEN title = '' THEN url ELSE title END AS title, (SELECT count(*) FROM scored) AS total_count FROM scored JOIN docs USING (link_id) ORDER BY docs.pagerank DESC, scored.score DESC, link_id LIMIT 10 OFFSET 10")
