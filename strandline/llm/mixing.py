@@ -41,8 +41,8 @@ BUCKETS = 4096
 def tempered_shares(sizes: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, share): target weights in proportion to the square root of the sources' lengths, as whole slots of a period."""
     rooted = sizes.withColumn("root", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("chars").cast("double"))).cast("long")))
-    total = rooted.agg(F.sum("root").alias("total"))
-    return rooted.join(F.broadcast(total)).select("source", F.expr(f"greatest(1L, ({period} * root) div total)").alias("share"))
+    total = rooted.agg(F.sum("root")).scalar()
+    return rooted.withColumn("total", total).select("source", F.expr(f"greatest(1L, ({period} * root) div total)").alias("share"))
 
 
 def period_slots(shares: DataFrame) -> DataFrame:
