@@ -8,6 +8,8 @@ texts.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from ..functions import ids
 from ..functions import network as N
 from ..functions import text as X
 from ..operators import crawl, graphstore, index, search
+from ..operators.postings import PostingsIndex
 from ..schemas import LAST_ID, NEVER, NIL_ID, never
 from ..ship import ship
 from . import pagerank as PR
@@ -450,6 +453,25 @@ def search_match_blended(spark, d):
     return search.search(documents_of(spark, d), search.Query.parse(MATCH), blend="multiply").select("link_id", F.round("rank_score", 6).alias("rank_score"), "total_count")
 
 
+def stored_index(spark, d) -> PostingsIndex:
+    """The documents' postings, written below the session's shared folder."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")).rstrip("/")
+    return PostingsIndex(spark, f"{root}/postings-{uuid.uuid4().hex}").write(documents_of(spark, d))
+
+
+@query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(score, 6) AS score FROM scored")
+def stored_postings_scores(spark, d):
+    return stored_index(spark, d).scores(TERMS).select("link_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""WITH {DOCS} SELECT link_id FROM docs
+    WHERE contains(' ' || array_to_string({tokens_sql('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({tokens_sql('content')}, ' ') || ' ', ' of the ')"""
+)
+def stored_postings_phrase(spark, d):
+    return stored_index(spark, d).phrase(["of", "the"])
+
+
 PHRASE = '"of the"'
 
 

@@ -122,3 +122,17 @@ def test_search_page(spark):
     d = docs(spark, [("", "We found the term here. Nothing else.", 1)])
     row = S.search_page(d, "term").first()
     assert row.title == "http://x/0" and "<em>term</em>" in row.summary and row.total_count == 1
+
+
+def test_stored_postings(spark, tmp_path):
+    from strandline.operators.postings import PostingsIndex
+
+    d = docs(spark, [("", "lorem dolor ipsum", 1), ("Lorem Ipsum", "dolor lorem", 1), ("ipsum lorem", "a a a b", 1), ("", "", 1)])
+    stored = PostingsIndex(spark, f"file://{tmp_path}/index").write(d)
+    want = {r.link_id: r.score for r in I.bm25_scores(d, ["lorem", "a"]).collect()}
+    assert {r.link_id: r.score for r in stored.scores(["lorem", "a", "a"]).collect()} == pytest.approx(want)
+    assert {r.link_id for r in stored.phrase(["lorem", "ipsum"]).collect()} == {"0001"}
+    assert {r.link_id for r in stored.phrase(["a", "a", "b"]).collect()} == {"0002"}
+    assert stored.scores([]).count() == stored.phrase([]).count() == stored.phrase(["none"]).count() == 0
+    plan = stored.postings(["lorem"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,lorem)" in plan
