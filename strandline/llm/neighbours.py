@@ -7,15 +7,20 @@ row is filed in the leaf that it reaches by the nearest centre at each level.
 
 A query goes through the tree best bin first: a priority queue holds the
 branches not taken, ranked by the inner product with their centre, and leaves
-are visited in the order they come off it.  How many, is calibrated: for
+are visited in the order they come off it.  Visits widen in rounds, from
+``FIRST`` leaves by a factor of ``WIDER``: a leaf sends on only what reaches the
+k-th best score of the rounds before, so what is gathered grows with the
+queries and hardly with their visits.  How many leaves are visited is
+calibrated: for
 ``PROBES`` queries the true neighbours are found by comparing with all rows, and
 the visits are doubled, then narrowed, until the mean recall reaches
 ``RECALL``.
 
 Leaves are cut in blocks of about ``BLOCK_ROWS`` rows, so a leaf that holds a
-third of all rows is as many tasks' work as it needs.  A block and the queries
-that visit it meet in one group, are compared by one matrix product, and send
-on their ``k`` best; the final scores are summed in a fixed order, so equal
+third of all rows is as many tasks' work as it needs, and the queries that
+visit a block in parts of about ``QUERY_ROWS``, for which the block is repeated.
+A block and a part of its queries meet in one group, are compared by matrix
+products, and send on their ``k`` best; the final scores are summed in a fixed order, so equal
 vectors tie exactly, and ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero, of another than the
@@ -42,9 +47,12 @@ MAX_SAMPLE = 20_000
 MAX_LEAVES = 4096
 LEAF_ROWS = 256
 BLOCK_ROWS = 2048
+QUERY_ROWS = 8192
 BRANCHES = 8
 PROBES = 200
-RECALL = 0.97
+RECALL = 0.95
+FIRST = 2
+WIDER = 3
 
 
 @dataclass
@@ -150,14 +158,16 @@ def _usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (size[0].size if size else 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of a query's k best of one block: near-equal rough scores are summed anew in a fixed order."""
+def _best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores of a query's k best of one block that reach ``least``: near-equal rough scores are summed anew in a fixed order."""
     other = ids != own
     if not other.all():
         scores, ids, vectors = scores[other], ids[other], vectors[other]
     if len(ids) > k:
         edge = -np.partition(-scores, k - 1)[k - 1]
-        at = np.flatnonzero(scores >= edge - 1e-9 * (1 + abs(edge)))
+        least = max(least, edge)
+    if least > -np.inf:
+        at = np.flatnonzero(scores >= least - 1e-9 * (1 + abs(least)))
         ids, vectors = ids[at], vectors[at]
     exact = (vectors * query).sum(axis=1)
     order = np.lexsort((ids, -exact))[:k]
@@ -172,12 +182,12 @@ def _block_best(k: int):
         out_q, out_v, out_s = [], [], []
         if len(rows) and len(queries):
             ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy())
-            asked = queries["query_id"].to_numpy()
+            asked, least = queries["query_id"].to_numpy(), queries["least"].to_numpy()
             for lo in range(0, len(queries), 512):
                 q = np.stack(queries["query"].to_numpy()[lo : lo + 512])
                 rough = q @ vectors.T
                 for i in range(len(q)):
-                    v, s = _best(rough[i], ids, vectors, q[i], int(asked[lo + i]), k)
+                    v, s = _best(rough[i], ids, vectors, q[i], int(asked[lo + i]), k, least[lo + i])
                     out_q.append(np.full(len(v), asked[lo + i]))
                     out_v.append(v)
                     out_s.append(s)
@@ -235,6 +245,14 @@ def _calibrated(tree: Tree, filed: DataFrame, probes: pd.DataFrame, k: int, targ
     return high
 
 
+def _prime(least: int) -> int:
+    """1, or the smallest prime from ``least`` on."""
+    n = max(least, 1)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def search(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K, target: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by inner product of every query (vec_id, embedding).
 
@@ -261,19 +279,35 @@ def search(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K,
     sizes = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).select("leaf", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
     blocks = {r.leaf: r.blocks for r in sizes.collect()}  # at most MAX_LEAVES rows
 
-    def go(batches):
-        for batch in batches:
-            ids, vectors, leaf, block = [], [], [], []
-            for qid, v in zip(batch["vec_id"], batch["vector"], strict=True):
-                for one in tree.visits(np.asarray(v), visits):
-                    for b in range(blocks.get(one, 0)):
-                        ids.append(qid)
-                        vectors.append(v)
-                        leaf.append(one)
-                        block.append(b)
-            yield pd.DataFrame({"query_id": ids, "query": vectors, "leaf": leaf, "block": block})
-
-    sent = asked.dropDuplicates(["vec_id", "vector"]).mapInPandas(go, "query_id long, query array<double>, leaf long, block int")
-    salted = filed.join(F.broadcast(sizes), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"))
-    partial = salted.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInPandas(_block_best(k), _PARTIAL)
-    return _ranked(partial, k)
+    # a prime, so that ids that share a factor are spread as well
+    parts = _prime(asked.count() * visits // max(tree.leaves, 1) // QUERY_ROWS)
+
+    def go(first: int, last: int):
+        def run(batches):
+            for batch in batches:
+                columns: dict[str, list] = {"query_id": [], "query": [], "least": [], "leaf": [], "block": [], "part": []}
+                for qid, v, least in zip(batch["vec_id"], batch["vector"], batch["least"], strict=True):
+                    for leaf in tree.visits(np.asarray(v), last)[first:]:
+                        for b in range(blocks.get(leaf, 0)):
+                            for c, x in zip(columns.values(), (qid, v, least, leaf, b, qid % parts), strict=True):
+                                c.append(x)
+                yield pd.DataFrame(columns)
+
+        return run
+
+    salted = filed.join(F.broadcast(sizes), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def partial(queries: DataFrame, first: int, last: int) -> DataFrame:
+        sent = queries.select("vec_id", "vector", "least").mapInPandas(go(first, last), "query_id long, query array<double>, least double, leaf long, block int, part long")
+        return salted.groupBy("leaf", "block", "part").cogroup(sent.groupBy("leaf", "block", "part")).applyInPandas(_block_best(k), _PARTIAL)
+
+    distinct = asked.dropDuplicates(["vec_id", "vector"]).withColumn("least", F.lit(float("-inf")))
+    best = None
+    first, last = 0, min(FIRST, visits)
+    while first < visits:
+        found = partial(distinct, first, last)
+        best = save(_ranked(found if best is None else found.union(best.select("query_id", "vec_id", "score")), k), "best")
+        reached = best.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("reached"))
+        distinct = distinct.select("vec_id", "vector").join(reached, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", F.coalesce("reached", F.lit(float("-inf"))).alias("least"))
+        first, last = last, min(last * WIDER, visits)
+    return best

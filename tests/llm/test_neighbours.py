@@ -30,7 +30,7 @@ def recall(got, want):
 
 
 def test_recall_with_a_deep_tree(spark, monkeypatch):
-    for name, value in (("LEAF_ROWS", 16), ("BLOCK_ROWS", 40), ("PROBES", 60)):
+    for name, value in (("LEAF_ROWS", 16), ("BLOCK_ROWS", 40), ("PROBES", 60), ("QUERY_ROWS", 5)):
         monkeypatch.setattr(A, name, value)
     rows = vectors(1500)
     got, want = A.search(frame(spark, rows)).collect(), brute(rows)
