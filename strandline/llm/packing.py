@@ -209,11 +209,15 @@ class Packer:
         return done
 
 
-def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
-    """Pieces of every document of ``documents`` (doc_id, text[, loss column: whether its tokens bear loss])."""
+def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None, keep_words: bool = True) -> DataFrame:
+    """Pieces of every document of ``documents`` (doc_id, text[, loss column: whether its tokens bear loss]).
+
+    With ``keep_words`` a worker's encoded words outlast the task; without, it
+    gives their memory back, for workers that go on to other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path) if keep_words else WordEncoder(tokenizer_path)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         pieces: list[tuple] = []
         packer = Packer(limits, TaskContext.get().partitionId() << 33, pieces.append)

@@ -9,12 +9,28 @@ divided by ``BASE**start``, depends on the substring alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+
+
+def _return_memory() -> None:
+    """Have large arrays mapped and unmapped one by one, so that an idle worker keeps none of them."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which also stays fixed from then on
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # not glibc
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
 
