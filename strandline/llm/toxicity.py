@@ -47,7 +47,7 @@ MAX_LABELLED = 40_000
 MAX_WORDS = 50_000
 PRIOR = 4.0
 NEUTRAL = 0.10
-KEEP_RATIO = 3.0
+LEAST_RATIO = 3.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
 MOST_EVIDENCE = 30.0
@@ -208,6 +208,16 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "name long, longer long, shorter long, toxic long, clean long").groupBy("name", "longer", "shorter").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def kept_ratio(toxic: int) -> float:
+    """The ratio from which a word is scored.
+
+    With more toxic documents, real ratios grow towards the share of documents
+    that hold the word, over the prior; those of rare words that met a few of
+    them by chance, or stand in copies of one, do not grow as their root.
+    """
+    return max(LEAST_RATIO, math.sqrt(toxic) / 2)
+
+
 def _ratios(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and log-odds of the words and prefixes whose ratio stands out."""
 
@@ -221,7 +231,7 @@ def _ratios(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.n
         ratio = ratio.join(sums, name).withColumn(f"r_{name}", shrunk("t", "c", F.lit(1.0) if level == 0 else F.col("r_shorter"))).drop("t", "c")
     ratio = ratio.withColumn("r_name", shrunk("toxic", "clean", F.col("r_longer")))
     best = F.greatest("r_name", "r_longer", "r_shorter")
-    rows = ratio.where(best >= KEEP_RATIO).orderBy(F.desc(F.col("toxic") + F.col("clean")), "name").limit(MAX_WORDS).collect()
+    rows = ratio.where(best >= kept_ratio(toxic)).orderBy(F.desc(F.col("toxic") + F.col("clean")), "name").limit(MAX_WORDS).collect()
     scores: dict[int, float] = {}
     for r in rows:
         scores[r.name] = math.log(r.r_name)
