@@ -7,41 +7,65 @@ returns the pieces of all sequences.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import mixing, neardup, packing, suffixes, toxicity
 from strandline.llm.queries import tokenizer_path
 from strandline.llm.ship import ship
-from strandline.llm.store import save
+from strandline.llm.store import fresh_path, recorded, remove
+
+
+_made: list[str] = []
+
+
+def stage(fn):
+    """A stage.  Its input has been written, so the tables behind the stage before are removed first."""
+
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        for path in _made:
+            remove(spark, path)
+        _made.clear()
+        own: list[str] = []
+        with recorded(own):
+            out = fn(spark, docs, sf_dir)
+        _made.extend(own)
+        return out
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the toxicity threshold."""
-    ship(spark)
     return toxicity.clean_documents(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    ship(spark)
     return neardup.distinct_documents(docs)
 
 
+@stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that also stand elsewhere."""
-    ship(spark)
     return suffixes.cut_texts(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the sources' schedule."""
     return mixing.mixed(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    ship(spark)
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), keep_words=False)
 
 
 STAGES = [
@@ -59,6 +83,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        path = fresh_path(spark, name)
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

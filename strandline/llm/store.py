@@ -8,8 +8,10 @@ columns they need.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
+    for record in _RECORDS:
+        record.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[list[str]]:
+    """Gather in ``paths`` where tables are written meanwhile, to be removed once nothing reads them."""
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -40,12 +58,6 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`save` once nothing lazy reads it any more."""
-    for name in df.inputFiles()[:1]:
-        remove(df.sparkSession, name.rsplit("/", 1)[0])
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

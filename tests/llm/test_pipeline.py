@@ -33,7 +33,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = [{}]
     frame = spark.read.parquet(d + "/documents.parquet")
     for name, stage in C.STAGES[:-1]:
-        frame = C.save(stage(spark, frame, d), name)
+        stage(spark, frame, d).write.parquet(f"{d}/{name}")
+        frame = spark.read.parquet(f"{d}/{name}")
         assert frame.columns == [c.split()[0] for c in schema.split(", ")]
         kept.append({r.doc_id: r.text for r in frame.collect()})
     _, first, second, third, fourth = kept

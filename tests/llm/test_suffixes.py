@@ -50,6 +50,12 @@ def test_production_length(spark, documents, seed):
     assert found(spark, S.report(documents(rows))) == brute(rows, 400)
 
 
+def test_heavy_buckets(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "HEAVY", 2)
+    rows = corpus(3, 400)
+    assert found(spark, S.report(documents(rows))) == brute(rows, 400)
+
+
 @pytest.mark.parametrize(("length", "gram", "band"), [(20, 5, 4), (20, 10, 10), (8, 3, 1), (12, 1, 11)])
 def test_other_lengths(spark, documents, monkeypatch, length, gram, band):
     monkeypatch.setattr(S, "GRAM", gram)
