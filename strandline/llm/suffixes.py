@@ -17,6 +17,10 @@ two positions go on:
 3. *Sorting.*  What still shares a bucket is sorted on the identifiers of whole
    strings; those met twice are the repeats.
 
+q-gram buckets of more than ``HEAVY`` texts, such as a passage in a third of all
+texts, skip step 2: their strings are dealt by the identifiers of the whole
+strings, so no task gathers such a bucket.
+
 Only the text slices around live positions travel to steps 2 and 3.  Equal
 slices of one batch are sent once, with a mark, which bounds what a much-copied
 passage puts into one bucket; equal texts are one text from the start, by their
@@ -44,6 +48,7 @@ from .store import save, shuffle_partitions
 LENGTH = 400
 GRAM = 100
 BAND = 152
+HEAVY = 20_000
 _RANK_BITS = np.uint64(0xFFFFFF)
 _FLUSH_BYTES = 2 << 20
 
@@ -112,26 +117,49 @@ def _runs(starts: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.append(first[1:], len(starts)) - 1
 
 
+def _members(value: np.ndarray, text: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which (value, text) are in the texts' lists."""
+    count = np.asarray(pc.list_value_length(lists))
+    held = np.asarray(lists.flatten()).view(np.uint64) ^ tk.mix(np.repeat(np.arange(len(lists)), count).astype(np.uint64))
+    return np.isin(value ^ tk.mix(text.astype(np.uint64)), held)
+
+
+def _single_strings(hasher: tk.Hasher, starts: np.ndarray, text: np.ndarray, offsets: np.ndarray, dids: np.ndarray, length: int) -> pa.RecordBatch:
+    """Strings of heavy buckets, by their own identifiers: one of each, marked if the batch has more; the others are settled."""
+    key = hasher.spans(starts, starts + length)
+    order = np.lexsort((starts, key))
+    same = key[order][1:] == key[order][:-1]
+    first, alone = np.ones(len(order), dtype=bool), np.ones(len(order), dtype=bool)
+    first[order[1:]] = ~same
+    alone[order[1:]] &= ~same
+    alone[order[:-1]] &= ~same
+    did = dids[text]
+    n = np.where(first & ~alone, -1, 1)
+    ck = np.where(first, tk.signed(key), tk.signed(tk.mix(did.view(np.uint64) + starts.astype(np.uint64))))
+    slices = pa.array([b"" if f else None for f in first.tolist()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(ck), pa.array(did), pa.array(starts - offsets[text]), pa.array(n), slices], ["ck", "did", "at", "n", "slice"])
+
+
 def _slices(live_texts: DataFrame, length: int, gram: int, band: int) -> DataFrame:
     """(ck, did, at, n, slice): strings at did's bytes at .. at+n-1, by their core; without a slice, repeats that are settled already."""
 
     def run(batches):
         for batch in batches:
-            dids, live = np.asarray(batch.column(0)), batch.column(2)
+            dids, live, heavy = np.asarray(batch.column(0)), batch.column(2), batch.column(3)
             for lo, hi, data, offsets in tk.chunks(batch.column(1)):
                 starts, at, grams = chosen_grams(data, offsets, length, gram)
                 text = np.searchsorted(offsets, starts, side="right") - 1
                 value = grams[at]
-                known = live[lo:hi]
-                count = np.asarray(pc.list_value_length(known))
-                pair = np.asarray(known.flatten()).view(np.uint64) ^ tk.mix(np.repeat(np.arange(hi - lo), count).astype(np.uint64))
-                keep = np.isin(value ^ tk.mix(text.astype(np.uint64)), pair)
+                hasher = tk.Hasher(data)
+                crowded = _members(value, text, heavy[lo:hi])
+                if crowded.any():
+                    yield _single_strings(hasher, starts[crowded], text[crowded], offsets, dids[lo:hi], length)
+                keep = _members(value, text, live[lo:hi]) & ~crowded
                 starts, at, text = starts[keep], at[keep], text[keep]
                 part = (at - starts) // band
                 first, last = _runs(starts, at, part)
                 begin, end, head = starts[first], starts[last], at[first]
                 zone = part[first]
-                hasher = tk.Hasher(data)
                 # all strings of a zone hold the bytes from head - zone*band to head - (zone+1)*band + 1 + length
                 low = head - zone * band
                 core = hasher.spans(low, np.minimum(low - band + 1 + length, len(data)))
@@ -152,7 +180,7 @@ def _slices(live_texts: DataFrame, length: int, gram: int, band: int) -> DataFra
                 rows = [pa.array(key), pa.array(dids[lo + text[first]]), pa.array(begin - offsets[text[first]]), pa.array(width), pa.array(slices, pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, ["ck", "did", "at", "n", "slice"])
 
-    return live_texts.select("did", "bytes", "live").mapInArrow(run, "ck long, did long, at long, n long, slice binary")
+    return live_texts.select("did", "bytes", "live", "heavy").mapInArrow(run, "ck long, did long, at long, n long, slice binary")
 
 
 def _repeats(slices: DataFrame, length: int, parts: int) -> DataFrame:
@@ -165,7 +193,14 @@ def _repeats(slices: DataFrame, length: int, parts: int) -> DataFrame:
         did, at, n = (np.asarray(group.column(c)) for c in names)
         if empty.any():
             yield pa.RecordBatch.from_arrays([pa.array(did[empty]), pa.array(at[empty]), pa.array(n[empty])], names)
-        some = np.flatnonzero(~empty)
+        size = np.asarray(pc.fill_null(pc.binary_length(slice_), -1))
+        keyed = np.flatnonzero(size == 0)
+        if len(keyed):  # strings dealt by their own identifiers
+            ck = np.asarray(group.column("ck"))[keyed]
+            _, back, times = np.unique(ck, return_inverse=True, return_counts=True)
+            met = keyed[(times[back] > 1) | (n[keyed] < 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(did[met]), pa.array(at[met]), pa.array(np.abs(n[met]))], names)
+        some = np.flatnonzero(size > 0)
         if len(some) == 0:
             return
         did, at, n = did[some], at[some], n[some]
@@ -226,7 +261,7 @@ def covered(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]
 
 
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut): every document's doc_id, n_bytes, k and copies; and for each text k that loses bytes, spans and the kept bytes."""
+    """(rows, cut): every document's doc_id, n_bytes, k and copies; and for each text k that loses bytes, spans and the kept text, of whole characters."""
     if not 0 < gram <= length - band:
         raise ValueError("gram and band must leave a core: 0 < gram <= length - band")
     spark = documents.sparkSession
@@ -234,11 +269,11 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
     rows = save(_texts(documents).select("doc_id", "k", F.octet_length("bytes").cast("long").alias("n_bytes")), "texts")
     long = _texts(documents).where(F.octet_length("bytes") >= length)
     entries = save(_bucket_entries(long, length, gram), "buckets")
-    living = entries.groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("twice").alias("twice")).where("lo <> hi or twice").select("v")
-    live = entries.join(living, "v").groupBy("k").agg(F.collect_set("v").alias("vs"))
+    living = entries.groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("texts")).where("lo <> hi or twice").select("v", (F.col("texts") > HEAVY).alias("crowded"))
+    live = entries.join(living, "v").groupBy("k").agg(F.collect_set("v").alias("vs"), F.collect_set(F.when(F.col("crowded"), F.col("v"))).alias("crowded"))
     first = long.join(live.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.first("bytes").alias("bytes"))
-    packed = live.select("k", F.xxhash64("k").alias("did"), F.col("vs").alias("live"))
-    texts = save(first.join(packed, "k").select("k", "did", "bytes", "live"), "live")
+    packed = live.select("k", F.xxhash64("k").alias("did"), F.col("vs").alias("live"), F.col("crowded").alias("heavy"))
+    texts = save(first.join(packed, "k").select("k", "did", "bytes", "live", "heavy"), "live")
     hits = _repeats(_slices(texts, length, gram, band), length, parts)
     spans = hits.groupBy("did").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
 
@@ -252,12 +287,12 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
                 ranges = covered(np.asarray(found.field("at")), np.asarray(found.field("n")), length)
                 ends = [0, *(e for _, e in ranges)]
                 kept = b"".join(body[a:b] for a, b in zip(ends, [*(s for s, _ in ranges), len(body)], strict=True))
-                out.append((keys[i].as_py(), len(body) - len(kept), len(ranges), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((keys[i].as_py(), len(body) - len(kept), len(ranges), kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
             columns = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    done = texts.select("did", "k", "bytes").join(spans, "did").select("k", "bytes", "hits").mapInArrow(cut, "k binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    done = texts.select("did", "k", "bytes").join(spans, "did").select("k", "bytes", "hits").mapInArrow(cut, "k binary, n_removed long, n_spans long, kept string, kept_sha256 string")
     return rows, done
 
 
@@ -284,17 +319,13 @@ def cut_texts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which some bytes were removed goes with them.
     """
     rows, done = removals(documents, length)
-    copies = rows.where(F.col("n_bytes") >= length).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("k").alias("_k"), F.lit(True).alias("_copied"))
-    changed = done.select(F.col("k").alias("_c"), _decoded(done).alias("_text"))
-    keyed = documents.withColumn("_id", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
-    joined = keyed.join(copies, F.col("_id") == F.col("_k"), "left").join(changed, F.col("_id") == F.col("_c"), "left")
-    text = F.when(F.col("_copied"), F.lit("")).when(F.col("_c").isNotNull(), F.col("_text")).otherwise(F.col("text"))
+    copies = rows.where(F.col("n_bytes") >= length).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("k").alias("_sl_k"), F.lit(True).alias("_sl_copied"))
+    changed = done.select(F.col("k").alias("_sl_c"), F.col("kept").alias("_sl_text"))
+    keyed = documents.withColumn("_sl_id", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    joined = keyed.join(copies, F.col("_sl_id") == F.col("_sl_k"), "left").join(changed, F.col("_sl_id") == F.col("_sl_c"), "left")
+    text = F.when(F.col("_sl_copied"), F.lit("")).when(F.col("_sl_c").isNotNull(), F.col("_sl_text")).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("_copied") | F.col("_c").isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("_sl_copied") | F.col("_sl_c").isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
 
-
-def _decoded(done: DataFrame):
-    """Whole characters of the kept bytes; broken ones, which decode to U+FFFD, are left out."""
-    return F.translate(F.decode("kept", "utf-8"), "�", "")
