@@ -270,7 +270,9 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
     long = _texts(documents).where(F.octet_length("bytes") >= length)
     entries = save(_bucket_entries(long, length, gram), "buckets")
     living = entries.groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("texts")).where("lo <> hi or twice").select("v", (F.col("texts") > HEAVY).alias("crowded"))
+    # written, as it is read twice with different columns
     live = entries.join(living, "v").groupBy("k").agg(F.collect_set("v").alias("vs"), F.collect_set(F.when(F.col("crowded"), F.col("v"))).alias("crowded"))
+    live = save(live, "live")
     first = long.join(live.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.first("bytes").alias("bytes"))
     packed = live.select("k", F.xxhash64("k").alias("did"), F.col("vs").alias("live"), F.col("crowded").alias("heavy"))
     texts = save(first.join(packed, "k").select("k", "did", "bytes", "live", "heavy"), "live")
