@@ -20,11 +20,15 @@ from the start, so exact copies are never paired.
 * *Hubs.*  Lists that stay long hold near copies with few edits.  Each round,
   the class with the fewest rare shingles of every list is compared with the
   whole list, and classes it links are decided.  Undecided rests are paired in
-  full after ``ROUNDS``, and a class between two groups is compared with its
-  lists as well, so no link between groups is lost.
+  full after ``ROUNDS``.  Of two linked classes that different groups decided,
+  each has a Jaccard of at least ``BETWEEN`` with the hub of the other (Jaccard
+  distances add up), so hubs are compared with the other groups' classes in
+  their lists once more, by bounds for ``BETWEEN``, and classes that reach it
+  with their lists, so no link between groups is lost.
 * *Union-sketch estimation* drops pairs that cannot reach the threshold (a
   shared part of the union's smallest values below ``ESTIMATE``; for Jaccard
-  0.85 that is over seven standard deviations off).
+  0.85 the chance of that is 8e-9, and for ``BETWEEN`` 1e-9 that it falls below
+  ``EVIDENCE``).
 * *Exact Jaccard* on whole sets of 64-bit shingle hashes decides.
 
 Links become groups by :mod:`components`.  Defined results: null or empty
@@ -52,6 +56,7 @@ KEYS = 16
 SHORT = 24
 ESTIMATE = 0.55
 BETWEEN = 0.70
+EVIDENCE = 0.34
 CROWDED = 0.60
 ROUNDS = 3
 PIVOTS = 16
@@ -147,14 +152,14 @@ def shared_part(a: np.ndarray, b: np.ndarray, width: int = SKETCH) -> np.ndarray
     return (again & within).sum(axis=1) / np.maximum((within & ~again).sum(axis=1), 1)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, least: float = ESTIMATE) -> DataFrame:
     """Pairs that the union sketch doesn't rule out."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 part = shared_part(_matrix(batch.column(2), SKETCH), _matrix(batch.column(3), SKETCH))
-                keep = pa.array(part >= ESTIMATE)
+                keep = pa.array(part >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     both = pairs.join(reps.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a").join(reps.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -193,21 +198,21 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = int((q[at] == p).sum()) if len(q) else 0
                 union = len(p) + len(q) - both
                 linked.append(100 * both >= 85 * union)
-                between.append(both >= BETWEEN * union)
+                between.append(100 * both >= round(100 * BETWEEN) * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(between, pa.bool_())], ["a", "b", "linked", "between"])
 
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("c").alias("b"), F.col("items").alias("ib")), "b")
     return joined.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, linked boolean, between boolean")
 
 
-def _star(members: DataFrame, pivots: DataFrame) -> DataFrame:
+def _star(members: DataFrame, pivots: DataFrame, where: Column | None = None) -> DataFrame:
     """Pairs of every pivot (v, p, pn, ppos) with all of its list that can still reach the threshold.
 
     If v is the first shingle that two ordered sets share, their overlap is at
     most what follows it in either.
     """
     enough = 185 * F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) >= 85 * (F.col("n") + F.col("pn"))
-    met = members.join(pivots, "v").where((F.col("c") != F.col("p")) & _close(F.col("n"), F.col("pn")) & enough)
+    met = members.join(pivots, "v").where((F.col("c") != F.col("p") if where is None else where) & _close(F.col("n"), F.col("pn")) & enough)
     return met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
 
 
@@ -215,7 +220,7 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets: DataFrame) -> list[Da
     """Measured pairs of the long lists (v, c, n, rare, pos), by rounds of central classes."""
     found: list[DataFrame] = []
     undone = members.select("v", "c", "n", "rare", "pos")
-    pivoted: list[DataFrame] = []
+    hubs: list[DataFrame] = []
     turn = 0
     while not undone.isEmpty():
         if turn >= ROUNDS:
@@ -227,38 +232,45 @@ def _long_lists(members: DataFrame, reps: DataFrame, sets: DataFrame) -> list[Da
             chosen = F.expr(f"c = least or pmod(xxhash64(c, {turn}), greatest(1, size div {PIVOTS})) = 0")
             pivots = undone.join(size, "v").where(chosen).select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"))
         pivots = save(pivots, "pivots")
-        pivoted.append(pivots)
         measured = save(_measured(_likely(_star(members, pivots), reps), sets), "measured")
         found.append(measured)
         if turn >= ROUNDS:
             break
+        hubs.append(pivots)
         linked = measured.where("linked").select("a", "b")
         ends = linked.select(F.col("a").alias("c"), F.col("b").alias("p")).union(linked.select(F.col("b").alias("c"), F.col("a").alias("p")))
         decided = pivots.select("v", F.col("p").alias("c")).union(pivots.select("v", "p").join(ends, "p").select("v", "c"))
         undone = save(undone.join(decided.distinct(), ["v", "c"], "left_anti"), "undone")
         turn += 1
-    # classes between two groups: compared with the whole of their lists as well
-    for _ in range(ROUNDS * 4):
-        if not found:
-            break
-        every = found[0]
-        for m in found[1:]:
-            every = every.union(m)
-        edge = every.where("between and not linked").select("a", "b")
-        if edge.isEmpty():
-            break
-        roots = components(every.where("linked").select("a", "b"))
-        across = edge.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
-        ends = across.select(F.col("a").alias("c")).union(across.select(F.col("b").alias("c"))).distinct()
-        tried = pivoted[0]
-        for p in pivoted[1:]:
-            tried = tried.union(p)
-        more = save(members.join(ends, "c").select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos")).join(tried.select("v", "p"), ["v", "p"], "left_anti"), "pivots")
-        if more.isEmpty():
-            break
-        pivoted.append(more)
-        found.append(save(_measured(_likely(_star(members, more), reps), sets), "measured"))
-    return found
+    if turn == 0:
+        return found
+    return found + _between_groups(members, hubs, found, reps, sets)
+
+
+def _between_groups(members: DataFrame, hubs: list[DataFrame], found: list[DataFrame], reps: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Measured pairs of classes that hubs (v, p, pn, ppos) of different groups decided.
+
+    The position filter of :func:`_star` doesn't hold for a hub and a class of
+    another group, as v needn't be the first shingle that these two share.
+    """
+    links, every = found[0].where("linked").select("a", "b"), hubs[0]
+    for m in found[1:]:
+        links = links.union(m.where("linked").select("a", "b"))
+    for h in hubs[1:]:
+        every = every.union(h)
+    roots = components(links)
+    grouped = save(members.join(roots.select(F.col("id").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "grouped")
+    # a hub without links decided no class
+    led = every.join(roots.select(F.col("id").alias("p"), F.col("root").alias("proot")), "p")
+    near = 100 * F.least("n", "pn") >= round(100 * BETWEEN) * F.greatest("n", "pn")
+    met = grouped.join(led, "v").where((F.col("root") != F.col("proot")) & near)
+    pairs = save(met.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "between")
+    if pairs.isEmpty():
+        return []
+    between = save(_measured(_likely(pairs, reps, EVIDENCE), sets), "measured").where("between")
+    ends = between.select(F.col("a").alias("c")).union(between.select(F.col("b").alias("c"))).distinct()
+    pivots = grouped.join(ends, "c").select("v", F.col("c").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("root").alias("proot"))
+    return [save(_measured(_likely(_star(grouped, save(pivots, "pivots"), F.col("root") != F.col("proot")), reps), sets), "measured")]
 
 
 def _crowd_pairs(reps: DataFrame, sets: DataFrame) -> list[DataFrame]:

@@ -80,6 +80,21 @@ def test_small_lists_force_every_path(spark, documents, monkeypatch):
     assert got == {d: c for d, (_, c) in brute(rows).items()}
 
 
+def test_link_between_classes_that_two_hubs_decided(spark, monkeypatch):
+    monkeypatch.setattr(N, "PIVOTS", 1)  # one hub for each round
+    size = {c: 1000 for c in range(40)} | {c: 1370 for c in range(40, 80)} | {90: 1100, 91: 1230}  # growing copies, each begins with the one before
+    classes = []
+    for c, n in size.items():
+        items = np.sort(np.append(np.arange(n - 1) * 2**40, 2**60 + c))
+        order = items[np.argsort(np.random.default_rng(1).random(3000)[items // 2**40 % 3000], kind="stable")]
+        classes.append((c, n, 0 if c < 40 else 1, np.sort(order[:64]).tolist(), items.astype("<i8").tobytes()))
+    frame = spark.createDataFrame(classes, "c long, n long, rare long, sketch array<long>, items binary")
+    found = N._long_lists(frame.selectExpr("0L as v", "c", "n", "rare", "0L as pos"), frame.select("c", "sketch"), frame.select("c", "items"))
+    links = {(r.a, r.b) for m in found for r in m.where("linked").collect()}
+    assert (0, 90) in links and (40, 91) in links and (0, 40) not in links
+    assert (90, 91) in links
+
+
 def test_repeats_and_nulls(spark, documents):
     same = "a b c d e f g"
     rows = [(5, same), (5, same), (3, same.upper()), (None, same), (None, None), (9, "x"), (9, "y")]
