@@ -7,7 +7,10 @@ mark their own article (``article``, ``main``, ``itemprop=articleBody``) label
 each word as inside or outside, and each word votes for its features, the
 names and class words of the elements around it, ``MAX_LABELLED`` pages at most
 and ``MAX_FEATURES`` features.  Names that say what an element is (menus,
-adverts, notices, comments and so on) start with a prior that data can add to.
+adverts, notices, comments and so on; whole class words only, so ``no-sidebar``
+is none) start with a prior of ``NAMED_PRIOR`` that learnt weights of the
+element's own features add to, and an article inside such an element, or inside
+a form, is read nevertheless.
 
 The region is then widened to the whole section that holds it, so a short last
 paragraph is not lost, and blocks in it whose own weight is not positive (an
@@ -36,11 +39,12 @@ MAX_LABELLED = 5_000
 MAX_FEATURES = 2_000
 SMOOTH = 20.0
 TAG_COST = 0.3
+NAMED_PRIOR = -4.0
 
 # Element names of HTML by role.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mspace semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style template noscript iframe object svg math canvas audio video select textarea button form nav footer aside dialog menu".split())
+DROPPED = frozenset("head script style template noscript iframe object svg canvas audio video select textarea button form nav footer aside dialog menu".split())
 RAW = frozenset("script style template noscript iframe textarea title".split())
 SECTION = frozenset("article main section div td body html".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -57,24 +61,37 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-z
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_QUOTED = re.compile(r"(\bstyle\s*=\s*)?(?:\"[^\"]*\"|'[^']*')", re.I)
+
+
+def _is_name(token: str) -> bool:
+    """Whether all words of a class word are names; a word more (``no-``, ``has-``, ``-free``) makes it another."""
+    words = [w for w in _SPLIT.split(token) if w]
+    return bool(words) and all(NAMED.match(w) for w in words)
 
 
 class Element:
-    __slots__ = ("dropped", "features", "inside", "name", "parent")
+    __slots__ = ("article", "cut", "dropped", "features", "inside", "name", "named", "parent")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = "") -> None:
         self.name, self.parent = name, parent
         words: list[str] = []
+        tokens: list[str] = []
         article = name in ("article", "main")
         for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             value = next((v for v in values if v), "").lower()
             article |= kind.lower() == "itemprop" and "articlebody" in value
+            tokens += value.split()
             words += [w for w in _SPLIT.split(value) if w]
         held = parent is not None
         self.inside = article or (held and parent.inside)
-        named = any(NAMED.match(w) for w in words) and name not in ("html", "body", "article", "main")
-        header = name == "header" and not self.inside
-        self.dropped = (held and parent.dropped) or name in DROPPED or named or header or bool(attributes and _HIDDEN.search(attributes) and name != "body")
+        self.article = article
+        self.named = any(_is_name(t) for t in tokens) and name not in ("html", "body", "article", "main")
+        soft = self.named or name == "form" or (name == "header" and not self.inside)
+        # "hidden" inside a quoted value, other than a style, is no attribute
+        bare = _QUOTED.sub(lambda m: m[0] if m[1] else "\"\"", attributes) if attributes else ""
+        self.dropped = (held and parent.dropped) or (name in DROPPED and name != "form") or bool(bare and _HIDDEN.search(bare) and name != "body")
+        self.cut = self.dropped or soft or (held and parent.cut and not article)
         self.features = (*(() if name in PLAIN else (f"<{name}",)), *(f".{w}" for w in dict.fromkeys(words)))
 
 
@@ -122,7 +139,7 @@ class Page:
                         parent = here
                         if not found[3].rstrip().endswith("/") or name not in ("svg", "path"):
                             here = Element(name, here, found[3])
-                            if name in INLINE and here.dropped and not parent.dropped:
+                            if name in INLINE and here.cut and not parent.cut:
                                 end_block()
                         if name in RAW:
                             shut = re.compile(rf"</{name}\s*>", re.I).search(source, at)
@@ -138,7 +155,7 @@ class Page:
                     target = target.parent
                 if close not in INLINE:
                     end_block()
-                elif target is not None and target.dropped and target.parent is not None and not target.parent.dropped:
+                elif target is not None and target.cut and target.parent is not None and not target.parent.cut:
                     end_block()
                 if target is not None and target.parent is not None and self._may_close(here, target):
                     here = target.parent
@@ -214,14 +231,28 @@ class Scorer:
         self.weights = weights
 
     def word(self, element: Element) -> float:
-        """Positive for words of content.  Dropped elements are negative whatever the data say."""
-        if element.dropped:
+        """Positive for words of content.  Elements that never hold text for reading are negative whatever the data say."""
+        if element.dropped or (element.cut and self._left_out(element)):
             return -1.0
         found = [self.weights[f] for f in features_of(element) if f in self.weights]
         # text outside all that is known scores a little: pages without any structure are content
         return max(-2.0, min(2.0, 0.5 + sum(found) / max(len(found), 1))) if found else 0.5
 
 
+    def _left_out(self, element: Element | None) -> bool:
+        """Whether a form, header or named element is around, with no article between."""
+        while element is not None and element.cut:
+            if element.named:
+                if NAMED_PRIOR + sum(self.weights.get(f, 0.0) for f in element.features) < 0:
+                    return True
+            elif element.name == "form" or (element.name == "header" and not element.inside):
+                return True
+            if element.article:
+                return False
+            element = element.parent
+        return False
+
+
 def main_blocks(source: str | None, scorer: Scorer) -> list[str]:
     if not source:
         return []

@@ -26,6 +26,19 @@ def test_article(spark):
     assert got[6][0] == "a < b" and got[7][0] == "only text"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content no-sidebar'", "div class='has-comments ad-free'", "div class='sidebar'", "div class='overflow-hidden'", "form id=aspnet"])
+def test_wrapper_of_the_article(wrapper):
+    page = f"<body><div class='ad'>Buy it now.</div><{wrapper}><article><p>The words of the <math><mi>x</mi></math> article.</p><div class='ad'>Inner advert.</div></article></{wrapper.split()[0]}></body>"
+    assert M.main_blocks(page, M.Scorer({})) == ["The words of the x article."]
+
+
+def test_names_are_a_prior():
+    page = "<body><div class='related'><p>Words that labelled pages hold in such elements.</p></div></body>"
+    assert M.main_blocks(page, M.Scorer({})) == []
+    assert M.main_blocks(page, M.Scorer({".related": 5.0})) == ["Words that labelled pages hold in such elements."]
+    assert M.main_blocks("<div hidden>Words not shown.</div><div style='display: none'>Nor these.</div><p>Words.</p>", M.Scorer({})) == ["Words."]
+
+
 def test_no_labels_and_empty(spark):
     assert M.extract(pages(spark, ["<nav>menu</nav><p>Words of a page.</p>"])).first().text == "Words of a page."
     assert M.extract(pages(spark, [""]).limit(0)).collect() == []
