@@ -2,13 +2,14 @@
 
 Rules name a host and a path prefix and allow or block; the longest that fits
 decides.  A page that no rule fits takes the decision of its aliases: URLs tied
-by redirects (``http-equiv=refresh``), canonical links, or edges given by the
-caller form components, and a block that a rule lays on any URL of a component
+by redirects (``http-equiv=refresh``), canonical links (all of a page, resolved
+against its base), or edges given by the caller form components, and a block that a rule lays on any URL of a component
 reaches the pages in it.  A page's own rule comes first, so an explicit allow
 stands against an inherited block.  Without either, a page is allowed.
 
 Everything is native: rules are a literal list matched by expressions, edges
-come from regular expressions, components from :mod:`components`, and only URLs
+come from regular expressions (targets relative to the document are resolved in
+Arrow batches), components from :mod:`components`, and only URLs
 with an edge take part in joins.
 
 Defined results: a null URL, or one without ``://``, has empty host and path,
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import with_resolved
 from .components import components
 from .store import save
 
@@ -29,9 +31,11 @@ UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path prefix, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_NAME = r"(?<![-\w])"
+_LINK = rf"(?is)<link\b[^>]*{_NAME}rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))[^>]*>"
+_META = rf"(?is)<meta\b[^>]*{_NAME}http-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
+_BASE = rf"(?is)<base\b[^>]*{_NAME}href\s*=[^>]*>"
+_HREF = rf"(?is){_NAME}href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _TO = r"(?is)\burl\s*=\s*['\"]?([^'\"\s>]+)"
 
 
@@ -59,16 +63,27 @@ def vertex(url: Column) -> Column:
     return F.concat(F.translate(start, UPPER, SMALL), F.regexp_replace(bare, r"(?s)^.*?://[^/?#]*", ""))
 
 
+def _href(tag: Column) -> Column:
+    return F.concat(*[F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)])
+
+
+def _plain(target: Column) -> Column:
+    return F.trim(F.regexp_replace(target, "(?i)&amp;", "&"))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): canonical and refresh targets named in the pages, absolute or relative to the site's root."""
-    found = pages.select("url", F.array(F.regexp_extract("html", _LINK, 0), F.regexp_extract("html", _META, 0)).alias("tags")).where("url is not null and (tags[0] <> '' or tags[1] <> '')")
-    href = F.concat(*[F.regexp_extract(F.col("tags")[0], _HREF, i) for i in (1, 2, 3)])
-    targets = found.select("url", F.explode(F.array(href, F.regexp_extract(F.col("tags")[1], _TO, 1))).alias("to")).where("to <> ''")
-    target = F.trim(F.regexp_replace("to", "(?i)&amp;", "&"))
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?):", 1)
+    """(src, dst): all canonical and refresh targets named in the pages, against the page's base."""
+    tags = pages.select("url", "html", F.regexp_extract_all("html", F.lit(_LINK), 0).alias("links"), F.regexp_extract_all("html", F.lit(_META), 0).alias("metas")).where("url is not null and size(links) + size(metas) > 0")
+    named = F.concat(F.transform("links", _href), F.transform("metas", lambda tag: F.regexp_extract(tag, _TO, 1)))
+    targets = tags.select("url", _plain(_href(F.regexp_extract("html", _BASE, 0))).alias("named"), F.explode(named).alias("to")).where("to <> ''").withColumn("to", _plain(F.col("to")))
+    based = with_resolved(targets, "url", "named", "base").withColumn("base", F.coalesce("base", "url"))
+    target = F.col("to")
+    site = F.regexp_extract("base", r"(?s)^(.*?://[^/?#]*)", 1)
+    scheme = F.regexp_extract("base", r"(?s)^(.*?):", 1)
     whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(site, target))
-    return targets.select(vertex(F.col("url")).alias("src"), vertex(whole).alias("dst")).where("dst is not null")
+    # the others are relative to the document
+    rest = with_resolved(based.withColumn("whole", whole).withColumn("left", F.when(F.col("whole").isNull(), F.col("to"))), "base", "left", "resolved")
+    return rest.select(vertex(F.col("url")).alias("src"), vertex(F.coalesce("whole", "resolved")).alias("dst")).where("dst like '%://%'")
 
 
 def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:

@@ -42,5 +42,22 @@ def test_aliases(spark):
     assert got[3] == got[4] == "block" and got[2] == "allow"
 
 
+def test_relative_targets_and_all_tags(spark):
+    bad = "http://x.net/es/bad"
+    data = [
+        ("http://a.org/d/1", "<meta http-equiv=refresh content='0;url=index.html'>"),
+        ("http://a.org/d/index.html", f'<link rel="canonical" href="{bad}">'),
+        ("http://b.org/d/e/1", "<link rel=canonical href='../a'>"),
+        ("http://b.org/d/a", f"<link rel='alternate canonical' href='{bad}'>"),
+        ("http://c.org/p?id=1", '<link rel="canonical" href="?id=3">'),
+        ("http://c.org/p?id=3", f'<link rel="canonical" href="http://ok.org/"><link href="{bad}" rel="canonical">'),
+        ("http://d.org/1", '<base href="http://e.org/q/"><link rel="canonical" href="2">'),
+        ("http://e.org/q/2", f'<meta http-equiv="refresh" content="9"><meta http-equiv="refresh" content="0; url={bad}">'),
+        ("http://f.org/1", f'<link rel="non-canonical" href="{bad}"><link rel="alternate" href="{bad}"><link rel="canonical" href="mailto:x">'),
+    ]
+    got = {r.page_id: (r.verdict, r.inherited) for r in urls.judge(rows(spark, data)).collect()}
+    assert got == {i: ("block", True) for i in range(8)} | {8: ("allow", False)}
+
+
 def test_empty(spark):
     assert urls.judge(rows(spark, []).limit(0)).collect() == []
