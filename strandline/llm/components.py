@@ -5,20 +5,48 @@ random rank of that round; edges are rewritten between the chosen
 representatives and the graph shrinks by a constant factor in expectation.
 All steps are joins and partially aggregated minima, so a hub of any degree is
 combined before the shuffle.  The rounds' tables are Parquet in the shared
-folder, and the labels are composed backwards at the end.
+folder, and the labels are composed backwards at the end.  What is left once at
+most ``SMALL`` edges remain, some megabytes, is finished by one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import save
 
 MAX_ROUNDS = 200
+SMALL = 200_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _finish(batches):
+    """(id, to) of every vertex of at most SMALL edges: one vertex of its component."""
+    parts = list(batches)
+    if not parts:
+        return
+    edges = pa.Table.from_batches(parts)
+    ends = pa.concat_arrays([edges.column(0).combine_chunks(), edges.column(1).combine_chunks()]).dictionary_encode()
+    number, names = np.asarray(ends.indices), ends.dictionary
+    x, y = number[: edges.num_rows], number[edges.num_rows :]
+    root = np.arange(len(names))
+    while True:
+        new = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[root]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], ["id", "to"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """(id, root) for every vertex with an edge; root is one vertex of its component, not the least.
 
     Null endpoints and loops are ignored; repeated edges count once.
@@ -26,7 +54,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     live = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     steps: list[DataFrame] = []
-    while not live.isEmpty():
+    while (left := live.count()) > 0:
+        if left <= small:
+            kind = live.schema["a"].dataType.simpleString()
+            steps.append(save(live.coalesce(1).mapInArrow(_finish, f"id {kind}, to {kind}"), "step"))
+            break
         if len(steps) >= MAX_ROUNDS:
             raise RuntimeError("components: contraction did not finish")
         salt = F.lit(len(steps) + 1)

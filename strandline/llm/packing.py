@@ -209,9 +209,12 @@ class Packer:
         return done
 
 
-def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None, keep_words: bool = True) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None, keep_words: bool = True, order: list[str] | None = None) -> DataFrame:
     """Pieces of every document of ``documents`` (doc_id, text[, loss column: whether its tokens bear loss]).
 
+    With ``order``, columns that sort the rows, tasks take consecutive ranges of
+    the rows in that order and number their sequences along it.
+
     With ``keep_words`` a worker's encoded words outlast the task; without, it
     gives their memory back, for workers that go on to other stages.
     """
@@ -235,4 +238,8 @@ def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), l
         if pieces:
             yield flush()
 
+    if order:
+        documents = documents.select("*", *[F.col(c).alias(f"_sl_order{i}") for i, c in enumerate(order)])
+        keys = [f"_sl_order{i}" for i in range(len(order))]
+        documents = documents.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(loss).cast("boolean") if loss else F.lit(True)).alias("loss")).mapInArrow(run, PIECES)

@@ -260,8 +260,26 @@ def covered(at: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]
     return list(zip(begin[first].tolist(), reach[np.append(first[1:], len(begin)) - 1].tolist(), strict=True))
 
 
-def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND) -> tuple[DataFrame, DataFrame]:
-    """(rows, cut): every document's doc_id, n_bytes, k and copies; and for each text k that loses bytes, spans and the kept text, of whole characters."""
+def whole_words(body: bytes, ranges: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """The ranges cut down to whole words, of those that hold ``least`` of them or more."""
+    out = []
+    for begin, end in ranges:
+        if begin and not body[begin - 1 : begin].isspace():
+            while begin < end and not body[begin : begin + 1].isspace():
+                begin += 1
+        if end < len(body) and not body[end : end + 1].isspace():
+            while end > begin and not body[end - 1 : end].isspace():
+                end -= 1
+        if len(body[begin:end].split()) >= least:
+            out.append((begin, end))
+    return out
+
+
+def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, cut): every document's doc_id, n_bytes, k and copies; and for each text k that loses bytes, spans and the kept text, of whole characters.
+
+    With ``least_words`` only the whole words of runs that hold so many are removed.
+    """
     if not 0 < gram <= length - band:
         raise ValueError("gram and band must leave a core: 0 < gram <= length - band")
     spark = documents.sparkSession
@@ -287,6 +305,8 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
                 body = bodies[i].as_py()
                 found = hits[i].values
                 ranges = covered(np.asarray(found.field("at")), np.asarray(found.field("n")), length)
+                if least_words:
+                    ranges = whole_words(body, ranges, least_words)
                 ends = [0, *(e for _, e in ranges)]
                 kept = b"".join(body[a:b] for a, b in zip(ends, [*(s for s, _ in ranges), len(body)], strict=True))
                 out.append((keys[i].as_py(), len(body) - len(kept), len(ranges), kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
@@ -315,19 +335,23 @@ def report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def cut_texts(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band: int = BAND, least_words: int = 0) -> DataFrame:
     """``documents`` with the repeated bytes taken out of ``text``; every row stays, ``n_chars`` (if there) follows the text.
 
-    A character of which some bytes were removed goes with them.
+    A character of which some bytes were removed goes with them.  With
+    ``least_words`` whole words go, of repeated runs that hold so many.
     """
-    rows, done = removals(documents, length)
+    rows, done = removals(documents, length, gram, band, least_words)
     copies = rows.where(F.col("n_bytes") >= length).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("k").alias("_sl_k"), F.lit(True).alias("_sl_copied"))
     changed = done.select(F.col("k").alias("_sl_c"), F.col("kept").alias("_sl_text"))
     keyed = documents.withColumn("_sl_id", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
     joined = keyed.join(copies, F.col("_sl_id") == F.col("_sl_k"), "left").join(changed, F.col("_sl_id") == F.col("_sl_c"), "left")
-    text = F.when(F.col("_sl_copied"), F.lit("")).when(F.col("_sl_c").isNotNull(), F.col("_sl_text")).otherwise(F.col("text"))
+    copied = F.col("_sl_copied")
+    if least_words:
+        copied = copied & (F.size(F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= least_words)
+    text = F.when(copied, F.lit("")).when(F.col("_sl_c").isNotNull(), F.col("_sl_text")).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("_sl_copied") | F.col("_sl_c").isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(copied | F.col("_sl_c").isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
     return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
 

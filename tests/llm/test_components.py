@@ -25,8 +25,9 @@ def brute(edges):
     return {frozenset(g) for g in groups.values() if len(g) > 1}
 
 
+@pytest.mark.parametrize("small", [0, 70, 200_000])
 @pytest.mark.parametrize("kind", ["random", "chain", "star", "empty"])
-def test_components(spark, kind):
+def test_components(spark, kind, small):
     rng = random.Random(3)
     edges = {
         "random": [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(None, 1), (2, None)],
@@ -35,6 +36,6 @@ def test_components(spark, kind):
         "empty": [],
     }[kind]
     groups = {}
-    for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
+    for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect():
         groups.setdefault(r.root, set()).add(r.id)
     assert {frozenset(g) for g in groups.values()} == brute(edges)
