@@ -1,14 +1,17 @@
 """Corpus pipeline: toxicity, near-duplicates, repeated passages, mixing, packing.
 
 Every stage works on all that the one before it kept.  The first three decide
-what stays; mixing orders the rows by the schedule of their sources; packing
-returns the pieces of all sequences.
+what stays; mixing orders the rows by the schedule of their sources, and its
+files and the rows in them keep that order; packing numbers its sequences along
+it and returns their pieces.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import mixing, neardup, packing, suffixes, toxicity
@@ -17,7 +20,11 @@ from strandline.llm.ship import ship
 from strandline.llm.store import fresh_path, recorded, remove
 
 
-_made: list[str] = []
+#: A repeated passage: more than 50 words in one run of repeated strings of this many bytes.
+PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_BAND, PASSAGE_WORDS = 200, 50, 76, 51
+
+#: tables behind a stage's result, for each thread and input
+_made: dict[tuple[int, str], list[str]] = {}
 
 
 def stage(fn):
@@ -26,13 +33,13 @@ def stage(fn):
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        for path in _made:
+        run = threading.get_ident(), sf_dir
+        for path in _made.pop(run, []):
             remove(spark, path)
-        _made.clear()
         own: list[str] = []
         with recorded(own):
             out = fn(spark, docs, sf_dir)
-        _made.extend(own)
+        _made[run] = own
         return out
 
     return run_stage
@@ -52,8 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that also stand elsewhere."""
-    return suffixes.cut_texts(docs)
+    """All documents, without the passages of more than 50 words that also stand elsewhere."""
+    return suffixes.cut_texts(docs, PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_BAND, PASSAGE_WORDS)
 
 
 @stage
@@ -64,8 +71,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(), keep_words=False)
+    """The pieces of all documents in sequences of 4096 tokens, along the order of the files and the rows in them."""
+    order = ["_metadata.file_name", "_metadata.row_index"]
+    try:
+        docs.select(*order)
+    except AnalysisException:  # not read from files
+        order = []
+    return packing.pack(docs, tokenizer_path(), keep_words=False, order=order)
 
 
 STAGES = [
@@ -82,9 +94,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         path = fresh_path(spark, name)
         step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
