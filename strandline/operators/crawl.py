@@ -70,15 +70,16 @@ def page_links(pages: DataFrame, hosts: DataFrame | None = None, key: str = "url
 
     Kept are http(s) links to the same host, or to public hosts, that can hold
     HTML.  A host's address comes from ``hosts`` (host, ip); without that table,
-    named hosts count as public and literal addresses are judged.
+    named hosts count as public and literal addresses are judged, those that
+    cannot be read as private.
     """
     spread = with_base(pages).select(F.col(key), "base", F.posexplode(H.anchors(F.col("html"))).alias("pos", "a"))
     resolved = H.with_resolved(spread.select(key, "base", "pos", "a.nofollow", "a.target"), "base", "target", "found")
     found = resolved.where(F.col("found").isNotNull() & H.scheme(F.col("found")).isin("http", "https"))
     found = found.withColumn("link", H.without_fragment(F.col("found"))).withColumn("_host", H.hostname(F.col("found"))).withColumn("_own", H.hostname(F.col("base")))
     if hosts is None:
-        literal = N.is_private(N.host_ip(F.col("_host")))
-        found = found.where((F.col("_host") == F.col("_own")) | ~F.coalesce(literal, F.lit(False)))
+        literal = N.host_ip(F.col("_host"))
+        found = found.where((F.col("_host") == F.col("_own")) | literal.isNull() | ~N.blocked(literal))
     else:
         known = hosts.groupBy("host").agg(F.min("ip").alias("_ip"))
         found = found.join(known, F.col("_host") == F.col("host"), "left").where((F.col("_host") == F.col("_own")) | ~N.blocked(N.host_ip(F.col("_host"), F.col("_ip"))))

@@ -2,7 +2,8 @@
 
 The table is partitioned by a hash of the term and sorted by it inside, so a
 query reads the row groups of its own terms only (``term`` and the partition
-are pushed to the reader) and never the documents.
+are pushed to the reader) and never the documents.  Documents are kept beside
+it, sorted by id, so that those of a page of results are fetched by their ids.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .index import B, K1
+from ..shared import file_system
+from .index import B, K1, field_stats
 
 BUCKETS = 64
+STORED = "field string, term string, link_id string, tf long, length long, positions array<int>, bucket int"
 FIELDS = ("title", "content")
 
 
@@ -32,23 +35,36 @@ def _bucket(term: Column) -> Column:
 
 
 class PostingsIndex:
-    """Postings and field sizes below a folder."""
+    """Postings and field sizes below a folder, with the documents they were made of."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, documents: DataFrame | None = None) -> None:
+        self.spark, self.root, self._documents = spark, root.rstrip("/"), documents
 
-    def write(self, documents: DataFrame, stop_words: tuple[str, ...] = ()) -> PostingsIndex:
+    def write(self, documents: DataFrame, stop_words: tuple[str, ...] = (), copy: bool = True) -> PostingsIndex:
+        """Index ``documents``; without ``copy`` they are stored elsewhere already."""
+        if copy:
+            documents.repartitionByRange("link_id").sortWithinPartitions("link_id").write.mode("overwrite").parquet(f"{self.root}/documents")
+            documents = self.spark.read.parquet(f"{self.root}/documents")
+        self._documents = documents
         postings = positional_postings(documents, stop_words).withColumn("bucket", _bucket(F.col("term")))
         # ranges of (bucket, term, id), so that a very common term fills many files rather than one task
         postings.repartitionByRange("bucket", "term", "link_id").sortWithinPartitions("bucket", "term", "link_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
-        sizes = F.array(*[F.struct(F.lit(f).alias("field"), F.size(X.tokens(F.col(f), stop_words)).cast("long").alias("n")) for f in FIELDS])
-        documents.select(F.explode(sizes).alias("s")).groupBy("s.field").agg(F.count(F.lit(1)).alias("docs"), F.sum("s.n").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fields")
+        field_stats(documents, stop_words).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fields")
+        files, at = file_system(self.spark, f"{self.root}/_SUCCESS")
+        files.create(at, True).close()
         return self
 
+    def documents(self) -> DataFrame:
+        return self._documents if self._documents is not None else self.spark.read.parquet(f"{self.root}/documents")
+
+    def ranks(self) -> DataFrame:
+        """(link_id, pagerank) of every document; no text is read."""
+        return self.documents().select("link_id", "pagerank")
+
     def postings(self, terms: list[str]) -> DataFrame:
         """Postings of the terms; buckets and row groups of others are not read."""
-        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(_bucket(F.col("t"))).distinct().collect()]
-        return self.spark.read.parquet(f"{self.root}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        found = self.spark.read.schema(STORED).parquet(f"{self.root}/postings")
+        return found.where(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in terms]) & F.col("term").isin(*terms))
 
     def scores(self, terms: list[str]) -> DataFrame:
         """(link_id, score): BM25 of each field, the better one, over documents with any of the terms."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import StrandlineError
 from ..functions import text as X
-from . import index as I
+from .postings import PostingsIndex
 
 PAGE_SIZE = 10
 SUMMARY_LENGTH = 256
@@ -46,27 +47,21 @@ def parse_offset(value: Column) -> Column:
     return F.when(number >= 0, number).otherwise(F.lit(0).cast("bigint"))
 
 
-def _has_phrase(field: str, terms: list[str]) -> Column:
-    joined = F.concat(F.lit(" "), F.array_join(X.tokens(F.col(field)), " "), F.lit(" "))
-    return joined.contains(" " + " ".join(terms) + " ")
-
-
-def matching(documents: DataFrame, query: Query) -> DataFrame:
-    """Documents that match, with their text score: any term, or the phrase in one field."""
+def matching(stored: PostingsIndex, query: Query) -> DataFrame:
+    """(link_id, score, pagerank) of the documents that match: any term, or the phrase in one field."""
     terms = query.terms
-    if not terms:
-        return documents.withColumn("score", F.lit(0.0)).limit(0)
-    scored = I.bm25_scores(documents, list(dict.fromkeys(terms)))
-    found = documents.where(_has_phrase("title", terms) | _has_phrase("content", terms)) if query.phrase else documents
-    return found.join(scored, "link_id")
+    scored = stored.scores(terms)
+    if query.phrase:
+        scored = scored.join(stored.phrase(terms), "link_id", "left_semi")
+    return scored.join(stored.ranks(), "link_id")
 
 
-def ranked(documents: DataFrame, query: Query, blend: str | None = None) -> DataFrame:
-    """Matches with ``rank_score`` columns: by PageRank then text score, or blended.
+def ranked(stored: PostingsIndex, query: Query, blend: str | None = None) -> DataFrame:
+    """Matches with ``rank_score``: by PageRank then text score, or blended.
 
     ``blend``: 'multiply' is score * (score + pagerank), 'sum' is score + pagerank.
     """
-    found = matching(documents, query)
+    found = matching(stored, query)
     if blend is None:
         return found.withColumn("rank_score", F.col("pagerank"))
     if blend not in ("multiply", "sum"):
@@ -80,21 +75,38 @@ def order() -> list[Column]:
     return [F.desc("rank_score"), F.desc("score"), F.asc("link_id")]
 
 
-def search(documents: DataFrame, query: Query, blend: str | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page of hits in order, each with the number of all hits.
+def search(stored: PostingsIndex, query: Query, blend: str | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
+    """One page of hits in order, each with its ``position`` and the number of all hits.
 
-    The total comes from its own aggregate, so the page itself is a top-k and
-    never a full sort.
+    Hits are ranked from the postings of the query's terms as a top-k of ids;
+    only the page's documents are then fetched, by their ids.
     """
-    hits = ranked(documents, query, blend)
-    total = hits.agg(F.count(F.lit(1))).scalar()
-    return hits.orderBy(*order()).offset(query.offset).limit(page_size).withColumn("total_count", total)
-
-
-def search_page(documents: DataFrame, text: str, offset: str | int = 0, page_size: int = PAGE_SIZE, summary_length: int = SUMMARY_LENGTH) -> DataFrame:
-    """position, link_id, url, title, summary, total_count: a page as shown, summaries made for its rows alone."""
+    hits = ranked(stored, query, blend)
+    page = hits.orderBy(*order()).offset(query.offset).limit(page_size).select("link_id", "score", "rank_score").collect()  # page_size rows
+    if 0 < len(page) < page_size:
+        total = query.offset + len(page)
+    else:
+        total = hits.count() if page else 0
+    shown = stored.spark.createDataFrame([(i, *r, total) for i, r in enumerate(page)], "position int, link_id string, score double, rank_score double, total_count long")
+    found = stored.documents().where(F.col("link_id").isin([r.link_id for r in page]))
+    return found.join(F.broadcast(shown), "link_id").orderBy("position")
+
+
+def batches(stored: PostingsIndex, query: Query, blend: str | None = None, size: int = PAGE_SIZE) -> Iterator[Row]:
+    """All hits from the query's offset on, fetched ``size`` at a time as they are asked for."""
+    offset = query.offset
+    while True:
+        rows = search(stored, replace(query, offset=offset), blend, size).collect()
+        yield from rows
+        if len(rows) < size:
+            return
+        offset += size
+
+
+def search_page(stored: PostingsIndex, text: str, offset: str | int = 0, page_size: int = PAGE_SIZE, summary_length: int = SUMMARY_LENGTH) -> DataFrame:
+    """link_id, url, title, summary, total_count, rank_score, score: a page as shown, summaries made for its rows alone."""
     query = Query.parse(text, offset)
-    page = search(documents, query, page_size=page_size)
+    page = search(stored, query, page_size=page_size)
     terms = X.display_terms(query.expr)
     summary = X.highlight(X.escape_html(X.match_summary(F.col("content"), terms, summary_length)), terms)
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))

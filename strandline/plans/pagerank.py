@@ -1,9 +1,10 @@
 """PageRank with dangling mass spread over all vertices.
 
-A superstep is one job: ranks join out-degrees and edges, shares are summed by
-target with map-side combination, and the written result carries the step's
-change and the next dangling mass as observed metrics.  Edges hold their
-source's out-degree, so a step shuffles ranks and shares only.
+A superstep is one job: ranks join edges, shares are summed by target with
+map-side combination, and the written result carries the step's change and the
+next dangling mass as observed metrics.  Edges are stored in buckets of their
+source with its out-degree, ranks in buckets of the id, so a step shuffles the
+shares only; the ranks of the step before last are removed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import StrandlineError
-from .pregel import cut
+from ..shared import Tables
 
 DAMPING = 0.85
 MIN_CHANGE = 0.001
@@ -43,17 +44,18 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, mi
     Superstep 1 sets every rank to 1/N.  ``history`` gets (superstep, change).
     """
     damping, min_change = _settings(damping, min_change)
-    ids = cut(vertices.select("id").distinct())
+    tables = Tables(vertices.sparkSession)
+    ids = tables.put(vertices.select("id").distinct(), "id", deal=False)
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    used = usable_edges(ids, edges)
-    degree = out_degree(used)
-    links = cut(used.join(degree, "src"))
+    used = tables.put(usable_edges(ids, edges), "src")
+    links = tables.put(used.join(out_degree(used), "src"), "src", deal=False)
     # the table of vertices with their out-degree, null for dangling ones
-    known = cut(ids.join(degree.withColumnRenamed("src", "id"), "id", "left"))
-    ranks = known.select("id", "out_degree", F.lit(1.0 / n).alias("rank"))
-    lost = known.agg(F.sum(F.when(F.col("out_degree").isNull(), F.lit(1.0 / n)))).first()[0] or 0.0
+    degree = used.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    ranks = tables.put(ids.join(degree, "id", "left").withColumn("rank", F.lit(1.0 / n)), "id", deal=False)
+    tables.drop(used)
+    lost = ranks.agg(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank")))).first()[0] or 0.0
     step = 1
     if history is not None:
         history.append((1, 1.0))
@@ -63,10 +65,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, mi
         base = (1.0 - damping) / n + damping * lost / n
         moved = ranks.join(shares, "id", "left").select("id", "out_degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         seen = Observation()
-        ranks = cut(moved.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))).alias("lost")).drop("old"))
+        before, ranks = ranks, tables.put(moved.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))).alias("lost")).drop("old"), "id", deal=False)
         change, lost = seen.get["change"], seen.get["lost"] or 0.0
+        tables.drop(before)
         if history is not None:
             history.append((step, change))
         if max_steps is None and change < min_change:
             break
+    tables.drop(links)
+    tables.drop(ids)
     return ranks.select("id", "rank")

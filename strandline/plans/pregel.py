@@ -6,34 +6,54 @@ message compute; what they send is combined by an aggregate before the shuffle
 and arrives in the next superstep.  Delivery is a join on the vertex id, so a
 message reaches any partition and no relay is needed.
 
-State is written to a checkpoint after each superstep, which cuts the lineage
-and survives lost executors.  Aggregators and the count of active vertices are
-computed in the same job that writes it.
+State is written after each superstep in buckets of the id, edges once in
+buckets of their source, so a superstep shuffles its messages only, and lost
+executors lose nothing.  Aggregators and the count of active vertices are
+computed in the same job; what the superstep before wrote is removed.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import InvalidMessageDestination, StrandlineError, UnknownEdgeSource
+from ..shared import Tables
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; make a private one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+class GraphBuilder:
+    """Vertices and edges added a frame at a time: the last value of a vertex wins, edges are a bag."""
 
+    def __init__(self) -> None:
+        self.vertices: list[DataFrame] = []
+        self.edges: list[DataFrame] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    def add_vertices(self, vertices: DataFrame) -> GraphBuilder:
+        """(id, value); a known id gets the new value.  Within one frame the greatest value of an id counts."""
+        self.vertices.append(vertices.select("id", "value"))
+        return self
+
+    def add_edges(self, edges: DataFrame) -> GraphBuilder:
+        """(src, dst and further columns); parallel edges stay."""
+        self.edges.append(edges)
+        return self
+
+    def frames(self) -> tuple[DataFrame, DataFrame]:
+        if not self.vertices:
+            raise StrandlineError("a graph needs vertices")
+        turns = [v.withColumn("turn", F.lit(i)) for i, v in enumerate(self.vertices)]
+        last = reduce(DataFrame.union, turns).groupBy("id").agg(F.max(F.struct("turn", "value")).alias("last")).select("id", F.col("last.value").alias("value"))
+        if not self.edges:
+            return last, last.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+        return last, reduce(DataFrame.unionByName, self.edges)
+
+    def reset(self) -> None:
+        self.vertices.clear()
+        self.edges.clear()
 
 
 @dataclass
@@ -103,8 +123,9 @@ class Pregel:
 
     def run(self, vertices: DataFrame, edges: DataFrame, steps: int | None = None, start_active: bool = True) -> Result:
         """Run so many supersteps, or with ``steps=None`` until nothing is active and no mail waits, or ``keep_running`` says no."""
-        state = vertices.select("id", "value", F.lit(start_active).alias("active"), F.lit(None).cast("boolean").alias("computed"))
-        edges = cut(self._checked(vertices, edges))
+        tables = Tables(vertices.sparkSession)
+        state = tables.put(vertices.select("id", "value", F.lit(start_active).alias("active"), F.lit(None).cast("boolean").alias("computed")), "id")
+        edges = tables.put(self._checked(state, edges), "src")
         inbox: DataFrame | None = None
         totals = dict(self.presets)
         done: list[Step] = []
@@ -118,8 +139,10 @@ class Pregel:
             new = met.select("id", F.when(runs, value).otherwise(F.col("value")).alias("value"), F.when(runs, active).otherwise(F.lit(False)).alias("active"), runs.alias("computed"))
             seen = Observation()
             counts = [F.count_if("computed").alias("_active"), F.count_if("active").alias("_next"), *[c.alias(n) for n, c in self.aggregators.items()]]
-            state = cut(new.observe(seen, *counts))
+            before, state = state, tables.put(new.observe(seen, *counts), "id", deal=False)
             got = seen.get
+            tables.drop(before)
+            tables.drop(inbox)
             for name in self.aggregators:
                 now = got.get(name) or 0
                 totals[name] = totals.get(name, 0) + now if self.accumulate else now
@@ -128,13 +151,17 @@ class Pregel:
             if self.post_step:
                 self.post_step(step)
             mail = 0
-            if self.send:
+            if self.send and (steps is None or len(done) < steps):
                 sent = edges.join(state.where("computed").select(F.col("id").alias("src"), "value"), "src")
                 message = self.send(F.col("value"), F.col, turn)
-                inbox = cut(sent.select(F.col("dst").alias("id"), message.alias("m")).where("m is not null").groupBy("id").agg(self.combine(F.col("m")).alias("message")))
-                mail = 0 if steps is not None else int(not inbox.isEmpty())
+                post = Observation()
+                combined = sent.select(F.col("dst").alias("id"), message.alias("m")).where("m is not null").groupBy("id").agg(self.combine(F.col("m")).alias("message"))
+                inbox = tables.put(combined.observe(post, F.count(F.lit(1)).alias("mail")), "id", deal=False)
+                mail = post.get["mail"]
             if self.keep_running and not self.keep_running(step):
                 break
             if steps is None and not got["_next"] and not mail:
                 break
+        tables.drop(edges)
+        tables.drop(inbox)
         return Result(state.select("id", "value", "active"), done)

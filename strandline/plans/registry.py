@@ -8,7 +8,6 @@ texts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,6 +21,7 @@ from ..functions import text as X
 from ..operators import crawl, graphstore, index, search
 from ..operators.postings import PostingsIndex
 from ..schemas import LAST_ID, NEVER, NIL_ID, never
+from ..shared import shared_dir
 from ..ship import ship
 from . import pagerank as PR
 from . import shortest_path as SP
@@ -108,18 +108,18 @@ site_edges AS (SELECT src, dst, {uuid_sql("src || '>' || dst")} AS id, updated_s
 
 
 def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The supplier/part graph: large orders point to the part, small ones back."""
+    """The supplier/part graph of all line items: large orders point to the part, small ones back."""
     lines = table(spark, d, "lineitem")
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    there = lines.where("l_quantity >= 45").select(s.alias("src"), p.alias("dst"), "l_linenumber")
-    back = lines.where("l_quantity <= 3").select(p.alias("src"), s.alias("dst"), "l_linenumber")
+    there = lines.where("l_quantity >= 25").select(s.alias("src"), p.alias("dst"), "l_linenumber")
+    back = lines.where("l_quantity < 25").select(p.alias("src"), s.alias("dst"), "l_linenumber")
     edges = there.union(back).groupBy("src", "dst").agg(F.min("l_linenumber").cast("long").alias("cost"))
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct(), edges
 
 
 GRAPH = """edges AS MATERIALIZED (SELECT src, dst, min(l_linenumber)::BIGINT AS cost FROM (
-  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linenumber FROM lineitem WHERE l_quantity >= 45 UNION ALL
-  SELECT 'p' || l_partkey, 's' || l_suppkey, l_linenumber FROM lineitem WHERE l_quantity <= 3) GROUP BY src, dst),
+  SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linenumber FROM lineitem WHERE l_quantity >= 25 UNION ALL
+  SELECT 'p' || l_partkey, 's' || l_suppkey, l_linenumber FROM lineitem WHERE l_quantity < 25) GROUP BY src, dst),
 vertices AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"""
 
 
@@ -327,16 +327,18 @@ def fetch_filters(spark, d):
     return crawl.successful_html(spark.createDataFrame(FETCHED, "url string, status int, content_type string"))
 
 
-ADDRESSES = ["127.0.0.1", "10.0.0.128", "192.168.0.127", "172.16.10.10", "172.32.0.1", "169.254.169.254", "8.8.8.8", "0.1.2.3", "255.255.255.255", "255.255.255.254", "11.0.0.1", "no address"]
+ADDRESSES = ["127.255.3.9", "10.200.7.1", "192.168.44.5", "192.169.0.1", "172.31.255.254", "172.32.0.1", "169.254.0.9", "9.9.9.9", "0.1.2.3", "255.255.255.255", "255.255.255.254", "11.0.0.1", "no address"]
+ADDRESSES_6 = {"::1": False, "::2": True, "fe80::a:b": False, "febf::1": False, "fec0::1": True, "fd12:3456::7": False, "2606:4700::6810:84e5": True, "::ffff:10.9.8.7": False, "::ffff:9.9.9.9": True, "1:2:3": False, "fe80::1%eth0": False}
 _IP = "(split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT)"
 
 
 @query(
     f"""SELECT ip FROM (VALUES {', '.join(f"('{a}')" for a in ADDRESSES)}) t(ip) WHERE CASE WHEN regexp_full_match(ip, '[0-9.]+') THEN NOT (
-      {_IP} // 16777216 IN (127, 10, 0) OR {_IP} // 1048576 = 172 * 16 + 1 OR {_IP} // 65536 IN (192 * 256 + 168, 169 * 256 + 254) OR {_IP} = 4294967295) ELSE false END"""
+      {_IP} // 16777216 IN (127, 10, 0) OR {_IP} // 1048576 = 172 * 16 + 1 OR {_IP} // 65536 IN (192 * 256 + 168, 169 * 256 + 254) OR {_IP} = 4294967295) ELSE false END
+      UNION ALL SELECT ip FROM (VALUES {', '.join(f"('{a}', {p})" for a, p in ADDRESSES_6.items())}) t(ip, public) WHERE public"""
 )
 def filter_private(spark, d):
-    return spark.createDataFrame([(a,) for a in ADDRESSES], "ip string").where(~N.blocked(F.col("ip")))
+    return spark.createDataFrame([(a,) for a in [*ADDRESSES, *ADDRESSES_6]], "ip string").where(~N.blocked(F.col("ip")))
 
 
 SUBMITTED = """(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.example.com/' || page_id WHEN 2 THEN 'https://new.example.com/' || page_id || '#top' ELSE 'nonsense' END AS site FROM pages)"""
@@ -437,26 +439,36 @@ def bm25_sql(terms: list[str]) -> str:
       FROM postings JOIN dfs USING (field, term) JOIN sizes USING (field) GROUP BY link_id, field) GROUP BY link_id)"""
 
 
+def stored_index(spark, d) -> PostingsIndex:
+    """The documents' postings, written below the session's shared folder."""
+    return PostingsIndex(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}").write(documents_of(spark, d))
+
+
+_INDEXES: dict[tuple[str, str], PostingsIndex] = {}
+
+
+def index_of(spark, d) -> PostingsIndex:
+    """The stored index of a folder's documents, made at the first search in the application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = stored_index(spark, d)
+    return _INDEXES[key]
+
+
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(score, 6) AS score FROM scored")
 def bm25_scores(spark, d):
-    return index.bm25_scores(documents_of(spark, d), TERMS).select("link_id", F.round("score", 6).alias("score"))
+    return index_of(spark, d).scores(TERMS).select("link_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, url, round(pagerank, 6) AS pagerank, round(score, 6) AS score, (SELECT count(*) FROM scored) AS total_count FROM scored JOIN docs USING (link_id) ORDER BY docs.pagerank DESC, scored.score DESC, link_id LIMIT 10 OFFSET 20")
 def search_match(spark, d):
-    page = search.search(documents_of(spark, d), search.Query.parse(MATCH, 20))
+    page = search.search(index_of(spark, d), search.Query.parse(MATCH, 20))
     return page.select("link_id", "url", F.round("pagerank", 6).alias("pagerank"), F.round("score", 6).alias("score"), "total_count")
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(score * (score + pagerank), 6) AS rank_score, (SELECT count(*) FROM scored) AS total_count FROM scored JOIN docs USING (link_id) ORDER BY scored.score * (scored.score + docs.pagerank) DESC, scored.score DESC, link_id LIMIT 10")
 def search_match_blended(spark, d):
-    return search.search(documents_of(spark, d), search.Query.parse(MATCH), blend="multiply").select("link_id", F.round("rank_score", 6).alias("rank_score"), "total_count")
-
-
-def stored_index(spark, d) -> PostingsIndex:
-    """The documents' postings, written below the session's shared folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")).rstrip("/")
-    return PostingsIndex(spark, f"{root}/postings-{uuid.uuid4().hex}").write(documents_of(spark, d))
+    return search.search(index_of(spark, d), search.Query.parse(MATCH), blend="multiply").select("link_id", F.round("rank_score", 6).alias("rank_score"), "total_count")
 
 
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(score, 6) AS score FROM scored")
@@ -480,29 +492,26 @@ PHRASE = '"of the"'
     WHERE contains(' ' || array_to_string({tokens_sql('title')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({tokens_sql('content')}, ' ') || ' ', ' of the ')"""
 )
 def search_phrase(spark, d):
-    hits = search.ranked(documents_of(spark, d), search.Query.parse(PHRASE))
-    return hits.select("link_id", "url").withColumn("total_count", hits.agg(F.count(F.lit(1))).scalar())
+    hits = search.ranked(index_of(spark, d), search.Query.parse(PHRASE))
+    urls = index_of(spark, d).documents().select("link_id", "url")
+    return hits.select("link_id").join(urls, "link_id").withColumn("total_count", hits.agg(F.count(F.lit(1))).scalar())
 
 
 @query(f"WITH {DOCS}, {bm25_sql(['que'])} SELECT link_id, url, CASE WHEN title = '' THEN url ELSE title END AS title, (SELECT count(*) FROM scored) AS total_count FROM scored JOIN docs USING (link_id) ORDER BY docs.pagerank DESC, scored.score DESC, link_id LIMIT 10 OFFSET 10")
 def search_page(spark, d):
-    return search.search_page(documents_of(spark, d), "que", "10").select("link_id", "url", "title", "total_count")
-
-
-@query()
-def search_page_summaries(spark, d):
-    return search.search_page(documents_of(spark, d), '"que les"').select("link_id", "title", "summary", "total_count")
+    return search.search_page(index_of(spark, d), "que", "10").select("link_id", "url", "title", "total_count")
 
 
 @query(
-    """SELECT page_id, page_id * 3 + 1 AS from_row, page_id * 3 + least(10, 500 - page_id * 3) AS to_row, 500::BIGINT AS total,
-    CASE WHEN page_id = 0 THEN NULL WHEN page_id * 3 > 10 THEN '/search?q="a b"&offset=' || (page_id * 3 - 10) ELSE '/search?q="a b"' END AS prev_link,
-    CASE WHEN page_id * 3 + least(10, 500 - page_id * 3) < 500 THEN '/search?q="a b"&offset=' || (page_id * 3 + 10) END AS next_link FROM pages WHERE page_id * 3 < 500"""
+    """SELECT page_id, page_id + 1 AS from_row, page_id + least(10, total - page_id) AS to_row, total,
+    CASE WHEN page_id = 0 THEN NULL WHEN page_id > 10 THEN '/search?q="a b"&offset=' || (page_id - 10) ELSE '/search?q="a b"' END AS prev_link,
+    CASE WHEN page_id + least(10, total - page_id) < total THEN '/search?q="a b"&offset=' || (page_id + 10) END AS next_link FROM pages, (SELECT max(page_id) + 1 AS total FROM pages)"""
 )
 def pagination(spark, d):
-    offset = F.col("page_id") * 3
-    total = F.lit(500).cast("long")
-    return table(spark, d, "pages").where(offset < 500).select("page_id", *search.pagination(F.lit('"a b"'), offset, F.least(F.lit(10).cast("long"), total - offset), total))
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("long"))
+    pages = pages.withColumn("all", pages.agg(F.max("page_id") + 1).scalar())
+    total = F.col("all")
+    return pages.select("page_id", *search.pagination(F.lit('"a b"'), F.col("page_id"), F.least(F.lit(10).cast("long"), total - F.col("page_id")), total))
 
 
 @query("SELECT doc_id, CASE WHEN starts_with(q, '\"') AND ends_with(q, '\"') THEN 'phrase' ELSE 'match' END AS kind FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\"' || lang || '\"' WHEN 1 THEN '\"' || lang ELSE lang END AS q FROM documents)")
@@ -532,19 +541,40 @@ def match_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(X.match_ratio(F.col("text"), ["The", "QUE"]).cast("double"), 6).alias("ratio"))
 
 
-@query(
-    rf"""WITH {SENTENCES}, split_up AS (SELECT *, list_filter(regexp_split_to_array(sentence, '[\s\x0B\x{{85}}\p{{Z}}]+'), lambda w: w <> '') AS ws FROM sentences),
-    rated AS (SELECT *, (len(list_filter(ws, lambda w: lower(w) IN ('the', 'que', 'der')))::DOUBLE / greatest(len(ws), 1))::FLOAT AS ratio FROM split_up),
+def summary_sql(terms: list[str], source: str) -> str:
+    """A WITH list that ends in summaries(doc_id, summary) of the documents in ``source`` (doc_id, text)."""
+    listed = ", ".join(f"'{t.lower()}'" for t in terms)
+    return rf"""{SENTENCES.replace("FROM documents)", f"FROM {source})")}, split_up AS (SELECT *, list_filter(regexp_split_to_array(sentence, '[\s\x0B\x{{85}}\p{{Z}}]+'), lambda w: w <> '') AS ws FROM sentences),
+    rated AS (SELECT *, (len(list_filter(ws, lambda w: lower(w) IN ({listed})))::DOUBLE / greatest(len(ws), 1))::FLOAT AS ratio FROM split_up),
     sized AS (SELECT *, coalesce(sum(strlen(sentence)) OVER (PARTITION BY doc_id ORDER BY ratio DESC, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM rated WHERE ratio > 0),
     chosen AS (SELECT doc_id, ordinal, CASE WHEN strlen(sentence) > 256 - before THEN left(sentence, 256 - before) || '...' ELSE sentence END AS part FROM sized WHERE before < 256),
-    marked AS (SELECT doc_id, ordinal, CASE WHEN ordinal - lag(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) <> 1 THEN '..' ELSE '' END || part || CASE WHEN ends_with(part, '.') THEN '' ELSE '.' END AS part FROM chosen)
-    SELECT doc_id, coalesce(regexp_replace(joined, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g'), '') AS summary
-    FROM documents LEFT JOIN (SELECT doc_id, string_agg(part, '' ORDER BY ordinal) AS joined FROM marked GROUP BY doc_id) USING (doc_id)"""
-)
+    marked AS (SELECT doc_id, ordinal, CASE WHEN ordinal - lag(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) <> 1 THEN '..' ELSE '' END || part || CASE WHEN ends_with(part, '.') THEN '' ELSE '.' END AS part FROM chosen),
+    summaries AS (SELECT doc_id, coalesce(regexp_replace(joined, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g'), '') AS summary
+      FROM {source} LEFT JOIN (SELECT doc_id, string_agg(part, '' ORDER BY ordinal) AS joined FROM marked GROUP BY doc_id) USING (doc_id))"""
+
+
+@query(f"WITH {summary_sql(['the', 'que', 'der'], 'documents')} SELECT doc_id, summary FROM summaries")
 def match_summary(spark, d):
     return table(spark, d, "documents").select("doc_id", X.match_summary(F.col("text"), ["the", "que", "der"]).alias("summary"))
 
 
+WANTED = '"que les"'
+HOLDS = " OR ".join(f"contains(' ' || array_to_string({tokens_sql(c)}, ' ') || ' ', ' que les ')" for c in ("title", "content"))
+ESCAPED = "summary"
+for _c, _r in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'" * 2, "&#39;")):
+    ESCAPED = f"replace({ESCAPED}, '{_c}', '{_r}')"
+
+
+@query(
+    f"""WITH {DOCS}, {bm25_sql(["que", "les"])}, hits AS (SELECT docs.*, score FROM docs JOIN scored USING (link_id) WHERE {HOLDS}),
+    page AS (SELECT *, content AS text FROM hits ORDER BY pagerank DESC, score DESC, link_id LIMIT 10), {summary_sql(["que", "les"], "page")}
+    SELECT link_id, CASE WHEN title = '' THEN url ELSE title END AS title, regexp_replace({ESCAPED}, '(?i)(?:que|les)', '<em>\\0</em>', 'g') AS summary, (SELECT count(*) FROM hits) AS total_count
+    FROM page JOIN summaries USING (doc_id)"""
+)
+def search_page_summaries(spark, d):
+    return search.search_page(index_of(spark, d), WANTED).select("link_id", "title", "summary", "total_count")
+
+
 @query(
     """SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;'), '(?i)(?:tion|the)', '<em>\\0</em>', 'g') AS marked FROM documents"""
 )
@@ -627,7 +657,7 @@ def pagerank_fixed_steps(spark, d):
 
 
 #: supersteps to convergence on the oracle's data
-CONVERGED = 24
+CONVERGED = 48
 
 
 @query(f"WITH {rank_sql(CONVERGED)} SELECT id, round(r, 9) AS rank FROM r{CONVERGED}")
@@ -643,29 +673,33 @@ def pagerank_sad(spark, d):
 
 
 @query(
-    f"""WITH {rank_sql(8)}, {DOCS} SELECT coalesce(d.link_id, s.link_id) AS link_id, coalesce(d.url, '') AS url, round(coalesce(s.r, d.pagerank), 9) AS pagerank
-    FROM docs d FULL OUTER JOIN (SELECT {uuid_sql("'doc:' || substr(id, 2)")} AS link_id, r FROM r8 WHERE starts_with(id, 'p')) s ON d.link_id = s.link_id"""
+    f"""WITH {rank_sql(CONVERGED)}, {DOCS} SELECT coalesce(d.link_id, s.link_id) AS link_id, coalesce(d.url, '') AS url, round(coalesce(s.r, d.pagerank), 9) AS pagerank
+    FROM docs d FULL OUTER JOIN (SELECT {uuid_sql("'doc:' || substr(id, 2)")} AS link_id, r FROM r{CONVERGED} WHERE starts_with(id, 'p')) s ON d.link_id = s.link_id"""
 )
 def rank_then_index(spark, d):
-    ranks = PR.pagerank(*graph_of(spark, d), max_steps=8).where(F.col("id").startswith("p"))
+    ranks = PR.pagerank(*graph_of(spark, d)).where(F.col("id").startswith("p"))
     scores = ranks.select(ids.uuid_of(F.concat(F.lit("doc:"), F.expr("substr(id, 2)"))).alias("link_id"), F.col("rank").alias("score"))
     return index.update_scores(documents_of(spark, d).drop("doc_id"), scores).select("link_id", "url", F.round("pagerank", 9).alias("pagerank"))
 
 
-PATH_DEPTH = 20
+#: rounds of the oracle, which cannot stop by itself; more than the longest cheapest path of its data has edges
+DEPTH = 12
+PATHS = f"""{GRAPH}, reach(id, cost, depth) AS (SELECT id, 0::BIGINT, 0 FROM vertices WHERE id = 's1' UNION
+      SELECT dst, min(reach.cost + edges.cost)::BIGINT, depth + 1 FROM reach JOIN edges ON src = id WHERE depth < {DEPTH} GROUP BY dst, depth),
+    best AS MATERIALIZED (SELECT v.id, min(reach.cost)::BIGINT AS cost FROM vertices v LEFT JOIN reach ON v.id = reach.id GROUP BY v.id),
+    found AS MATERIALIZED (SELECT b.id, b.cost, min(e.src) FILTER (b.id <> 's1') AS prev FROM best b
+      LEFT JOIN (edges e JOIN best s ON s.id = e.src) ON e.dst = b.id AND s.cost + e.cost = b.cost GROUP BY b.id, b.cost)"""
 
 
-@query(
-    f"""WITH RECURSIVE {GRAPH}, reach(id, cost, depth) AS (SELECT id, 0::BIGINT, 0 FROM vertices WHERE id = 's1' UNION
-      SELECT dst, min(reach.cost + edges.cost)::BIGINT, depth + 1 FROM reach JOIN edges ON src = id WHERE depth < {PATH_DEPTH} GROUP BY dst, depth)
-    , best AS MATERIALIZED (SELECT v.id, min(reach.cost)::BIGINT AS cost FROM vertices v LEFT JOIN reach ON v.id = reach.id GROUP BY v.id)
-    SELECT b.id, b.cost, min(e.src) FILTER (b.id <> 's1') AS prev FROM best b LEFT JOIN (edges e JOIN best s ON s.id = e.src) ON e.dst = b.id AND s.cost + e.cost = b.cost GROUP BY b.id, b.cost"""
-)
+@query(f"WITH RECURSIVE {PATHS} SELECT id, cost, prev FROM found")
 def shortest_paths(spark, d):
-    return SP.shortest_paths(*graph_of(spark, d), "s1", max_steps=PATH_DEPTH).select("id", "cost", "prev")
+    return SP.shortest_paths(*graph_of(spark, d), "s1").select("id", "cost", "prev")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PATHS}, walk(id, path) AS (SELECT id, id FROM found WHERE id = 's1' UNION ALL SELECT f.id, walk.path || '>' || f.id FROM found f JOIN walk ON f.prev = walk.id)
+    SELECT f.id, f.cost, f.prev, walk.path FROM found f LEFT JOIN walk USING (id)"""
+)
 def shortest_path_routes(spark, d):
     return SP.shortest_paths(*graph_of(spark, d), "s1").select("id", "cost", "prev", F.array_join("path", ">").alias("path"))
 

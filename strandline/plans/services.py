@@ -7,6 +7,8 @@ from a function that the caller gives.
 
 from __future__ import annotations
 
+import re
+import socket
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import NoPartitionData, StrandlineError
 from ..functions.ids import partition_extent
 from ..operators import crawl, graphstore, index
+from ..shared import Tables
 from ..sources.stores import Store
 from .pagerank import pagerank
 
@@ -28,6 +31,33 @@ def _required(**settings) -> None:
         raise StrandlineError("missing or not positive: " + ", ".join(missing))
 
 
+def fixed_partition(index: int, of: int) -> Callable[[], tuple[int, int]]:
+    """The same partition in every pass."""
+    return lambda: (index, of)
+
+
+def host_partition(count: Callable[[], int], host: Callable[[], str] = socket.gethostname) -> Callable[[], tuple[int, int]]:
+    """The partition that the number at the end of this host's name gives (``crawler-3``), of ``count()`` replicas.
+
+    ``count`` asks the cluster, such as for the number of service records; if
+    that fails or counts too few, the pass is put off.
+    """
+
+    def detect() -> tuple[int, int]:
+        number = re.search(r"-([0-9]+)$", host())
+        if number is None:
+            raise StrandlineError(f"the host's name {host()!r} does not end in a number")
+        try:
+            replicas = count()
+        except OSError as error:
+            raise NoPartitionData("the number of partitions is not known yet") from error
+        if replicas <= int(number[1]):
+            raise NoPartitionData(f"{replicas} replicas are known, and this is number {number[1]}")
+        return int(number[1]), replicas
+
+    return detect
+
+
 @dataclass
 class CrawlService:
     """Fetches links not retrieved for ``reindex_after`` in this replica's id range, and updates graph and index."""
@@ -54,7 +84,9 @@ class CrawlService:
         now = F.lit(self.clock())
         links, edges = self.graph.read("links"), self.graph.read("edges")
         due = graphstore.links_scan(links, lo, hi, F.lit(self.clock() - self.reindex_after))
-        crawled = crawl.crawl_pages(due, self.fetch(due), self.hosts).cache()
+        # fetched once, so that links, edges and documents of a pass agree even if an executor is lost
+        tables = Tables(links.sparkSession)
+        crawled = tables.put(crawl.crawl_pages(due, self.fetch(due), self.hosts), "id")
         try:
             count = crawled.count()
             if count:
@@ -66,7 +98,7 @@ class CrawlService:
                 self.graph.write("links", new_links)
             return count
         finally:
-            crawled.unpersist()
+            tables.drop(crawled)
 
 
 @dataclass
@@ -94,7 +126,7 @@ class RankService:
         links = self.graph.read("links").where(F.col("retrieved_at") < start).select("id")
         edges = self.graph.read("edges").where(F.col("updated_at") < start).select("src", "dst")
         ranks = pagerank(links, edges)
-        self.documents.write("documents", index.update_scores(self.documents.read("documents"), ranks.select(F.col("id").alias("link_id"), F.col("rank").alias("score"))))
+        self.documents.write_scores(index.update_scores(self.documents.read("documents"), ranks.select(F.col("id").alias("link_id"), F.col("rank").alias("score"))))
         return ranks.count()
 
 

@@ -1,12 +1,18 @@
 """Stores by URI: where link, edge and document tables live.
 
-``in-memory:`` starts empty; ``parquet:<folder>`` reads and writes folders;
-``postgresql:`` (and CockroachDB, which speaks its protocol) goes through JDBC
-with a partitioned read on the id, and needs the driver's jar.
+``in-memory:`` starts empty and ends with the session; ``parquet:<folder>`` reads
+and writes folders; ``index:<folder>`` is such a folder with the documents'
+stored postings beside it, for searches; ``postgresql:`` (and CockroachDB, which
+speaks its protocol) goes through JDBC with a partitioned read on the id, and
+needs the driver's jar.  ``es:`` is refused: its place is taken by ``index:``.
+
+A write replaces a table by a frame that may be made from the table itself.  It
+never takes away the old rows before the new ones are complete.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -15,12 +21,15 @@ from pyspark.sql.types import StructType
 
 from ..errors import StrandlineError
 from ..functions.ids import partition_bounds
+from ..operators.postings import PostingsIndex
 from ..schemas import DOCUMENT, EDGE, LINK, NIL_ID
+from ..shared import file_system, shared_dir
 
 GRAPH_TABLES = {"links": LINK, "edges": EDGE}
 INDEX_TABLES = {"documents": DOCUMENT}
 #: what each table's ranges are taken on
 RANGE_COLUMN = {"links": "id", "edges": "src", "documents": "link_id"}
+KEY = {"links": "id", "edges": "id", "documents": "link_id"}
 
 
 class Store:
@@ -34,67 +43,115 @@ class Store:
             raise StrandlineError(f"no table {name!r}; there are {', '.join(self.tables)}")
         return self.tables[name]
 
+    def _empty(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], self._schema(name))
+
     def read(self, name: str) -> DataFrame:
         raise NotImplementedError
 
     def write(self, name: str, df: DataFrame) -> None:
         raise NotImplementedError
 
+    def write_scores(self, documents: DataFrame) -> None:
+        """Replace the documents by ones of which only the PageRank has changed."""
+        self.write("documents", documents)
 
-class MemoryStore(Store):
-    def __init__(self, spark: SparkSession, tables: dict[str, StructType]) -> None:
-        super().__init__(spark, tables)
-        self.held: dict[str, DataFrame] = {}
+    def reset(self) -> None:
+        """Empty every table."""
+        for name in self.tables:
+            self.write(name, self._empty(name))
 
-    def read(self, name: str) -> DataFrame:
-        schema = self._schema(name)
-        return self.held[name] if name in self.held else self.spark.createDataFrame([], schema)
+    def close(self) -> None:
+        """Give back what the store holds; its tables stay, except in memory."""
 
-    def write(self, name: str, df: DataFrame) -> None:
-        new = df.select(*self._schema(name).fieldNames()).cache()
-        new.count()
-        old = self.held.get(name)
-        self.held[name] = new
-        if old is not None:
-            old.unpersist()
 
-    def reset(self) -> None:
-        for df in self.held.values():
-            df.unpersist()
-        self.held.clear()
+class ParquetStore(Store):
+    """Folders of Parquet, sorted by the range column so that id ranges prune row groups.
 
+    Each write is a new version ``v=<n>`` of its table; the highest complete one
+    counts, and the one before stays for whoever still reads it.
+    """
 
-class ParquetStore(Store):
-    """Folders of Parquet, sorted by the range column so that id ranges prune row groups."""
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, tables: dict[str, StructType], root: str) -> None:
         super().__init__(spark, tables)
         self.root = root.rstrip("/")
 
+    def versions(self, name: str) -> list[int]:
+        """Complete versions, oldest first."""
+        files, at = file_system(self.spark, f"{self.root}/{name}")
+        if not files.exists(at):
+            return []
+        found = []
+        for status in files.listStatus(at):
+            label = status.getPath().getName()
+            if label.startswith("v=") and files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append(int(label[2:]))
+        return sorted(found)
+
+    def path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v={version}"
+
     def read(self, name: str) -> DataFrame:
-        schema = self._schema(name)
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        schema, found = self._schema(name), self.versions(name)
+        return self.spark.read.schema(schema).parquet(self.path(name, found[-1])) if found else self._empty(name)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace a table.  The new one is complete before the old one goes."""
-        column = RANGE_COLUMN[name]
-        fresh = f"{self.root}/{name}.next"
-        df.select(*self._schema(name).fieldNames()).repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(fresh)
-        jvm = self.spark.sparkContext._jvm
-        source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(target, True)
-        files.rename(source, target)
+        column, found = RANGE_COLUMN[name], self.versions(name)
+        fresh = found[-1] + 1 if found else 0
+        # the overwritten folder can only be what a failed write left
+        df.select(*self._schema(name).fieldNames()).repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(self.path(name, fresh))
+        self._forget(name)
+
+    def _forget(self, name: str) -> None:
+        for old in self.versions(name)[: -self.KEPT]:
+            files, at = file_system(self.spark, self.path(name, old))
+            files.delete(at, True)
+
+
+class MemoryStore(ParquetStore):
+    """A private folder among the session's shared ones; :meth:`close` removes it."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, StructType]) -> None:
+        super().__init__(spark, tables, f"{shared_dir(spark)}/strandline-memory-{uuid.uuid4().hex}")
+
+    def reset(self) -> None:
+        self.close()
+
+    def close(self) -> None:
+        files, at = file_system(self.spark, self.root)
+        files.delete(at, True)
+
+
+class IndexStore(ParquetStore):
+    """Documents with their stored postings."""
+
+    def write(self, name: str, df: DataFrame) -> None:
+        super().write(name, df)
+        found = self.versions("postings")
+        PostingsIndex(self.spark, self.path("postings", found[-1] + 1 if found else 0)).write(self.read(name), copy=False)
+        self._forget("postings")
+
+    def write_scores(self, documents: DataFrame) -> None:
+        """The texts, and so the postings, stay as they are; new placeholders have no words."""
+        if self.versions("postings"):
+            super().write("documents", documents)
+        else:
+            self.write("documents", documents)
+
+    def search_index(self) -> PostingsIndex:
+        found = self.versions("postings")
+        if not found:
+            self.write("documents", self.read("documents"))
+            found = self.versions("postings")
+        return PostingsIndex(self.spark, self.path("postings", found[-1]), self.read("documents"))
 
 
 class JdbcStore(Store):
-    def __init__(self, spark: SparkSession, tables: dict[str, StructType], url: str, partitions: int = 16) -> None:
+    def __init__(self, spark: SparkSession, tables: dict[str, StructType], url: str, partitions: int = 16, options: dict[str, str] | None = None) -> None:
         super().__init__(spark, tables)
-        self.url, self.partitions = "jdbc:" + url, partitions
+        self.url, self.partitions, self.options = "jdbc:" + url, partitions, options or {}
 
     def predicates(self, name: str) -> list[str]:
         """One id range for each partition of the read."""
@@ -105,10 +162,57 @@ class JdbcStore(Store):
 
     def read(self, name: str) -> DataFrame:
         self._schema(name)
-        return self.spark.read.jdbc(self.url, name, predicates=self.predicates(name))
+        found = self.spark.read.jdbc(self.url, name, predicates=self.predicates(name), properties=self.options)
+        return found.toDF(*[c.lower() for c in found.columns])
+
+    def statements(self, name: str, fresh: str) -> list[str]:
+        """What brings a table to the rows of ``fresh``, row by row of its key, so that rows which stay keep what refers to them."""
+        key = KEY[name]
+        others = [c for c in self._schema(name).fieldNames() if c != key]
+        there = f"SELECT 1 FROM {fresh} n WHERE n.{key} = {name}.{key}"
+        columns = ", ".join([key, *others])
+        return [
+            f"DELETE FROM {name} WHERE NOT EXISTS ({there})",
+            f"UPDATE {name} SET " + ", ".join(f"{c} = (SELECT n.{c} FROM {fresh} n WHERE n.{key} = {name}.{key})" for c in others) + f" WHERE EXISTS ({there})",
+            f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {fresh} n WHERE NOT EXISTS (SELECT 1 FROM {name} WHERE {name}.{key} = n.{key})",
+        ]
+
+    def _create_like(self, name: str, fresh: str) -> str:
+        empty = " WITH NO DATA" if self.url.startswith("jdbc:derby:") else " WHERE 1 = 0"
+        return f"CREATE TABLE {fresh} AS SELECT * FROM {name}{empty}"
+
+    def transact(self, statements: list[str]) -> None:
+        """Run all statements or none."""
+        jvm = self.spark.sparkContext._jvm
+        properties = jvm.java.util.Properties()
+        for k, v in self.options.items():
+            properties.setProperty(k, v)
+        if "driver" in self.options:
+            jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(self.options["driver"])
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
+        try:
+            connection.setAutoCommit(False)
+            for sql in statements:
+                statement = connection.createStatement()
+                statement.execute(sql)
+                statement.close()
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
 
     def write(self, name: str, df: DataFrame) -> None:
-        df.select(*self._schema(name).fieldNames()).write.option("truncate", "true").jdbc(self.url, name, mode="overwrite")
+        """Write the rows to a table beside, then change the stored one in a single transaction."""
+        columns = self._schema(name).fieldNames()
+        fresh = f"{name}_next_{uuid.uuid4().hex[:8]}"
+        self.transact([self._create_like(name, fresh)])
+        try:
+            df.select(*columns).write.jdbc(self.url, fresh, mode="append", properties=self.options)
+            self.transact(self.statements(name, fresh))
+        finally:
+            self.transact([f"DROP TABLE {fresh}"])
 
 
 def _open(spark: SparkSession, uri: str, tables: dict[str, StructType]) -> Store:
@@ -116,8 +220,12 @@ def _open(spark: SparkSession, uri: str, tables: dict[str, StructType]) -> Store
     makers: dict[str, Callable[[], Store]] = {
         "in-memory": lambda: MemoryStore(spark, tables),
         "parquet": lambda: ParquetStore(spark, tables, uri.split(":", 1)[1]),
-        "postgresql": lambda: JdbcStore(spark, tables, uri),
+        "postgresql": lambda: JdbcStore(spark, tables, uri, options={"stringtype": "unspecified"}),  # ids of type UUID are given as text
     }
+    if tables is INDEX_TABLES:
+        makers["index"] = lambda: IndexStore(spark, tables, uri.split(":", 1)[1])
+    if scheme == "es":
+        raise StrandlineError("unsupported store 'es': use index:<folder>, which keeps documents with their postings")
     if scheme not in makers:
         raise StrandlineError(f"unsupported store {scheme!r}; use one of {', '.join(makers)}")
     return makers[scheme]()

@@ -7,7 +7,7 @@ from strandline.errors import NoPartitionData, StrandlineError
 from strandline.functions import ids
 from strandline.operators import graphstore
 from strandline.plans import dataflow as D
-from strandline.plans.services import CrawlService, RankService, ServiceGroup
+from strandline.plans.services import CrawlService, RankService, ServiceGroup, fixed_partition, host_partition
 from strandline.schemas import LINK
 from strandline.sources.stores import open_graph, open_index
 
@@ -99,3 +99,17 @@ def test_group_stops_at_the_first_error():
     with pytest.raises(ExceptionGroup) as caught:
         ServiceGroup(Fails(), Waits()).run()
     assert "bad: broken" in str(caught.value.exceptions[0])
+
+
+def test_partition_of_a_replica():
+    assert fixed_partition(1, 3)() == (1, 3)
+    assert host_partition(lambda: 4, lambda: "crawler-2")() == (2, 4)
+
+    def unknown():
+        raise OSError("no such record")
+
+    for count in (unknown, lambda: 2):
+        with pytest.raises(NoPartitionData):
+            host_partition(count, lambda: "crawler-2")()
+    with pytest.raises(StrandlineError, match="number"):
+        host_partition(lambda: 4, lambda: "laptop")()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.errors import InvalidMessageDestination, NegativeCost, StrandlineError, UnknownEdgeSource
 from strandline.plans.pagerank import pagerank
-from strandline.plans.pregel import Pregel
+from strandline.plans.pregel import GraphBuilder, Pregel
 from strandline.plans.shortest_path import path_to, shortest_paths
 
 
@@ -115,3 +115,41 @@ def test_pregel_errors(spark):
     failing = Pregel(lambda value, mail, s: (F.when(F.col("id") == "a", F.raise_error(F.lit("vertex a failed")).cast("long")).otherwise(value), F.lit(False)))
     with pytest.raises(Exception, match="vertex a failed"):
         failing.run(v, graph(spark, [], [])[1])
+
+
+def test_graph_builder(spark):
+    g = GraphBuilder().add_vertices(vertices(spark, [("a", 1), ("b", 9)])).add_edges(graph(spark, [], [("a", "b")])[1]).add_vertices(vertices(spark, [("b", 2)])).add_edges(graph(spark, [], [("a", "b")])[1])
+    v, e = g.frames()
+    assert {r.id: r.value for r in v.collect()} == {"a": 1, "b": 2}
+    got = Pregel(lambda value, mail, s: (value if s == 0 else F.coalesce(mail, F.lit(0)).cast("long"), F.lit(False)), send=lambda value, edge, s: value).run(v, e, steps=2)
+    assert {r.id: r.value for r in got.vertices.collect()} == {"a": 1, "b": 2}
+    g.reset()
+    with pytest.raises(StrandlineError):
+        g.frames()
+
+
+def test_superstep_shuffles_shares_only(spark, monkeypatch):
+    """Edges and ranks are stored in buckets of what they are joined on, and older ranks are gone."""
+    from strandline import shared
+
+    plans, made = [], []
+    put = shared.Tables.put
+
+    def spied(self, df, key, deal=True):
+        if not deal:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        made.append(self)
+        return put(self, df, key, deal)
+
+    monkeypatch.setattr(shared.Tables, "put", spied)
+    v, e = graph(spark, [str(i) for i in range(30)], [(str(i), str(i * 7 % 30)) for i in range(1, 30)])
+    pagerank(v, e, max_steps=5)
+    assert plans[-1].count("Exchange hashpartitioning") == 1
+    assert len(made[-1].paths) == 1
+
+
+def test_paths_without_cost(spark):
+    v = spark.createDataFrame([(x,) for x in "sabcd"], "id string")
+    e = spark.createDataFrame([("s", "c", 2), ("c", "a", 0), ("a", "b", 0), ("b", "a", 0), ("b", "d", 0), ("a", "c", 0)], "src string, dst string, cost long")
+    got = {r.id: (r.cost, "".join(r.path)) for r in shortest_paths(v, e, "s").collect()}
+    assert got == {"s": (0, "s"), "c": (2, "sc"), "a": (2, "sca"), "b": (2, "scab"), "d": (2, "scabd")}

@@ -21,7 +21,7 @@ def comparable(rows, names):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in registry.ORACLES if n != "pagerank"])  # its oracle is unrolled for another size
+@pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:

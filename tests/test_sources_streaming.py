@@ -1,9 +1,12 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.errors import StrandlineError
 from strandline.functions import ids
-from strandline.schemas import LINK
+from strandline.operators import search as S
+from strandline.schemas import DOCUMENT, LINK
 from strandline.sources.stores import GRAPH_TABLES, JdbcStore, open_graph, open_index
 from strandline.streaming.crawl_stream import GraphTables, crawl_stream
 
@@ -29,6 +32,69 @@ def test_store_schemes(spark):
     assert len(ranges) == 4 and ranges[0].startswith("src >= '00000000") and "<" not in ranges[-1]
 
 
+def row(i, url, day):
+    return f"{i:08d}-0000-0000-0000-000000000000", url, datetime(2024, 1, day)
+
+
+def tables(store):
+    return {r.id: (r.url, r.retrieved_at.day) for r in store.read("links").collect()}
+
+
+def failing(df):
+    return df.withColumn("url", F.when(F.col("url") == "b", F.raise_error(F.lit("lost on the way"))).otherwise(F.col("url")))
+
+
+@pytest.fixture(params=["parquet", "jdbc", "in-memory"])
+def links_store(request, spark, tmp_path):
+    if request.param != "jdbc":
+        return open_graph(spark, "in-memory:" if request.param == "in-memory" else f"parquet:{tmp_path}/g")
+    store = JdbcStore(spark, GRAPH_TABLES, f"derby:{tmp_path}/db;create=true", partitions=2, options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    try:
+        store.transact(["CREATE TABLE links (id VARCHAR(36) PRIMARY KEY, url VARCHAR(200) NOT NULL, retrieved_at TIMESTAMP NOT NULL)", "CREATE TABLE seen (id VARCHAR(36) REFERENCES links(id) ON DELETE CASCADE)"])
+    except Exception as error:  # noqa: BLE001
+        pytest.skip(f"no database here: {error}")
+    return store
+
+
+def test_a_table_made_from_itself(spark, links_store):
+    """A write reads the table it replaces; a failure on the way leaves the old rows."""
+    make = lambda *rows: spark.createDataFrame(list(rows), LINK)
+    links_store.write("links", make(row(1, "a", 1), row(2, "b", 1), row(3, "c", 1)))
+    first = tables(links_store)
+    assert len(first) == 3
+    with pytest.raises(Exception, match="lost on the way"):
+        links_store.write("links", failing(links_store.read("links")))
+    assert tables(links_store) == first
+    if isinstance(links_store, JdbcStore):
+        links_store.transact([f"INSERT INTO seen VALUES ('{row(2, '', 1)[0]}')"])
+    held = links_store.read("links").where("url <> 'a'").withColumn("retrieved_at", F.when(F.col("url") == "b", F.lit(datetime(2024, 1, 9))).otherwise(F.col("retrieved_at")))
+    links_store.write("links", held.union(make(row(4, "d", 4))))
+    assert tables(links_store) == {row(i, "", 1)[0]: x for i, x in ((2, ("b", 9)), (3, ("c", 1)), (4, ("d", 4)))}
+    if isinstance(links_store, JdbcStore):  # a row that stayed keeps what refers to it
+        seen = spark.read.jdbc(links_store.url, "seen", properties=links_store.options)
+        assert seen.count() == 1
+        with pytest.raises(Exception, match="(?i)syntax|encountered"):
+            links_store.transact(["DELETE FROM links", "NONSENSE"])
+        assert len(tables(links_store)) == 3
+    else:
+        links_store.reset()
+        assert tables(links_store) == {}
+    links_store.close()
+
+
+def test_index_store(spark, tmp_path):
+    store = open_index(spark, f"index:{tmp_path}/d")
+    make = lambda rank: spark.createDataFrame([(str(i), f"http://x/{i}", "", "plain words", datetime(2024, 1, 1), float(rank(i))) for i in range(3)], DOCUMENT)
+    store.write("documents", make(lambda i: i))
+    found = lambda: [r.link_id for r in S.search(store.search_index(), S.Query.parse("words")).collect()]
+    assert found() == ["2", "1", "0"]
+    store.write_scores(make(lambda i: -i))
+    assert found() == ["0", "1", "2"] and len(store.versions("postings")) == 1
+    assert open_index(spark, f"index:{tmp_path}/new").search_index().scores(["words"]).count() == 0
+    with pytest.raises(StrandlineError, match="index:"):
+        open_index(spark, "es:http://localhost:9200")
+
+
 def test_crawl_stream(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / x) for x in ("pages", "graph", "state"))
 
