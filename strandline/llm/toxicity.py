@@ -4,11 +4,17 @@
 documents is shrunk by a Dirichlet prior of ``PRIOR`` pseudo-documents whose
 mean is the ratio of the word's five-byte prefix, in turn shrunk to that of its
 four-byte prefix, in turn to one.  Words never seen are scored by their prefix,
-which carries inflected forms; the rest cost ``NEUTRAL`` each.
+which carries inflected forms; the rest cost ``NEUTRAL`` each.  A word or prefix
+is scored if its rates differ significantly (a likelihood-ratio statistic of
+``SIGNIFICANCE``, one chance in a million) and by a factor of ``LEAST_RATIO`` at
+least; both bars are the same at every size, so a word that is kept on a small
+table is kept on a larger one.  Copies are no evidence of their own: documents
+with the same smallest shingle hash count once for each word.
 
 *Segments.*  A linear scan keeps, as a list of disjoint candidates with the
 running sums at their ends, every maximal segment: one that no longer or
-shorter segment around it can better.
+shorter segment around it can better.  Each candidate points at the nearest
+earlier one that starts lower, and no pointer is followed twice.
 
 *Extreme values.*  The chance that neutral text of n words holds a segment of
 score S is 1 - exp(-K n exp(-lambda S)).  Lambda solves E[exp(lambda s)] = 1 over
@@ -18,9 +24,8 @@ segments; a logistic curve, fitted on the training documents, turns it into a
 score from 0 to 1.
 
 Training reads at most about ``MAX_LABELLED`` labelled documents (chosen by a
-hash of the id) and keeps at most ``MAX_WORDS`` scored words, so what is
-collected and sent to the workers has a fixed bound.  Scoring reads all texts
-whole.
+hash of the id), which bounds the scored words that are collected and sent to
+the workers.  Scoring reads all texts whole.
 
 Defined results: null and empty texts have no segments and get the curve's
 value for no evidence; labels that are null, neither 0 nor 1, or without a
@@ -44,10 +49,10 @@ from . import textkit as tk
 from .store import save
 
 MAX_LABELLED = 40_000
-MAX_WORDS = 50_000
 PRIOR = 4.0
 NEUTRAL = 0.10
 LEAST_RATIO = 3.0
+SIGNIFICANCE = 24.0
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
 MOST_EVIDENCE = 30.0
@@ -122,27 +127,35 @@ def maximal_segments(scores: list[float], gaps: list[int], neutral: float = NEUT
 
     Candidates are kept with the running sum before and after them.  A new one
     is joined to the last candidate that starts lower, if it ends higher; it
-    swallows those between.
+    swallows those between.  As all candidates between one and the ``lower`` one
+    it points at start no lower than it, the search may skip them.
     """
-    found: list[list] = []  # [first, last, sum before, sum after]
+    first: list[int] = []
+    last: list[int] = []
+    before: list[float] = []
+    after: list[float] = []
+    lower: list[int] = []
     total = 0.0
     for i, (s, gap) in enumerate(zip(scores, gaps, strict=True)):
         total -= neutral * gap
         if s <= 0:
             total += s
             continue
-        segment = [i, i, total, total + s]
+        begin, start = i, total
         total += s
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= segment[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= segment[3]:
-                found.append(segment)
-                break
-            segment = [found[j][0], segment[1], found[j][2], segment[3]]
-            del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+        j = len(first) - 1
+        while j >= 0 and before[j] >= start:
+            j = lower[j]
+        while j >= 0 and after[j] < total:
+            begin, start = first[j], before[j]
+            for kept in (first, last, before, after):
+                del kept[j:]
+            up = lower[j]
+            del lower[j:]
+            j = up
+        for kept, value in ((first, begin), (last, i), (before, start), (after, total), (lower, j)):
+            kept.append(value)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, before, after, strict=True)]
 
 
 def _scan(model: Model, data: np.ndarray, offsets: np.ndarray):
@@ -185,37 +198,48 @@ def _sample(documents: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(usable), "doc_id").select("toxic", "text")
 
 
+def _copies(found: Words) -> np.ndarray:
+    """A name for each text that its near copies mostly share: the smallest hash of its five-word shingles, or of its words."""
+    words = found.feature(0)
+    name = np.full(len(found.bounds) - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+    shingle, text, _ = tk.windows(words, found.bounds, 5)
+    np.minimum.at(name, text, shingle)
+    short = np.diff(found.bounds) < 5
+    text = tk.owners(found.bounds)
+    few = short[text]
+    np.minimum.at(name, text[few], words[few])
+    return name
+
+
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """(name, longer, shorter, toxic, clean): documents of either kind that hold a word, by the hashes of the word and its prefixes."""
+    """(name, longer, shorter, toxic, clean): documents of either kind that hold a word, copies once, by the hashes of the word and its prefixes."""
 
     def run(batches):
         for batch in batches:
-            toxic = np.asarray(batch.column(0))
-            for lo, _, data, offsets in tk.chunks(batch.column(1)):
+            toxic = np.asarray(batch.column(0)) == 1
+            for lo, hi, data, offsets in tk.chunks(batch.column(1)):
                 found = Words(data, offsets)
                 features = [found.feature(k) for k in range(len(PREFIXES) + 1)]
                 text = tk.owners(found.bounds)
-                order = np.lexsort((text, features[0]))
-                name, text = features[0][order], text[order]
+                group = _copies(found)[text]
+                bad = toxic[lo:hi][text]
+                order = np.lexsort((bad, group, features[0]))
+                columns = [features[0][order], group[order], bad[order]]
                 new = np.ones(len(order), dtype=bool)
-                new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-                at, bad = order[new], toxic[lo + text[new]] == 1
-                name = features[0][at]
-                first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
-                sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.empty(0, np.int64) for x in (bad, ~bad)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(tk.signed(f[at[first]])) for f in features), *map(pa.array, sums)], ["name", "longer", "shorter", "toxic", "clean"])
+                new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+                at = order[new]
+                yield pa.RecordBatch.from_arrays([*(pa.array(tk.signed(f[at])) for f in features), pa.array(tk.signed(group[at])), pa.array(bad[at])], ["name", "longer", "shorter", "copies", "bad"])
 
-    return sample.mapInArrow(run, "name long, longer long, shorter long, toxic long, clean long").groupBy("name", "longer", "shorter").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    once = sample.mapInArrow(run, "name long, longer long, shorter long, copies long, bad boolean").distinct()
+    return once.groupBy("name", "longer", "shorter").agg(F.count_if("bad").alias("toxic"), F.count_if(~F.col("bad")).alias("clean"))
 
 
-def kept_ratio(toxic: int) -> float:
-    """The ratio from which a word is scored.
-
-    With more toxic documents, real ratios grow towards the share of documents
-    that hold the word, over the prior; those of rare words that met a few of
-    them by chance, or stand in copies of one, do not grow as their root.
-    """
-    return max(LEAST_RATIO, math.sqrt(toxic) / 2)
+def _significance(t: str, c: str, toxic: int, clean: int) -> Column:
+    """Twice the log-likelihood ratio of a share of toxic documents above that of all."""
+    part = toxic / (toxic + clean)
+    n = F.col(t) + F.col(c)
+    term = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    return F.when(F.col(t) > n * part, 2 * (term(F.col(t), part) + term(F.col(c), 1 - part))).otherwise(0.0)
 
 
 def _ratios(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,23 +249,25 @@ def _ratios(counts: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.n
         expected = F.col(c) * F.lit(toxic / clean)
         return (F.col(t) + PRIOR * mean) / (expected + PRIOR)
 
-    ratio = counts
+    def kept(ratio: str, t: str, c: str) -> Column:
+        return (F.col(ratio) >= LEAST_RATIO) & (_significance(t, c, toxic, clean) >= SIGNIFICANCE)
+
+    ratio, stands_out = counts, F.lit(False)
     for level, name in enumerate(("shorter", "longer")):
-        sums = counts.groupBy(name).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-        ratio = ratio.join(sums, name).withColumn(f"r_{name}", shrunk("t", "c", F.lit(1.0) if level == 0 else F.col("r_shorter"))).drop("t", "c")
+        sums = counts.groupBy(name).agg(F.sum("toxic").alias(f"t{level}"), F.sum("clean").alias(f"c{level}"))
+        ratio = ratio.join(sums, name).withColumn(f"r_{name}", shrunk(f"t{level}", f"c{level}", F.lit(1.0) if level == 0 else F.col("r_shorter")))
+        stands_out = stands_out | kept(f"r_{name}", f"t{level}", f"c{level}")
     ratio = ratio.withColumn("r_name", shrunk("toxic", "clean", F.col("r_longer")))
-    best = F.greatest("r_name", "r_longer", "r_shorter")
-    rows = ratio.where(best >= kept_ratio(toxic)).orderBy(F.desc(F.col("toxic") + F.col("clean")), "name").limit(MAX_WORDS).collect()
-    scores: dict[int, float] = {}
-    for r in rows:
-        scores[r.name] = math.log(r.r_name)
-        scores[r.longer] = math.log(r.r_longer)
-        scores[r.shorter] = math.log(r.r_shorter)
-    names = np.array(list(scores), dtype=np.int64).view(np.uint64)
-    order = np.argsort(names)
-    value = np.array(list(scores.values()))[order] if scores else np.empty(0)
+    # words of the bounded sample; each stands in several of its toxic documents, or shares its prefix with such
+    rows = ratio.where(stands_out | kept("r_name", "toxic", "clean")).select("name", "longer", "shorter", "r_name", "r_longer", "r_shorter").toPandas()
+    names, scores = [], []
+    for level in ("shorter", "longer", "name"):
+        names.append(rows[level].to_numpy(np.int64))
+        scores.append(np.log(rows[f"r_{level}"].to_numpy(np.float64)))
+    name, first = np.unique(np.concatenate(names).view(np.uint64), return_index=True)
+    value = np.concatenate(scores)[first]
     # zero would mean an unknown word
-    return names[order], np.where(value == 0, -1e-9, value)
+    return name, np.where(value == 0, -1e-9, value)
 
 
 def _histogram(sample: DataFrame, measure) -> dict[tuple[str, int, int], int]:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -70,3 +71,54 @@ def test_bound_and_no_labels(spark, documents):
     assert {r.score for r in T.score(docs, model).collect()} == {0.0}
     assert T.score(docs.limit(0), model).collect() == []
     assert T.fit(docs.limit(0), lab.limit(0)) is not None
+
+
+def test_scan_is_linear():
+    # every new segment starts lower than all before it, then higher: the worst cases of a search by steps
+    for sign in (-1, 1):
+        scores = [x for i in range(40_000) for x in (1.0 + sign * i * 1e-6, -1.5)]
+        began = time.perf_counter()
+        assert len(T.maximal_segments(scores, [0] * len(scores), 0.0)) == 40_000
+        assert time.perf_counter() - began < 2
+
+
+def test_score_against_its_definition(spark, documents):
+    """Every text's score from a plain reading of words, all segments by recursion, chances and the curve."""
+    import math
+    import re
+
+    rows, labels = corpus(300, seed=4)
+    docs = documents(rows)
+    model = T.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = dict(zip(model.names.tolist(), model.scores.tolist(), strict=True))
+
+    def word_score(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        one = T.Words(data, np.array([0, len(data)]))
+        return next((held[x] for k in range(3) if (x := int(one.feature(k)[0])) in held), None)
+
+    cache = {}
+    for r in T.score(docs, model).collect():
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", dict(rows)[r.doc_id].lower())
+        scores = [cache.setdefault(w, word_score(w)) for w in words]
+        at = [i for i, s in enumerate(scores) if s]
+        line = []
+        for i in at:
+            # neutral words as one negative number each time they stand between
+            gap = i - (line[-1][0] if line else -1) - 1
+            line.append((i, gap, scores[i]))
+        flat = [x for _, gap, s in line for x in ([-T.NEUTRAL * gap] if gap else []) + [s]]
+        total = 0.0
+        for *_, s in brute(flat):
+            p = max(1 - math.exp(-model.scale * len(words) * math.exp(-model.decay * s)), 1e-12)
+            total -= math.log10(p) if p < T.SIGNIFICANT else 0
+        want = 1 / (1 + math.exp(-(model.intercept + model.slope * min(total, T.MOST_EVIDENCE))))
+        assert abs(r.score - want) < 1e-6, (r, want)
+
+
+def test_copies_count_once(spark, documents):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text) for i in range(30)] + [(30 + i, " ".join(f"other{i}x{j}" for j in range(30))) for i in range(20)]
+    sample = spark.createDataFrame([(int(i < 30), t) for i, t in rows], "toxic int, text string")
+    counts = T._word_counts(sample).collect()
+    assert {(r.toxic, r.clean) for r in counts} == {(1, 0), (0, 1)}
