@@ -13,6 +13,13 @@ Packing happens where the rows are: no shuffle, no group, and the memory of a
 task is one Arrow batch plus the window.  A partition's sequences are numbered
 from ``partition << 33``, so a retried task numbers them alike.
 
+Loss-bearing tokens: of a plain document all but its first, which nothing
+precedes; of a conversation those of the assistant's turns.  A conversation is
+one item of at most ``TURNS`` turns, with its own count of them.
+
+Special tokens that the tokenizer's file names count as such where a text holds
+them as written there.
+
 Defined results: a null or empty text is its end token alone.  Repeated rows
 are packed each by itself.  Texts of any length are cut into full sequences
 first.  An empty table gives no rows.
@@ -32,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+TURNS = 64
 END_ID = 2
 _CACHE_WORDS = 600_000
 _CACHE_CHARS = 48
@@ -63,7 +71,10 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # those in runs were not written as the file has them
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {c: pack_ids([i]) for c, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self.older: dict[str, bytes] = {}
         self.split = re.compile(f"{_LETTERS}(?=[.,])|[^ \n]+").findall
         self.plain = re.compile(_LETTERS).fullmatch
@@ -87,6 +98,11 @@ class WordEncoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self.cut and any(c in text for c in self.special):
+            return b"".join(self.special.get(part) or self._plain(part) for part in self.cut(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         low = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
         return b"".join(map(self.__getitem__, self.split(low)))
 
@@ -111,7 +127,7 @@ class Packer:
     def __init__(self, limits: Limits, first_id: int, emit: Callable[[tuple], None]) -> None:
         self.limits, self.sequence, self.emit = limits, first_id, emit
         self.size = np.array([limits.tokens, limits.segments, limits.loss_tokens], dtype=np.float64)
-        self.items: list[list] = []  # [row, ids, start, loss per token]
+        self.items: list[list] = []  # [row, ids, start, how many of the tokens before each one bear loss]
         self.need = np.zeros((limits.window + 1, 3))
         self._open()
 
@@ -124,31 +140,44 @@ class Packer:
             self.sequence += 1
         self._open()
 
+    def _loss(self, item: list, tokens: int) -> int:
+        """Loss-bearing ones of the item's next tokens."""
+        return int(item[3][item[2] + tokens] - item[3][item[2]])
+
+    def _room(self, item: list) -> int:
+        """How many of the item's next tokens the open sequence can take."""
+        bearing = int(np.searchsorted(item[3], item[3][item[2]] + self.left[2], side="right")) - 1 - item[2]
+        return min(int(self.left[0]), bearing)
+
     def _put(self, item: list, tokens: int) -> None:
         """Place the item's next ``tokens`` tokens in the open sequence."""
-        row, ids, start, loss = item
+        row, ids, start, _ = item
         piece = ids[4 * start : 4 * (start + tokens)]
-        self.emit((row, start, tokens, zlib.crc32(piece), len(ids) // 4, self.sequence, self.offset))
+        loss = self._loss(item, tokens)
+        self.emit((row, start, tokens, zlib.crc32(piece), len(ids) // 4, self.sequence, self.offset, loss))
         self.offset += tokens
-        self.left -= (tokens, 1, tokens if loss else 0)
+        self.left -= (tokens, 1, loss)
         item[2] = start + tokens
-        if not self.left.all():
+        if not self.left[:2].all():
             self._close()
 
-    def add(self, row: int | None, ids: bytes, loss: bool = True) -> None:
-        item = [row, ids, 0, loss]
+    def add(self, row: int | None, ids: bytes, bearing: np.ndarray) -> None:
+        """An item and, for each of its tokens and the end, how many before it bear loss."""
+        item = [row, ids, 0, bearing]
         full = self.limits.tokens
-        if not loss or self.limits.loss_tokens >= full:
-            while len(ids) // 4 - item[2] >= full and self.offset == 0:
-                self._put(item, full)
+        while len(ids) // 4 - item[2] >= full and self.offset == 0 and self._loss(item, full) <= self.limits.loss_tokens:
+            self._put(item, full)
         if len(ids) // 4 - item[2]:
             self._wait(item)
             while len(self.items) > self.limits.window:
                 self._step()
 
-    def _wait(self, item: list) -> None:
+    def _need(self, item: list) -> tuple[int, int, int]:
         tokens = len(item[1]) // 4 - item[2]
-        self.need[len(self.items)] = (tokens, 1, tokens if item[3] else 0)
+        return tokens, 1, self._loss(item, tokens)
+
+    def _wait(self, item: list) -> None:
+        self.need[len(self.items)] = self._need(item)
         self.items.append(item)
 
     def _step(self) -> None:
@@ -159,15 +188,14 @@ class Packer:
         whole = bool(fits.any())
         best = int(np.argmax(np.where(fits, gain, -1.0) if whole else gain))
         item = self.items[best]
-        room = int(self.left[0] if not item[3] else min(self.left[0], self.left[2]))
-        tokens = min(len(item[1]) // 4 - item[2], room)
-        if tokens == 0:  # loss-bearing room is gone and nothing else is waiting
+        tokens = min(len(item[1]) // 4 - item[2], self._room(item))
+        if tokens == 0:  # loss-bearing room is gone and nothing that waits needs none
             self._close()
             return
         self._put(item, tokens)
         rest = len(item[1]) // 4 - item[2]
         if rest:
-            self.need[best] = (rest, 1, rest if item[3] else 0)
+            self.need[best] = self._need(item)
         else:
             self.items[best] = self.items[-1]
             self.need[best] = self.need[len(self.items) - 1]
@@ -193,9 +221,7 @@ class Packer:
         done = 0
         while done < tokens and waiting:
             item = waiting[-1]
-            part = min(tokens - done, len(item[1]) // 4 - item[2])
-            if item[3]:
-                part = min(part, int(self.left[2]))
+            part = min(tokens - done, len(item[1]) // 4 - item[2], self._room(item))
             sequence = self.sequence
             if part == 0:
                 self._close()
@@ -209,28 +235,18 @@ class Packer:
         return done
 
 
-def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None, keep_words: bool = True, order: list[str] | None = None) -> DataFrame:
-    """Pieces of every document of ``documents`` (doc_id, text[, loss column: whether its tokens bear loss]).
-
-    With ``order``, columns that sort the rows, tasks take consecutive ranges of
-    the rows in that order and number their sequences along it.
-
-    With ``keep_words`` a worker's encoded words outlast the task; without, it
-    gives their memory back, for workers that go on to other stages.
-    """
+def _packed(items: DataFrame, tokenizer_path: str, limits: Limits, keep_words: bool, read) -> DataFrame:
+    """Pieces of items; ``read(encode, batch)`` yields (id, ids, bearing) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path) if keep_words else WordEncoder(tokenizer_path)
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
         pieces: list[tuple] = []
         packer = Packer(limits, TaskContext.get().partitionId() << 33, pieces.append)
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pieces, strict=True) if pieces else [[]] * 7)], schema=schema)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pieces, strict=True) if pieces else [[]] * len(schema))], schema=schema)
         for batch in batches:
-            ids, texts, bearing = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            for i, doc in enumerate(ids):
-                text = texts[i].as_py()
-                packer.add(doc, (encode(text) if text else b"") + end, bearing[i].as_py() is not False)
+            for item in read(encode, batch):
+                packer.add(*item)
                 if len(pieces) >= 1 << 16:
                     yield flush()
                     pieces.clear()
@@ -238,8 +254,52 @@ def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), l
         if pieces:
             yield flush()
 
+    return items.mapInArrow(run, PIECES)
+
+
+def pack(documents: DataFrame, tokenizer_path: str, limits: Limits = Limits(), loss: str | None = None, keep_words: bool = True, order: list[str] | None = None) -> DataFrame:
+    """Pieces of every document of ``documents`` (doc_id, text[, loss column: false where none of its tokens bears loss]).
+
+    With ``order``, columns that sort the rows, tasks take consecutive ranges of
+    the rows in that order and number their sequences along it.
+    With ``keep_words`` a worker's encoded words outlast the task; without, it
+    gives their memory back, for workers that go on to other stages.
+    """
+    end = np.asarray([END_ID], dtype="<u4").tobytes()
+
+    def read(encode, batch):
+        ids, texts, bearing = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        for i, doc in enumerate(ids):
+            text = texts[i].as_py()
+            tokens = (encode(text) if text else b"") + end
+            counted = np.arange(-1, len(tokens) // 4) if bearing[i].as_py() is not False else np.zeros(len(tokens) // 4 + 1, np.int64)
+            counted[0] = 0
+            yield doc, tokens, counted
+
     if order:
         documents = documents.select("*", *[F.col(c).alias(f"_sl_order{i}") for i, c in enumerate(order)])
         keys = [f"_sl_order{i}" for i in range(len(order))]
         documents = documents.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(loss).cast("boolean") if loss else F.lit(True)).alias("loss")).mapInArrow(run, PIECES)
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col(loss).cast("boolean") if loss else F.lit(True)).alias("loss"))
+    return _packed(rows, tokenizer_path, limits, keep_words, read)
+
+
+def pack_conversations(conversations: DataFrame, tokenizer_path: str, limits: Limits = Limits(segments=64, loss_tokens=2048)) -> DataFrame:
+    """Pieces of conversations (conv_id, turn, role, text), ``doc_id`` being the conv_id.
+
+    The turns of a conversation follow each other, each with its end token; only
+    the assistant's bear loss.  Rows without an id or a turn are conversations
+    of their own kind and sort first; repeated rows stay.
+    """
+    end = np.asarray([END_ID], dtype="<u4").tobytes()
+    part = F.expr(f"cast(turn as long) div {TURNS}")
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    listed = conversations.groupBy(F.col("conv_id").cast("long").alias("doc_id"), part.alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+    def read(encode, batch):
+        for doc, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts = [((encode(t["text"]) if t["text"] else b"") + end, t["role"] == "assistant") for t in turns.as_py()]
+            bearing = np.repeat([b for _, b in parts], [len(ids) // 4 for ids, _ in parts])
+            yield doc, b"".join(ids for ids, _ in parts), np.concatenate([[0], np.cumsum(bearing)])
+
+    return _packed(listed.select("doc_id", "turns"), tokenizer_path, limits, True, read)

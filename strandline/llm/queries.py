@@ -33,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(_read(spark, sf_dir, "conversations"), tokenizer_path())
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_neighbours": op9_neighbours,
         "op10_suffixes": op10_suffixes,
+        "pack_conversations": pack_conversations,
     }
 
 
