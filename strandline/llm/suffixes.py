@@ -1,35 +1,40 @@
 """Duplicate byte strings by bucket-pointer refinement (operator 10).
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere
-else is marked.  A bucket is a set of text positions whose next bytes agree;
-buckets start from short q-grams and are refined with the identifiers of
-q-grams at other offsets of the same string, and only buckets that still hold
-two positions go on:
+else is marked.  A bucket is a set of text positions whose next bytes agree.
+Buckets start from short q-grams and are refined by sorting on the bucket
+identifiers of later offsets; only those that still hold two positions go on.
 
 1. *q-gram buckets.*  Each string of ``length`` bytes is filed under the
    smallest-ranked q-gram that it contains; equal strings choose the same one.
-   So only those q-grams (one in about 150 positions) are grouped, not every
-   position.  Buckets of one position are settled: no string filed there
-   repeats.
-2. *Pointer refinement.*  Strings of a live bucket whose q-gram lies within the
-   same ``BAND`` bytes of their start share a core of ``length - BAND`` bytes.
-   The bucket is split on the identifier of that core.
-3. *Sorting.*  What still shares a bucket is sorted on the identifiers of whole
-   strings; those met twice are the repeats.
+   So only those q-grams (one in about 150 positions) are grouped across the
+   cluster, not every position.  Buckets of one position are settled: no string
+   filed there repeats.
+2. *Dealing.*  Strings of a live bucket whose q-gram lies within the same
+   ``BAND`` bytes of their start share a core of ``length - BAND`` bytes.  They
+   are dealt by the bucket and that core, with the text slices around them.
+3. *Refinement* (:func:`refined`), in whole buckets.  Positions are bucketed by
+   their q-gram; a bucket of h bytes is sorted on the pairs of its positions'
+   own identifier and that of the position h bytes on, which gives buckets of 2h
+   bytes, whose identifiers the next pass sorts on, up to ``length``.  A
+   position alone in its bucket, or whose later position is, drops out.
+4. *Bytes decide.*  Members of a last bucket are compared byte by byte with its
+   first, in runs; should hashes of q-grams have met by chance, the bytes
+   themselves are the buckets.
 
 q-gram buckets of more than ``HEAVY`` texts, such as a passage in a third of all
-texts, skip step 2: their strings are dealt by the identifiers of the whole
-strings, so no task gathers such a bucket.
-
-Only the text slices around live positions travel to steps 2 and 3.  Equal
-slices of one batch are sent once, with a mark, which bounds what a much-copied
-passage puts into one bucket; equal texts are one text from the start, by their
-SHA-256.
-
-Identifiers are 64-bit hashes of the bytes.  Defined results: null and empty
-texts have no bytes; a text shorter than ``length`` keeps all; repeated rows
-remove each other wholly where long enough; matches never cross texts.  Other
-columns are not read, and an empty table gives an empty result.
+texts, are refined on the identifiers of all offsets at once: their strings are
+dealt one by one by a 64-bit hash of the whole, so no task gathers such a
+bucket.
+
+Only the text slices around live positions travel.  Equal slices of one batch
+are sent once, with a mark, which bounds what a much-copied passage puts into
+one bucket; equal texts are one text from the start, by their SHA-256.
+
+Defined results: null and empty texts have no bytes; a text shorter than
+``length`` keeps all; repeated rows remove each other wholly where long enough;
+matches never cross texts.  Other columns are not read, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -170,11 +175,17 @@ def _slices(live_texts: DataFrame, length: int, gram: int, band: int) -> DataFra
                 sole = np.ones(len(order), dtype=bool)
                 sole[:-1] &= ~again[1:]
                 sole[1:] &= ~again[1:]
+                body = data.tobytes()
+                spans = list(zip(begin.tolist(), (end + length).tolist(), strict=True))
+                for i in np.flatnonzero(again).tolist():  # by their bytes as well
+                    (a, z), (p, q) = spans[order[i]], spans[order[i - 1]]
+                    if body[a:z] != body[p:q]:
+                        again[i] = False
+                        sole[i] = sole[i - 1] = True
                 settled, single = np.empty(len(order), dtype=bool), np.empty(len(order), dtype=bool)
                 settled[order], single[order] = again, sole
-                body = data.tobytes()
                 # the first of equal slices goes on, marked by a negative length if there are more
-                slices = [None if s else body[b:e] for s, b, e in zip(settled.tolist(), begin.tolist(), (end + length).tolist(), strict=True)]
+                slices = [None if s else body[b:e] for s, (b, e) in zip(settled.tolist(), spans, strict=True)]
                 width = (end - begin + 1) * np.where(single | settled, 1, -1)
                 key = np.where(settled, tk.signed(tk.mix(dids[lo + text[first]].view(np.uint64) + begin.astype(np.uint64))), tk.signed(core + zone.astype(np.uint64)))
                 rows = [pa.array(key), pa.array(dids[lo + text[first]]), pa.array(begin - offsets[text[first]]), pa.array(width), pa.array(slices, pa.binary())]
@@ -183,7 +194,70 @@ def _slices(live_texts: DataFrame, length: int, gram: int, band: int) -> DataFra
     return live_texts.select("did", "bytes", "live", "heavy").mapInArrow(run, "ck long, did long, at long, n long, slice binary")
 
 
-def _repeats(slices: DataFrame, length: int, parts: int) -> DataFrame:
+def _pointers(keys: np.ndarray) -> np.ndarray:
+    """Numbers of the buckets of equal keys; -1 for a key that stands alone."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
+    number = np.zeros(len(keys), dtype=np.int64)
+    np.cumsum(~same, out=number[1:])
+    alone = np.ones(len(keys), dtype=bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    number[alone] = -1
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = number
+    return out
+
+
+def refined(grams: np.ndarray, starts: np.ndarray, gram: int, length: int) -> np.ndarray:
+    """Buckets of ``length`` bytes of the starts, from the names of the q-grams at all positions; -1 for a start alone in its bucket."""
+    shifts = []
+    size = gram
+    while size < length:
+        shifts.append(min(size, length - size))
+        size += shifts[-1]
+    wanted = [starts]
+    for shift in reversed(shifts):  # a pass needs its positions and those later by its shift
+        wanted.append(np.union1d(wanted[-1], wanted[-1] + shift))
+    at = wanted.pop()
+    pointer = np.full(int(at[-1]) + 1 if len(at) else 0, -1, dtype=np.int64)
+    pointer[at] = _pointers(grams[at])
+    for shift in shifts:
+        at = wanted.pop()
+        own, later = pointer[at], pointer[at + shift]
+        live = (own >= 0) & (later >= 0)
+        new = np.full(len(at), -1, dtype=np.int64)
+        new[live] = _pointers((own[live].astype(np.uint64) << np.uint64(32)) | later[live].astype(np.uint64))
+        pointer[at] = new
+    return pointer[starts]
+
+
+def _by_bytes(body: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """:func:`refined` by the bytes themselves."""
+    names: dict[bytes, int] = {}
+    bucket = np.array([names.setdefault(body[s : s + length], len(names)) for s in starts.tolist()], dtype=np.int64)
+    bucket[np.bincount(bucket, minlength=1)[bucket] < 2] = -1
+    return bucket
+
+
+def _confirmed(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Whether each start shares its bucket with another; the members' bytes are compared with the first member's."""
+    hit = bucket >= 0
+    at, b, o = starts[hit], bucket[hit], owner[hit]
+    if len(at) == 0:
+        return hit
+    _, first, back = np.unique(b, return_index=True, return_inverse=True)
+    head = at[first][back]
+    lo, hi = _runs(at, o, head - at)
+    body = data.tobytes()
+    for a, z, h in zip(at[lo].tolist(), (at[hi] + length).tolist(), head[lo].tolist(), strict=True):
+        if a != h and body[a:z] != body[h : h + z - a]:
+            return _by_bytes(body, starts, length) >= 0
+    return hit
+
+
+def _repeats(slices: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     """(did, at, n): runs of starts of strings met twice."""
     names = ["did", "at", "n"]
 
@@ -204,7 +278,6 @@ def _repeats(slices: DataFrame, length: int, parts: int) -> DataFrame:
         if len(some) == 0:
             return
         did, at, n = did[some], at[some], n[some]
-        ck = np.asarray(group.column("ck"))[some]
         body = tk.binary(slice_.take(pa.array(some)))
         offsets = np.frombuffer(body.buffers()[1], dtype=np.int64)[: len(body) + 1]
         data = np.frombuffer(body.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -214,14 +287,8 @@ def _repeats(slices: DataFrame, length: int, parts: int) -> DataFrame:
         total = int(n.sum())
         owner = np.repeat(np.arange(len(n)), n)
         start = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        key = tk.Hasher(data).grams(length)[offsets[:-1][owner] + start] ^ tk.mix(ck.view(np.uint64))[owner]
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(total, dtype=bool)
-        twice[:-1] |= same
-        twice[1:] |= same
-        hit = np.empty(total, dtype=bool)
-        hit[order] = twice
+        place = offsets[:-1][owner] + start
+        hit = _confirmed(data, place, refined(tk.Hasher(data).grams(gram), place, gram, length), owner, length)
         hit |= many[owner]
         o, s = owner[hit], start[hit]
         first, last = _runs(s, o)
@@ -270,6 +337,8 @@ def whole_words(body: bytes, ranges: list[tuple[int, int]], least: int) -> list[
         if end < len(body) and not body[end : end + 1].isspace():
             while end > begin and not body[end - 1 : end].isspace():
                 end -= 1
+        while begin < end and body[begin : begin + 1].isspace():  # the blank before stays between what is left
+            begin += 1
         if len(body[begin:end].split()) >= least:
             out.append((begin, end))
     return out
@@ -294,7 +363,7 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
     first = long.join(live.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.first("bytes").alias("bytes"))
     packed = live.select("k", F.xxhash64("k").alias("did"), F.col("vs").alias("live"), F.col("crowded").alias("heavy"))
     texts = save(first.join(packed, "k").select("k", "did", "bytes", "live", "heavy"), "live")
-    hits = _repeats(_slices(texts, length, gram, band), length, parts)
+    hits = _repeats(_slices(texts, length, gram, band), length, gram, parts)
     spans = hits.groupBy("did").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
 
     def cut(batches):

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandline.llm import suffixes as S
@@ -65,6 +66,32 @@ def test_other_lengths(spark, documents, monkeypatch, length, gram, band):
     assert found(spark, S.report(documents(rows), length)) == brute(rows, length)
 
 
+@pytest.mark.parametrize(("gram", "length"), [(1, 1), (1, 7), (3, 12), (4, 16), (5, 9)])
+def test_refined_buckets(gram, length):
+    rng = random.Random(length)
+    text = bytes(rng.choice(b"ab") for _ in range(400))
+    data = np.frombuffer(text, np.uint8)
+    starts = np.array(sorted(rng.sample(range(400 - length), 300)))
+    # q-grams named exactly, and by a name that unequal ones share, as when hashes meet
+    for names in ([text[i : i + gram] for i in range(401 - gram)], [text[i : i + 1] for i in range(401 - gram)]):
+        grams = np.unique(names, return_inverse=True)[1].astype(np.uint64)
+        got = S.refined(grams, starts, gram, length)
+        hit = S._confirmed(data, starts, got, np.zeros(300, np.int64), length)
+        seen = Counter(text[i : i + length] for i in starts.tolist())
+        assert hit.tolist() == [seen[text[i : i + length]] > 1 for i in starts.tolist()]
+
+
+def test_passages_of_whole_words(spark, documents):
+    fresh = lambda seed, n: " ".join(f"{random.Random(seed * 1000 + i).choice('abcdefgh')}{seed}x{i}" for i in range(n))
+    long, short = fresh(1, 60), fresh(2, 45)
+    rows = [(i, f"{fresh(10 + i, 20)} q{i}{long}{i}r {fresh(20 + i, 20)} {short} {fresh(30 + i, 5)}", None) for i in range(3)] + [(9, long), (9, long), (10, short), (10, short)]
+    out = {r.doc_id: r.text for r in S.cut_texts(documents([r[:2] for r in rows]), 200, 50, 76, 51).collect()}
+    inner = long.split(" ", 1)[1].rsplit(" ", 1)[0]
+    for i, text, *_ in rows[:3]:
+        assert out[i].split() == text.replace(inner, "").split()  # the words at either end are not the same everywhere
+    assert out[9] == "" and out[10] == short
+
+
 def test_cut_texts(spark, documents):
     fill = "".join(random.Random(5).choice("abcdefgh ") for _ in range(500))
     rows = [(1, "é" + fill + "ü tail"), (2, "è" + fill + "ö end"), (3, "alone"), (4, fill * 1), (4, fill * 1), (5, None)]
