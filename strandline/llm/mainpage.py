@@ -2,24 +2,28 @@
 
 A page becomes a sequence of tags and text pieces.  Words score by where they
 stand, tags cost a little, and one linear scan finds the contiguous region with
-the highest total.  The weights are log-odds from labelled pages: pages that
-mark their own article (``article``, ``main``, ``itemprop=articleBody``) label
-each word as inside or outside, and each word votes for its features, the
-names and class words of the elements around it, ``MAX_LABELLED`` pages at most
-and ``MAX_FEATURES`` features.  Names that say what an element is (menus,
-adverts, notices, comments and so on; whole class words only, so ``no-sidebar``
-is none) start with a prior of ``NAMED_PRIOR`` that learnt weights of the
-element's own features add to, and an article inside such an element, or inside
-a form, is read nevertheless.
-
-The region is then widened to the whole section that holds it, so a short last
-paragraph is not lost, and blocks in it whose own weight is not positive (an
-advert inside an article) are left out.
+the highest total; the text is what scores positive in it.  The weights are
+log-odds from labelled pages: pages that mark their own article (``article``,
+``main``, ``itemprop=articleBody``) label each word as inside or outside, and
+each word votes for its features, the names and class words of the elements
+around it, ``MAX_LABELLED`` pages at most.  Names that say what an element is
+(menus, adverts, notices, comments and so on; whole class words only, so
+``no-sidebar`` is none) start with a prior of ``NAMED_PRIOR`` that learnt weights
+of the element's own features add to, and an article inside such an element, or
+inside a form, is read nevertheless.
+
+Two rules of the scores keep a region whole.  Inside a marked article, and
+between blocks of one container (the nearest ``div``, ``section`` or cell), tags
+cost nothing, and words that score negative (an advert among the paragraphs)
+cost nothing either, so a short last paragraph is not lost; they are left out of
+the text all the same.  Elsewhere one block of such words costs ``MAX_BREAK`` at
+most.
 
 Defined results: null or empty html, and pages without positive words, give an
-empty text.  Broken markup is read to its end: unclosed elements end with their
-parents, a tag or comment cut off by the end of the page is dropped.  Repeated
-rows are read alike; other columns are ignored; an empty table gives an empty
+empty text.  Of regions with equal totals the first counts.  Broken markup is
+read to its end: unclosed elements end with their parents, a tag or comment cut
+off by the end of the page is dropped.  Repeated rows are read alike, null ids
+and urls stay null; other columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -36,17 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 5_000
-MAX_FEATURES = 2_000
+LEAST_WORDS = 5
 SMOOTH = 20.0
 TAG_COST = 0.3
+MAX_BREAK = 8.0
 NAMED_PRIOR = -4.0
 
 # Element names of HTML by role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mspace semantics annotation".split())
+CONTAINER = frozenset("article main section div td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head script style template noscript iframe object svg canvas audio video select textarea button form nav footer aside dialog menu".split())
 RAW = frozenset("script style template noscript iframe textarea title".split())
-SECTION = frozenset("article main section div td body html".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: elements that say nothing of what they hold
 PLAIN = INLINE - {"a"} | frozenset("div section table tbody thead tr td th center".split())
@@ -71,7 +76,7 @@ def _is_name(token: str) -> bool:
 
 
 class Element:
-    __slots__ = ("article", "cut", "dropped", "features", "inside", "name", "named", "parent")
+    __slots__ = ("around", "article", "cut", "dropped", "features", "home", "inside", "name", "named", "parent", "weight")
 
     def __init__(self, name: str, parent: Element | None, attributes: str = "") -> None:
         self.name, self.parent = name, parent
@@ -93,6 +98,13 @@ class Element:
         self.dropped = (held and parent.dropped) or (name in DROPPED and name != "form") or bool(bare and _HIDDEN.search(bare) and name != "body")
         self.cut = self.dropped or soft or (held and parent.cut and not article)
         self.features = (*(() if name in PLAIN else (f"<{name}",)), *(f".{w}" for w in dict.fromkeys(words)))
+        # features of the element and of those around it, each once; shared with the parent where nothing is new
+        above: dict[str, None] = parent.around if held else {}
+        new = [f for f in self.features if f not in above] if name not in ("html", "body") else []
+        self.around = above | dict.fromkeys(new) if new else above
+        # the container that it stands in, outside of what is cut
+        self.home: Element | None = (self if name in CONTAINER and not self.cut else parent.home) if held else None
+        self.weight: float | None = None
 
 
 class Page:
@@ -187,15 +199,6 @@ class Page:
         return here
 
 
-def features_of(element: Element | None) -> list[str]:
-    """Features of an element and of those around it, each once."""
-    seen: dict[str, None] = {}
-    while element is not None and element.name not in ("html", "body"):
-        seen.update(dict.fromkeys(element.features))
-        element = element.parent
-    return list(seen)
-
-
 def learn(pages: DataFrame) -> dict[str, float]:
     """Log-odds of features from at most about MAX_LABELLED pages that mark their article."""
     labelled = pages.where(F.col("html").rlike(r"(?i)<article\b|<main\b|articlebody")).select("html")
@@ -209,12 +212,13 @@ def learn(pages: DataFrame) -> dict[str, float]:
             for source in batch["html"]:
                 for element, text, _ in Page(source or "").blocks:
                     words = text.count(" ") + 1
-                    (inside if element.inside else outside).update(dict.fromkeys(["*", *features_of(element)], words))
+                    (inside if element.inside else outside).update(dict.fromkeys(["*", *element.around], words))
             names = list(inside.keys() | outside.keys())
             yield pd.DataFrame({"feature": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
 
     counts = labelled.mapInPandas(run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    kept = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(MAX_FEATURES).collect()
+    # features of the bounded sample; those of a few words would weigh next to nothing
+    kept = counts.where((F.col("inside") + F.col("outside") >= LEAST_WORDS) | (F.col("feature") == "*")).collect()
     table = {r.feature: (r.inside, r.outside) for r in kept}
     if "*" not in table:
         return {}
@@ -225,20 +229,24 @@ def learn(pages: DataFrame) -> dict[str, float]:
 
 
 class Scorer:
-    """Weights of blocks, remembered by element."""
+    """Weights of words by the element they stand in, remembered there."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
 
     def word(self, element: Element) -> float:
-        """Positive for words of content.  Elements that never hold text for reading are negative whatever the data say."""
+        """Positive for words of content."""
+        if element.weight is None:
+            element.weight = self._word(element)
+        return element.weight
+
+    def _word(self, element: Element) -> float:
         if element.dropped or (element.cut and self._left_out(element)):
             return -1.0
-        found = [self.weights[f] for f in features_of(element) if f in self.weights]
+        found = [self.weights[f] for f in element.around if f in self.weights]
         # text outside all that is known scores a little: pages without any structure are content
         return max(-2.0, min(2.0, 0.5 + sum(found) / max(len(found), 1))) if found else 0.5
 
-
     def _left_out(self, element: Element | None) -> bool:
         """Whether a form, header or named element is around, with no article between."""
         while element is not None and element.cut:
@@ -252,47 +260,45 @@ class Scorer:
             element = element.parent
         return False
 
-
-def main_blocks(source: str | None, scorer: Scorer) -> list[str]:
-    if not source:
-        return []
-    blocks = Page(source).blocks
-    weight = [scorer.word(element) for element, _, _ in blocks]
+    def line(self, blocks: list[tuple[Element, str, int]]) -> list[tuple[float, float]]:
+        """Of each block: what the tags before it cost, and what its words score."""
+        home = [element.home for element, _, _ in blocks]
+        # containers that hold content of their own
+        holding = {id(h) for h, (element, _, _) in zip(home, blocks, strict=True) if h is not None and self.word(element) > 0}
+        out = []
+        before = None
+        for h, (element, text, tags) in zip(home, blocks, strict=True):
+            score = self.word(element) * (text.count(" ") + 1)
+            if element.inside:
+                out.append((0.0, max(score, 0.0)))
+            else:
+                out.append((0.0 if h is not None and h is before else TAG_COST * min(tags, 4), max(score, 0.0 if id(h) in holding else -MAX_BREAK)))
+            before = h
+        return out
+
+
+def best_region(line: list[tuple[float, float]]) -> tuple[int, int] | None:
+    """First and last block of the contiguous region with the highest total; the tags before its first block do not count."""
     best, region = 0.0, None
     total, start = 0.0, 0
-    for i, (_, text, tags) in enumerate(blocks):
-        total -= TAG_COST * min(tags, 4)
+    for i, (tags, words) in enumerate(line):
+        total -= tags
         if total <= 0:
             total, start = 0.0, i
-        total += weight[i] * (text.count(" ") + 1)
+        total += words
         if total > best:
             best, region = total, (start, i)
+    return region
+
+
+def main_blocks(source: str | None, scorer: Scorer) -> list[str]:
+    if not source:
+        return []
+    blocks = Page(source).blocks
+    region = best_region(scorer.line(blocks))
     if region is None:
         return []
-    first, last = region
-    # the section that holds the region
-    held = _ancestors(blocks[first][0])
-    for i in range(first, last + 1):
-        if weight[i] > 0:
-            mine = set(map(id, _ancestors(blocks[i][0])))
-            held = [e for e in held if id(e) in mine]
-    section = next((e for e in held if e.name in SECTION), held[0])
-    outer = [e for e in held if e.name in ("article", "main")]
-    if outer:
-        section = outer[-1]
-    out = []
-    for i, (element, text, _) in enumerate(blocks):
-        if weight[i] > 0 and (first <= i <= last or any(e is section for e in _ancestors(element))):
-            out.append(text)
-    return out
-
-
-def _ancestors(element: Element | None) -> list[Element]:
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out
+    return [text for element, text, _ in blocks[region[0] : region[1] + 1] if scorer.word(element) > 0]
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

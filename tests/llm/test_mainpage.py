@@ -1,4 +1,8 @@
+import random
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandline.llm import mainpage as M
 
@@ -54,3 +58,55 @@ def test_long_page(spark):
 @pytest.mark.parametrize("source", ["<", "<p", "</", "<!--", "<a href='", "<script>x", "&am", "<p></b></p></div>x", "<table><tr><td>a<td>b</table>"])
 def test_broken(source):
     M.main_blocks(source, M.Scorer({}))
+
+
+def exhaustive(line):
+    """First region with the highest positive total, of all."""
+    best, region = 0.0, None
+    for i in range(len(line)):
+        total = 0.0
+        for j in range(i, len(line)):
+            total += line[j][1] - (line[j][0] if j > i else 0)
+            if total > best + 1e-9:
+                best, region = total, (i, j)
+    return best, region
+
+
+def total(line, region):
+    return 0.0 if region is None else sum(w for _, w in line[region[0] : region[1] + 1]) - sum(t for t, _ in line[region[0] + 1 : region[1] + 1])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-9, 9)), max_size=14))
+def test_best_region(line):
+    got = M.best_region(line)
+    best, region = exhaustive(line)
+    assert total(line, got) == pytest.approx(best) and (got is None) == (region is None)
+
+
+def test_region_of_random_pages():
+    """The text of pages with and without a marked article against a search of all regions."""
+    rng = random.Random(8)
+    kinds = ["<p>{}</p>", "<div class=ad>{}</div>", "<nav>{}</nav>", "<div class=text>{}</div>", "<ul><li>{}</ul>", "<aside>{}</aside>"]
+    weights = {".text": 1.5, ".ad": -2.0, "<li>": -0.7, "<p>": 0.9}
+    for n in range(150):
+        parts = [rng.choice(kinds).format(" ".join(f"w{n}x{i}y{j}" for j in range(rng.randrange(1, 20)))) for i in range(rng.randrange(1, 10))]
+        if n % 2:
+            a, b = sorted(rng.sample(range(len(parts) + 1), 2)) if len(parts) > 1 else (0, 1)
+            parts[a:b] = ["<article>" + "".join(parts[a:b]) + "</article>"]
+        page = "<body>" + "".join(parts) + "</body>"
+        scorer, blocks = M.Scorer(weights), M.Page(page).blocks
+        line = scorer.line(blocks)
+        best, region = exhaustive(line)
+        got = M.main_blocks(page, M.Scorer(weights))
+        texts = [text for element, text, _ in blocks if scorer.word(element) > 0]
+        assert set(got) <= set(texts)
+        at = [i for i, (_, text, _) in enumerate(blocks) if text in got]
+        assert (not at and region is None) or total(line, (at[0], at[-1])) == pytest.approx(best)
+
+
+def test_deep_nesting_and_repeats(spark):
+    deep = "<div class=a>" * 30_000 + "<p>Words at the bottom.</p>"
+    rows = [(None, None, deep), (1, "u", deep), (1, "u", deep)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [(r.page_id, r.text) for r in M.extract(frame).orderBy("page_id").collect()] == [(i, "Words at the bottom.") for i in (None, 1, 1)]
