@@ -10,7 +10,9 @@ its target.
 Windows repeat after ``period`` slots, so one period is scheduled, by a fold
 over its slots inside the SQL engine, and block i of a source takes the slot of
 block ``i mod share`` in period ``i div share``.  The period has about ``PERIOD``
-slots however large the data are.  When a source has run out, its slots stay
+slots however large the data are; every source has one slot at least, and more
+sources than slots are an error, since no schedule of that period could hold
+them (a longer ``period`` can).  When a source has run out, its slots stay
 empty and the others keep their proportions.
 
 Blocks come from exact running lengths: documents are ordered by the MD5 of
@@ -42,7 +44,10 @@ def tempered_shares(sizes: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, share): target weights in proportion to the square root of the sources' lengths, as whole slots of a period."""
     rooted = sizes.withColumn("root", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("chars").cast("double"))).cast("long")))
     total = rooted.agg(F.sum("root")).scalar()
-    return rooted.withColumn("total", total).select("source", F.expr(f"greatest(1L, ({period} * root) div total)").alias("share"))
+    many = F.raise_error(F.lit(f"mixing: more sources than the {period} slots of a period")).cast("long")
+    sources = rooted.agg(F.count(F.lit(1))).scalar()
+    given = rooted.withColumn("total", total).withColumn("sources", sources)
+    return given.select("source", F.when(F.col("sources") > period, many).otherwise(F.expr(f"greatest(1L, ({period} * root) div total)")).alias("share"))
 
 
 def period_slots(shares: DataFrame) -> DataFrame:

@@ -63,3 +63,10 @@ def test_given_shares_and_empty(spark):
     first = Counter(r.source for r in got if r.slot < 40)
     assert first == {"a": 30, "b": 10}
     assert M.schedule(frame(spark, rows).limit(0)).collect() == [] and M.mixed(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_more_sources_than_slots(spark):
+    rows = spark.range(9).selectExpr("id as doc_id", "'some text' as text", "concat('s', id) as source")
+    assert M.schedule(rows, period=16).count() == 9
+    with pytest.raises(Exception, match="more sources"):
+        M.schedule(rows, period=8).collect()
