@@ -56,3 +56,32 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in pieces:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and a clashing column; then no rows at all."""
+    rng = random.Random(2)
+    long = " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(None, "no id here at all", "en", "s", 1, "x"), (1, None, None, None, None, None), (2, "", "en", "s", 0, "x"), (3, long, "en", "s", 1, "x"), (4, "one two three four five six", "en", None, 1, "x")]
+    rows += [rows[4], (5, " \n ", "en", "t", 3, "x"), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot string"
+    labels = [(1, 1, 1), (2, 1, 0), (3, None, None), (None, 1, 1), (99, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    want = [8, 7, 7, 7]  # the repeated row goes as a near copy
+    frame = spark.createDataFrame(rows, schema)
+    empty = frame.limit(0)
+    for (name, stage), n in zip(C.STAGES, [*want, None], strict=True):
+        stage(spark, frame, d).write.parquet(f"{d}/{name}")
+        frame = spark.read.parquet(f"{d}/{name}")
+        stage(spark, empty, d).write.parquet(f"{d}/{name}-empty")
+        assert spark.read.parquet(f"{d}/{name}-empty").count() == 0
+        if n is not None:
+            assert frame.columns == [c.split()[0] for c in schema.split(", ")]
+            assert frame.count() == n, name
+            kept = frame.collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    assert frame.agg({"length": "sum"}).first()[0] == sum(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept)
+    assert {r.text for r in kept} == {r[1] for r in rows}
