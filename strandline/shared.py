@@ -7,8 +7,10 @@ removed.  A lost executor loses none of it.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,18 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+@contextlib.contextmanager
+def planned_ahead(spark: SparkSession) -> Iterator[None]:
+    """Static plans.  A step over buckets has its partitions and joins laid down; planning each stage anew took longer than running it."""
+    key = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Tables:
     """Bucketed tables of one iteration."""
 
@@ -49,7 +63,8 @@ class Tables:
         name = f"strandline_{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         dealt = df.repartition(self.buckets, key) if deal else df
-        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        with contextlib.nullcontext() if deal else planned_ahead(self.spark):
+            dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
         self.paths[name] = path
         found = self.spark.table(name)
         found._strandline = name
