@@ -7,8 +7,11 @@ has at most ``LEVELS`` buckets.  A group too small to speak for itself uses the
 merged sketch of its language, and failing that the merged sketch of all.  The
 limit is ``q75 + max(margin, spread * (q75 - q25))`` in the sketch's own units,
 so a clean group never loses a fixed share of its rows, and a group of noisy
-but usual style is judged against itself.  Documents join their limits and the
-filter follows.
+but usual style is judged against itself.  Where more than a quarter of a group
+is junk, its q75 is the junk's own level; so if the group's median lies within
+the limit of the merged sketch of all, ``CAP`` times that limit bounds its own (this holds while less than a quarter
+of all rows is junk).
+Documents join their limits and the filter follows.
 
 Defined results: a null or empty text has no words and fails the base rule.
 Null language or source is a group of its own.  Repeated rows are judged alike.
@@ -33,6 +36,7 @@ MAX_REPEAT_PERCENT = 20
 #: metric: (margin, spread); per-mille of characters, words or lines
 RULES = {"symbols": (40, 6), "capitals": (150, 6), "shouts": (150, 6), "dup_lines": (400, 6), "repeats": (200, 6)}
 MIN_GROUP = 50
+CAP = 2
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -129,15 +133,15 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantile_limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q25, q75 and size per group and metric; at most LEVELS rows meet in a group."""
+    """Size, median and limit per group and metric; at most LEVELS rows meet in a group."""
     w = Window.partitionBy(*keys, "metric")
     merged = sketch.groupBy(*keys, "metric", "level").agg(F.sum("n").alias("n"))
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("level"))).withColumn("size", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("size") * q, F.col("level")))
     margin, spread = (F.create_map(*[F.lit(x) for m, r in RULES.items() for x in (m, r[i])]) for i in (0, 1))
-    q = run.groupBy(*keys, "metric").agg(at(25).alias("q25"), at(75).alias("q75"), F.max("size").alias("size"))
+    q = run.groupBy(*keys, "metric").agg(at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"), F.max("size").alias("size"))
     limit = F.col("q75") + F.greatest(margin[F.col("metric")], spread[F.col("metric")] * (F.col("q75") - F.col("q25")))
-    return q.select(*keys, "metric", "size", limit.alias("limit"))
+    return q.select(*keys, "metric", "size", "q50", limit.alias("limit"))
 
 
 def group_limits(measured: DataFrame) -> DataFrame:
@@ -148,6 +152,7 @@ def group_limits(measured: DataFrame) -> DataFrame:
     everything = quantile_limits(sketch.withColumn("all", F.lit(0)), ["all"]).select(F.col("metric").alias("a_metric"), F.col("limit").alias("a_limit"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")), "left").join(everything, F.col("metric") == F.col("a_metric"), "left")
     limit = F.when(F.col("size") >= MIN_GROUP, F.col("limit")).when(F.col("l_size") >= MIN_GROUP, F.col("l_limit")).otherwise(F.col("a_limit"))
+    limit = F.when(F.col("q50") > F.col("a_limit"), limit).otherwise(F.least(limit, CAP * F.col("a_limit")))
     return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in RULES])
 
 
@@ -175,7 +180,7 @@ def oracle() -> str:
         by = f"{keys}, metric" if keys else "metric"
         return f"""{name}_h AS (SELECT {by}, level, count(*) AS n FROM levels GROUP BY ALL),
         {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY level) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_h),
-        {name} AS (SELECT {by}, max(size) AS size, min(level) FILTER (upto * 100 >= size * 75) AS q75, min(level) FILTER (upto * 100 >= size * 25) AS q25 FROM {name}_c GROUP BY {by})"""
+        {name} AS (SELECT {by}, max(size) AS size, min(level) FILTER (upto * 100 >= size * 75) AS q75, min(level) FILTER (upto * 100 >= size * 50) AS q50, min(level) FILTER (upto * 100 >= size * 25) AS q25 FROM {name}_c GROUP BY {by})"""
 
     bound = lambda t: f"{t}.q75 + greatest(r.margin, r.spread * ({t}.q75 - {t}.q25))"
     return rf"""
@@ -189,8 +194,8 @@ def oracle() -> str:
       {only('#*$%&|<>')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, {only('A-Z')} AS n_capitals, {only('!?')} AS n_shouts
       FROM split_up s LEFT JOIN repeats r ON s.doc_row = r.doc_row),
     levels AS ({levels}), {limits('own', 'lang, source')}, {limits('tongue', 'lang')}, {limits('every', '')},
-    bounds AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= {MIN_GROUP} THEN {bound('o')} WHEN t.size >= {MIN_GROUP} THEN {bound('t')} ELSE {bound('e')} END AS most
+    bounds AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.size >= {MIN_GROUP} THEN {bound('o')} WHEN t.size >= {MIN_GROUP} THEN {bound('t')} ELSE {bound('e')} END AS near, {bound('e')} AS far, o.q50
       FROM own o JOIN tongue t ON o.lang IS NOT DISTINCT FROM t.lang AND o.metric = t.metric JOIN every e ON o.metric = e.metric JOIN rules r ON o.metric = r.metric),
-    within AS (SELECT l.doc_row, bool_and(level <= most) AS ok FROM levels l JOIN bounds b ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source AND l.metric = b.metric GROUP BY l.doc_row),
+    within AS (SELECT l.doc_row, bool_and(level <= CASE WHEN q50 > far THEN near ELSE least(near, {CAP} * far) END) AS ok FROM levels l JOIN bounds b ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source AND l.metric = b.metric GROUP BY l.doc_row),
     failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, lang, source FROM failed JOIN within USING (doc_row)"""

@@ -47,6 +47,17 @@ def test_adaptive_limits(spark, documents):
     assert got[300] and got[301] and not got[302]  # a small group is judged by its language
 
 
+def test_third_of_a_source_is_junk(spark, documents):
+    rng = random.Random(3)
+    plain = lambda: " ".join(f"word{rng.randrange(10**6)}" for _ in range(40))
+    marked = lambda: " ".join(f"word{rng.randrange(10**6)} ###" for _ in range(20))
+    rows = [(i, marked() if i % 3 == 0 else plain(), "en", "hot") for i in range(150)]
+    rows += [(1000 + i, plain(), "en", "b") for i in range(400)] + [(2000 + i, marked(), "xx", "code") for i in range(60)]
+    got = {r.doc_id: r.kept for r in Q.judge(documents(rows)).collect()}
+    assert all(got[i] == (i % 3 != 0) for i in range(150))  # its median is like that of all
+    assert all(v for i, v in got.items() if i >= 1000)
+
+
 def test_sketches_merge(spark, documents):
     docs = documents(list(enumerate(texts()[9:])))
     whole = {tuple(r) for r in Q.sketches(Q.metrics(docs)).collect()}
