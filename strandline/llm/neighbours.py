@@ -5,23 +5,26 @@ by a hash of the id) until leaves hold about ``LEAF_ROWS`` of all rows; it has
 at most ``MAX_LEAVES`` leaves, and the tree alone is sent to the workers.  Every
 row is filed in the leaf that it reaches by the nearest centre at each level.
 
-A query goes through the tree best bin first: a priority queue holds the
-branches not taken, ranked by the inner product with their centre, and leaves
-are visited in the order they come off it.  Visits widen in rounds, from
-``FIRST`` leaves by a factor of ``WIDER``: a leaf sends on only what reaches the
-k-th best score of the rounds before, so what is gathered grows with the
-queries and hardly with their visits.  How many leaves are visited is
-calibrated: for
-``PROBES`` queries the true neighbours are found by comparing with all rows, and
-the visits are doubled, then narrowed, until the mean recall reaches
-``RECALL``.
-
-Leaves are cut in blocks of about ``BLOCK_ROWS`` rows, so a leaf that holds a
-third of all rows is as many tasks' work as it needs, and the queries that
-visit a block in parts of about ``QUERY_ROWS``, for which the block is repeated.
-A block and a part of its queries meet in one group, are compared by matrix
-products, and send on their ``k`` best; the final scores are summed in a fixed order, so equal
-vectors tie exactly, and ties go to the smaller id.
+A query goes through the tree best bin first, as a priority queue of the branches
+not taken would, ranked by the inner product with their centre (:meth:`Tree.ranks`
+finds the turn of every leaf without the queue).  How many leaves are visited
+is calibrated: for ``PROBES`` queries the true neighbours are found by comparing
+with all rows, and the visits are doubled, then narrowed, until the mean recall
+reaches ``RECALL``.
+
+Neither rows nor queries are copied for a visit.  Each leaf is written to the
+shared folder as raw arrays, in parts of about two usual leaves or of a
+``MAX_LEAVES``-th of all rows, if that is more.  Queries are dealt by the leaf that
+they fall in; a task holds ``QUERY_ROWS`` of them at a time, maps one part after
+another and compares ``BLOCK_ROWS`` rows with ``QUERY_TILE`` queries by a matrix
+product.  So a task's memory depends on these constants, the tree and the length
+of a vector (that of a task that writes, on one part), and rows and results are
+all that is shuffled.  Visits widen in
+rounds, from ``FIRST`` leaves by a factor of ``WIDER``, so that most rows are
+measured against a score that is near a query's k-th best already.  The final
+scores are summed in a fixed order, so equal vectors tie exactly, and ties go to
+the smaller id; of the equal vectors of a batch only those that can still be
+among a query's ``k`` are written.
 
 Defined results: vectors that are null, empty, zero, of another than the
 commonest length, or with null or non-finite components take no part, as rows
@@ -34,25 +37,30 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from .sharedfiles import mapped, put
+from .store import fresh_path, remove, save, shuffle_partitions
 
 K = 20
 MAX_SAMPLE = 20_000
 MAX_LEAVES = 4096
 LEAF_ROWS = 256
 BLOCK_ROWS = 2048
-QUERY_ROWS = 8192
+QUERY_ROWS = 2048
+QUERY_TILE = 256
+PENDING = 50_000
 BRANCHES = 8
 PROBES = 200
 RECALL = 0.95
 FIRST = 2
-WIDER = 3
+WIDER = 8
 
 
 @dataclass
@@ -83,20 +91,44 @@ class Tree:
                     stack.append((child, mine))
         return out
 
+    @cached_property
+    def _paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """The centres of all branches, and each leaf's branches from the root on; a number beyond the last where its path has ended."""
+        first = np.cumsum([0, *map(len, self.children)])
+        paths: list[list[int]] = [[] for _ in range(self.leaves)]
+        stack: list[tuple[int, list[int]]] = [(0, [])]
+        while stack:
+            node, above = stack.pop()
+            for j, child in enumerate(self.children[node]):
+                path = [*above, int(first[node]) + j]
+                if child < 0:
+                    paths[-1 - child] = path
+                else:
+                    stack.append((child, path))
+        depth = max(map(len, paths))
+        return np.concatenate(self.centres), np.array([p + [int(first[-1])] * (depth - len(p)) for p in paths])
+
+    def ranks(self, queries: np.ndarray) -> np.ndarray:
+        """The turn of each leaf (column), best bin first, for every query (row).
+
+        A queue of branches gives out a leaf after another one if, from where
+        their paths part, the smallest gain on its path is smaller: the order
+        of the smallest gains of the paths, of those from the next branch on, ...
+        """
+        turn = np.zeros((len(queries), self.leaves), dtype=np.int32)
+        if not self.centres:
+            return turn
+        centres, paths = self._paths
+        for lo in range(0, len(queries), QUERY_TILE):
+            gains = queries[lo : lo + QUERY_TILE] @ centres.T
+            for i, gain in enumerate(gains, lo):
+                least = np.minimum.accumulate(np.append(gain, np.inf)[paths.T[::-1]], axis=0)
+                turn[i, np.lexsort(-least)] = np.arange(self.leaves)
+        return turn
+
     def visits(self, query: np.ndarray, most: int) -> list[int]:
         """Leaves in best-bin-first order, up to ``most``."""
-        if not self.centres:
-            return [0]
-        found: list[int] = []
-        queue = [(0.0, 0)]
-        while queue and len(found) < most:
-            _, node = heapq.heappop(queue)
-            if node < 0:
-                found.append(-1 - node)
-                continue
-            for gain, child in zip((self.centres[node] @ query).tolist(), self.children[node], strict=True):
-                heapq.heappush(queue, (-gain, child))
-        return found
+        return np.argsort(self.ranks(query[None])[0])[:most].tolist()
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -150,90 +182,132 @@ def grow(sample: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int =
 
 
 def _usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that take part."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    """vec_id and vector (of floats if it was, else of doubles) of the rows that take part."""
+    kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     good = F.col("vec_id").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.where(good)
     size = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     return rows.where(F.size("vector") == (size[0].size if size else 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of a query's k best of one block that reach ``least``: near-equal rough scores are summed anew in a fixed order."""
-    other = ids != own
-    if not other.all():
-        scores, ids, vectors = scores[other], ids[other], vectors[other]
-    if len(ids) > k:
-        edge = -np.partition(-scores, k - 1)[k - 1]
-        least = max(least, edge)
-    if least > -np.inf:
-        at = np.flatnonzero(scores >= least - 1e-9 * (1 + abs(least)))
-        ids, vectors = ids[at], vectors[at]
-    exact = (vectors * query).sum(axis=1)
-    order = np.lexsort((ids, -exact))[:k]
-    return ids[order], exact[order]
-
-
-_PARTIAL = "query_id long, vec_id long, score double"
-
-
-def _block_best(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out_q, out_v, out_s = [], [], []
-        if len(rows) and len(queries):
-            ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy())
-            asked, least = queries["query_id"].to_numpy(), queries["least"].to_numpy()
-            for lo in range(0, len(queries), 512):
-                q = np.stack(queries["query"].to_numpy()[lo : lo + 512])
-                rough = q @ vectors.T
-                for i in range(len(q)):
-                    v, s = _best(rough[i], ids, vectors, q[i], int(asked[lo + i]), k, least[lo + i])
-                    out_q.append(np.full(len(v), asked[lo + i]))
-                    out_v.append(v)
-                    out_s.append(s)
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return pd.DataFrame({"query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64), "score": join(out_s, np.float64)})
-
-    return run
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix, in the type they are kept in."""
+    flat = np.asarray(column.flatten())
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
+
+
+class _Nearest:
+    """The k nearest rows so far of some queries."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = ids, queries, k
+        self.least = np.full(len(ids), -np.inf)  # the k-th best score, once there are k
+        self.pending: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+        self.best: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def meet(self, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, leaf: np.ndarray | int) -> None:
+        """Compare the queries numbered ``asked`` with rows of doubles."""
+        for lo in range(0, len(asked), QUERY_TILE):
+            self._tile(asked[lo : lo + QUERY_TILE], ids, vectors, leaf)
+
+    def _tile(self, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, leaf: np.ndarray | int) -> None:
+        queries = self.queries[asked]
+        rough = queries @ vectors.T
+        order = np.argsort(ids, kind="stable")
+        lower, upper = (np.searchsorted(ids, self.ids[asked], side=s, sorter=order) for s in ("left", "right"))
+        for i in np.flatnonzero(upper > lower).tolist():  # rows of a query's own id
+            rough[i, order[lower[i] : upper[i]]] = -np.inf
+        least = self.least[asked]
+        met = rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+        if np.count_nonzero(met) > 2 * self.k * len(asked) and len(ids) > self.k:
+            least = np.maximum(least, np.partition(rough, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            met = rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None]
+        met &= rough > -np.inf
+        q, r = np.nonzero(met)
+        step = max(1, 1_000_000 // max(vectors.shape[1], 1))
+        for lo in range(0, len(q), step):  # near-equal rough scores are summed anew in a fixed order
+            i, j = q[lo : lo + step], r[lo : lo + step]
+            score = (vectors[j] * queries[i]).sum(axis=1)
+            self.pending.append((asked[i], ids[j], leaf[j] if isinstance(leaf, np.ndarray) else np.full(len(j), leaf), score))
+            self.waiting += len(i)
+            if self.waiting > PENDING:
+                self.settle()
+
+    def settle(self) -> None:
+        """Merge what waits into the best."""
+        q, ids, leaf, score = (np.concatenate(x) for x in zip(self.best, *self.pending, strict=True))
+        order = np.lexsort((ids, -score, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        self.best = (q[kept], ids[order][kept], leaf[order][kept], score[order][kept])
+        last = place == self.k - 1
+        self.least[q[last]] = score[order][last]
+        self.pending, self.waiting = [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        """query_id, vec_id, leaf, score."""
+        self.settle()
+        q, ids, leaf, score = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(ids), pa.array(leaf, pa.int64()), pa.array(score)], ["query_id", "vec_id", "leaf", "score"])
+
+
+_FOUND = "query_id long, vec_id long, leaf long, score double"
+
+
+def _able(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among some query's k nearest as far as rows of equal vectors decide: those with fewer than k others before them.
+
+    Of one id k rows do, and of the others 2k, as a query skips those of its own id.
+    """
+    names = np.ascontiguousarray(vectors + 0).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()  # + 0: no -0.0
+    _, group = np.unique(names, return_inverse=True)
+    order = np.lexsort((ids, group))
+    g, i = group[order], ids[order]
+    n = np.arange(len(g))
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1])
+    kept = n - np.maximum.accumulate(np.where(new, n, 0)) < k
+    order, g = order[kept], g[kept]
+    return np.sort(order[np.arange(len(g)) - np.searchsorted(g, g) < 2 * k])
 
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score from the blocks' best."""
+    """query_id, rank, vec_id, score from the tasks' best."""
     best = partial.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))), 1, k).alias("best"))
     listed = best.select("query_id", F.posexplode("best").alias("at", "x"))
     return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def exact(rows: DataFrame, probes: pd.DataFrame, k: int = K) -> DataFrame:
-    """query_id, vec_id, leaf, score of the probes' k best of all rows (vec_id, vector, leaf); the probes are few."""
-    ids, vectors = probes["vec_id"].to_numpy(), np.stack(probes["vector"].to_numpy())
+def exact(rows: DataFrame, probes: pd.DataFrame, tree: Tree, k: int = K) -> DataFrame:
+    """query_id, vec_id, leaf, score of the probes' k best of each task's rows (vec_id, vector); the probes are few."""
+    ids, vectors = probes["vec_id"].to_numpy(), np.stack(probes["vector"].to_numpy()).astype(np.float64)
 
     def run(batches):
+        best = _Nearest(ids, vectors, k)
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            x, names, leaf = np.stack(batch["vector"].to_numpy()), batch["vec_id"].to_numpy(), batch["leaf"].to_numpy()
-            rough = vectors @ x.T
-            for i in range(len(ids)):
-                v, s = _best(rough[i], names, x, vectors[i], int(ids[i]), k)
-                where = dict(zip(names.tolist(), leaf.tolist(), strict=True))
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": v, "leaf": [where[n] for n in v.tolist()], "score": s})
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                x, names = _vectors(part.column(1)).astype(np.float64), np.asarray(part.column(0))
+                kept = _able(names, x, k)
+                x = x[kept]
+                best.meet(np.arange(len(ids)), names[kept], x, tree.file(x))
+        yield best.batch()
 
-    return rows.select("vec_id", "vector", "leaf").mapInPandas(run, "query_id long, vec_id long, leaf long, score double")
+    return rows.select("vec_id", "vector").mapInArrow(run, _FOUND)
 
 
-def _calibrated(tree: Tree, filed: DataFrame, probes: pd.DataFrame, k: int, target: float) -> int:
+def _calibrated(tree: Tree, rows: DataFrame, probes: pd.DataFrame, k: int, target: float) -> int:
     """Leaf visits with which the probes' mean recall reaches the target."""
     if tree.leaves == 1 or len(probes) == 0:
         return tree.leaves
-    partial = exact(filed, probes, k)
+    partial = exact(rows, probes, tree, k)
     best = partial.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "leaf"))), 1, k).alias("best"))
     truth = {r.query_id: [x.leaf for x in r.best] for r in best.collect()}  # PROBES rows of k
-    ranks: list[np.ndarray] = []
-    for qid, vector in zip(probes["vec_id"], probes["vector"], strict=True):
-        if truth.get(qid):
-            order = {leaf: i for i, leaf in enumerate(tree.visits(np.asarray(vector), tree.leaves))}
-            ranks.append(np.array([order[leaf] for leaf in truth[qid]]))
+    turn = tree.ranks(np.stack(probes["vector"].to_numpy()).astype(np.float64))
+    ranks = [turn[i, truth[qid]] for i, qid in enumerate(probes["vec_id"]) if truth.get(qid)]
     recall = lambda n: float(np.mean([(r < n).mean() for r in ranks])) if ranks else 1.0
     visits = 1
     while visits < tree.leaves and recall(visits) < target:
@@ -245,12 +319,50 @@ def _calibrated(tree: Tree, filed: DataFrame, probes: pd.DataFrame, k: int, targ
     return high
 
 
-def _prime(least: int) -> int:
-    """1, or the smallest prime from ``least`` on."""
-    n = max(least, 1)
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def _placed(rows: DataFrame, tree: Tree, k: int | None = None) -> DataFrame:
+    """rows (vec_id, vector) with their leaf; with ``k`` only those that equal vectors leave able to be found."""
+    kind = dict(rows.dtypes)["vector"]
+
+    def run(batches):
+        for batch in batches:
+            x = _vectors(batch.column(1))
+            if k is not None and batch.num_rows:
+                kept = _able(np.asarray(batch.column(0)), x, k)
+                batch, x = batch.take(pa.array(kept)), x[kept]
+            leaf = tree.file(x.astype(np.float64)) if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf)], ["vec_id", "vector", "leaf"])
+
+    return rows.select("vec_id", "vector").mapInArrow(run, f"vec_id long, vector {kind}, leaf long")
+
+
+def _written(rows: DataFrame, folder: str, tasks: int, k: int) -> DataFrame:
+    """Writes the rows (vec_id, vector, leaf, part) of each part of a leaf to the folder, ids first; part and size of what was written."""
+
+    def out(batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        leaf, part = (table.column(c)[0].as_py() for c in ("leaf", "part"))
+        ids, x = np.asarray(table.column("vec_id")), _vectors(table.column("vector").combine_chunks())
+        kept = _able(ids, x, k)
+        put(folder, f"{leaf}-{part}", np.concatenate([ids[kept].astype(np.int64).view(np.uint8), np.ascontiguousarray(x[kept]).ravel().view(np.uint8)]))
+        return pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([part], pa.int32()), pa.array([len(kept)])], ["leaf", "part", "size"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            leaf, part = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            cuts = [0, *(np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(leaf)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and (held[0].column(2)[0].as_py(), held[0].column(3)[0].as_py()) != (leaf[lo], part[lo]):
+                    yield out(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield out(held)
+
+    dealt = rows.select("vec_id", "vector", "leaf", "part").repartition(tasks, "leaf", "part").sortWithinPartitions("leaf", "part", "vec_id")
+    return dealt.mapInArrow(run, "leaf long, part int, size long")
 
 
 def search(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K, target: float = RECALL) -> DataFrame:
@@ -258,56 +370,60 @@ def search(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K,
 
     Without ``queries``, those are the rows whose vec_id is divisible by 20.
     """
+    spark = embeddings.sparkSession
     rows = save(_usable(embeddings), "vectors")
     asked = rows.where("vec_id % 20 = 0") if queries is None else save(_usable(queries), "asked")
     total = rows.count()
     part = min(1.0, MAX_SAMPLE / max(total, 1))
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * part) + (part == 1.0)).select("vector").limit(2 * MAX_SAMPLE).toPandas()
-    sample = np.stack(chosen["vector"].to_numpy()) if len(chosen) else np.empty((0, 1))
+    sample = np.stack(chosen["vector"].to_numpy()).astype(np.float64) if len(chosen) else np.empty((0, 1))
     leaves = int(min(MAX_LEAVES, max(1, total // LEAF_ROWS), max(1, len(sample) // 8)))
     tree = grow(sample, leaves)
-
-    def place(batches):
-        for batch in batches:
-            leaf = tree.file(np.stack(batch["vector"].to_numpy())) if len(batch) else np.empty(0, np.int64)
-            yield batch.assign(leaf=leaf)
-
-    filed = save(rows.mapInPandas(place, "vec_id long, vector array<double>, leaf long"), "filed")
     probes = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).toPandas()
     probes = probes.drop_duplicates("vec_id")
-    visits = _calibrated(tree, filed, probes, k, target)
-    sizes = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).select("leaf", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = {r.leaf: r.blocks for r in sizes.collect()}  # at most MAX_LEAVES rows
-
-    # a prime, so that ids that share a factor are spread as well
-    parts = _prime(asked.count() * visits // max(tree.leaves, 1) // QUERY_ROWS)
-
-    def go(first: int, last: int):
-        def run(batches):
-            for batch in batches:
-                columns: dict[str, list] = {"query_id": [], "query": [], "least": [], "leaf": [], "block": [], "part": []}
-                for qid, v, least in zip(batch["vec_id"], batch["vector"], batch["least"], strict=True):
-                    for leaf in tree.visits(np.asarray(v), last)[first:]:
-                        for b in range(blocks.get(leaf, 0)):
-                            for c, x in zip(columns.values(), (qid, v, least, leaf, b, qid % parts), strict=True):
-                                c.append(x)
-                yield pd.DataFrame(columns)
-
-        return run
-
-    salted = filed.join(F.broadcast(sizes), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-
-    def partial(queries: DataFrame, first: int, last: int) -> DataFrame:
-        sent = queries.select("vec_id", "vector", "least").mapInPandas(go(first, last), "query_id long, query array<double>, least double, leaf long, block int, part long")
-        return salted.groupBy("leaf", "block", "part").cogroup(sent.groupBy("leaf", "block", "part")).applyInPandas(_block_best(k), _PARTIAL)
-
-    distinct = asked.dropDuplicates(["vec_id", "vector"]).withColumn("least", F.lit(float("-inf")))
-    best = None
-    first, last = 0, min(FIRST, visits)
-    while first < visits:
-        found = partial(distinct, first, last)
-        best = save(_ranked(found if best is None else found.union(best.select("query_id", "vec_id", "score")), k), "best")
-        reached = best.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("reached"))
-        distinct = distinct.select("vec_id", "vector").join(reached, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", F.coalesce("reached", F.lit(float("-inf"))).alias("least"))
-        first, last = last, min(last * WIDER, visits)
+    visits = _calibrated(tree, rows, probes, k, target)
+
+    # at most MAX_LEAVES parts more than leaves, however many rows there are
+    part_rows = max(2 * LEAF_ROWS, -(-total // MAX_LEAVES))
+    able = _placed(rows, tree, k)
+    sizes = able.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).select("leaf", F.ceil(F.col("size") / part_rows).cast("int").alias("parts"))
+    folder = fresh_path(spark, "leaves")
+    tasks = max(shuffle_partitions(spark), -(-total // (16 * BLOCK_ROWS)))
+    parted = able.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", "vector", F.lit(3)), F.col("parts")).cast("int"))
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for r in _written(parted, folder, tasks, k).collect():
+        parts.setdefault(r.leaf, []).append((r.part, r.size))
+    floats = dict(rows.dtypes)["vector"] == "array<float>"
+
+    def rows_of(leaf: int):
+        """ids and vectors of a leaf, some at a time."""
+        for number, size in parts.get(leaf, []):
+            raw = mapped(folder, f"{leaf}-{number}", "u1")
+            ids, x = raw[: 8 * size].view(np.int64), raw[8 * size :].view(np.float32 if floats else np.float64).reshape(size, -1)
+            for lo in range(0, size, BLOCK_ROWS):
+                yield np.array(ids[lo : lo + BLOCK_ROWS]), x[lo : lo + BLOCK_ROWS].astype(np.float64)
+
+    def find(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, QUERY_ROWS):
+                some = batch.slice(lo, QUERY_ROWS)
+                vectors = _vectors(some.column(1)).astype(np.float64)
+                best, turn = _Nearest(np.asarray(some.column(0)), vectors, k), np.ascontiguousarray(tree.ranks(vectors).T)
+                first, last = 0, min(FIRST, visits)
+                while first < visits:
+                    for leaf in range(tree.leaves):
+                        now = np.flatnonzero((turn[leaf] >= first) & (turn[leaf] < last))
+                        if len(now):
+                            for ids, x in rows_of(leaf):
+                                best.meet(now, ids, x, leaf)
+                    best.settle()
+                    first, last = last, min(last * WIDER, visits)
+                yield best.batch()
+
+    # near queries visit the same leaves; one row per id and vector
+    distinct = asked.dropDuplicates(["vec_id", "vector"])
+    tasks = max(shuffle_partitions(spark), -(-asked.count() // QUERY_ROWS))
+    dealt = _placed(distinct, tree).repartitionByRange(tasks, "leaf", "vec_id")
+    best = save(_ranked(dealt.select("vec_id", "vector").mapInArrow(find, _FOUND), k), "best")
+    remove(spark, folder)
     return best

@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 
@@ -73,3 +75,64 @@ def test_tree_visits_every_leaf_once():
     assert sorted(tree.visits(x[0], tree.leaves)) == list(range(tree.leaves)) and set(tree.file(x)) <= set(range(tree.leaves))
     same = A.grow(np.ones((50, 8)), 10)
     assert same.leaves == 1 and set(same.file(np.ones((5, 8)))) == {0}
+
+
+def queue_order(tree, query):
+    """Leaves as they come off a priority queue of branches."""
+    found, queue = [], [(0.0, 0)]
+    while queue:
+        _, node = heapq.heappop(queue)
+        if node < 0:
+            found.append(-1 - node)
+        else:
+            for gain, child in zip((tree.centres[node] @ query).tolist(), tree.children[node], strict=True):
+                heapq.heappush(queue, (-gain, child))
+    return found
+
+
+def test_turns_are_those_of_a_queue():
+    x = np.array([v for _, v in vectors(900, seed=4)])
+    tree = A.grow(x, 120, branches=3)
+    turn = tree.ranks(x[:40])
+    for i in range(40):
+        assert np.argsort(turn[i]).tolist() == queue_order(tree, x[i])
+
+
+def shuffled(spark):
+    """Records written to exchanges, by stage."""
+    gateway = spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+
+def test_visits_do_not_copy_rows_or_queries(spark, monkeypatch):
+    for name, value in (("LEAF_ROWS", 8), ("PROBES", 40)):
+        monkeypatch.setattr(A, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 8)).tolist())]
+    before = shuffled(spark)
+    got, want = A.search(frame(spark, rows)).collect(), brute(rows)
+    sent = {k: n for k, n in shuffled(spark).items() if k not in before}
+    assert recall(got, want) >= 0.9
+    # the frame's own repartition, the write of leaves, and lists of the best: no stage sends more than the rows or what the queries find
+    assert max(sent.values()) <= 3000 and sum(sent.values()) < 4 * 3000
+
+
+def test_leaves_in_parts_and_chunks_of_queries(spark, monkeypatch):
+    for name, value in (("LEAF_ROWS", 16), ("BLOCK_ROWS", 17), ("QUERY_ROWS", 7), ("QUERY_TILE", 3), ("PENDING", 10), ("MAX_LEAVES", 4)):
+        monkeypatch.setattr(A, name, value)
+    rows = vectors(1200, seed=9)
+    got, want = A.search(frame(spark, rows), target=1.1).collect(), brute(rows)  # a recall out of reach: all leaves
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, n + 1, j) for q, best in want.items() for n, (_, j) in enumerate(best)}
+
+
+def test_many_equal_vectors_and_repeated_ids(spark, monkeypatch):
+    for name, value in (("LEAF_ROWS", 40), ("BLOCK_ROWS", 90)):
+        monkeypatch.setattr(A, name, value)
+    rows = [(i, v) for i, v in vectors(300) if i % 7] + [(0, [3.0] * 8)] * 30 + [(i, [3.0] * 8) for i in range(1000, 1400)] + [(1, [3.0] * 8)] * 9
+    got = A.search(frame(spark, rows), target=1.1).collect()
+    values = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows]
+    for q, vector in {i: v for i, v in values if i % 20 == 0}.items():
+        best = sorted((-float((v * vector).sum()), j) for j, v in values if j != q)[:20]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in mine] == [j for _, j in best] and [r.rank for r in mine] == list(range(1, 21))
