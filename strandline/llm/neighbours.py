@@ -21,7 +21,8 @@ product.  So a task's memory depends on these constants, the tree and the length
 of a vector (that of a task that writes, on one part), and rows and results are
 all that is shuffled.  Visits widen in
 rounds, from ``FIRST`` leaves by a factor of ``WIDER``, so that most rows are
-measured against a score that is near a query's k-th best already.  The final
+measured against a score that is near a query's k-th best already; a query that
+has not found ``k`` rows by then goes on.  The final
 scores are summed in a fixed order, so equal vectors tie exactly, and ties go to
 the smaller id; of the equal vectors of a batch only those that can still be
 among a query's ``k`` are written.
@@ -410,14 +411,17 @@ def search(embeddings: DataFrame, queries: DataFrame | None = None, k: int = K,
                 vectors = _vectors(some.column(1)).astype(np.float64)
                 best, turn = _Nearest(np.asarray(some.column(0)), vectors, k), np.ascontiguousarray(tree.ranks(vectors).T)
                 first, last = 0, min(FIRST, visits)
-                while first < visits:
+                asking = np.ones(len(vectors), dtype=bool)
+                while first < last and asking.any():
                     for leaf in range(tree.leaves):
-                        now = np.flatnonzero((turn[leaf] >= first) & (turn[leaf] < last))
+                        now = np.flatnonzero((turn[leaf] >= first) & (turn[leaf] < last) & asking)
                         if len(now):
                             for ids, x in rows_of(leaf):
                                 best.meet(now, ids, x, leaf)
                     best.settle()
-                    first, last = last, min(last * WIDER, visits)
+                    if last >= visits:  # beyond them only queries that have not found k yet
+                        asking = best.least == -np.inf
+                    first, last = last, min(last * WIDER, visits if last < visits else tree.leaves)
                 yield best.batch()
 
     # near queries visit the same leaves; one row per id and vector

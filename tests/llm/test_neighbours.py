@@ -136,3 +136,12 @@ def test_many_equal_vectors_and_repeated_ids(spark, monkeypatch):
         best = sorted((-float((v * vector).sum()), j) for j, v in values if j != q)[:20]
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [r.vec_id for r in mine] == [j for _, j in best] and [r.rank for r in mine] == list(range(1, 21))
+
+
+def test_every_query_finds_k_however_small_its_leaves_are(spark, monkeypatch):
+    monkeypatch.setattr(A, "LEAF_ROWS", 6)
+    rng = np.random.default_rng(3)
+    centres = 5 * rng.normal(size=(100, 8))
+    rows = [(i, (centres[i // 6] + 0.01 * rng.normal(size=8)).tolist()) for i in range(600)]
+    got = A.search(frame(spark, rows), target=0.02).collect()
+    assert {q: sum(r.query_id == q for r in got) for q in range(0, 600, 20)} == dict.fromkeys(range(0, 600, 20), 20)
