@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-preparation methods and their queries.
+"""Training-data operators: thirteen corpus-preparation methods and their queries.
 
 Nothing outside this subpackage imports it; ``__spark_entry__.py`` adds its
 queries when it is present.

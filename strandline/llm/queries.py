@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mainpage, mixing, neardup, neighbours, packing, quality, suffixes, toxicity, urls
+from . import alignment, divergence, language_model, mainpage, mixing, neardup, neighbours, packing, pieces, quality, suffixes, toxicity, urls
 from .ship import ship
 
 
@@ -15,10 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": op1_urls,
@@ -78,9 +90,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_neighbours": op9_neighbours,
         "op10_suffixes": op10_suffixes,
+        "op11_alignment": op11_alignment,
+        "op12_divergence": op12_divergence,
+        "op13_sentencepiece": op13_sentencepiece,
         "pack_conversations": pack_conversations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urls": urls.oracle(), "op5_mixing": mixing.oracle(), "op6_neardup": neardup.oracle(), "op8_quality": quality.oracle()}
+    return {
+        "op1_urls": urls.oracle(),
+        "op5_mixing": mixing.oracle(),
+        "op6_neardup": neardup.oracle(),
+        "op8_quality": quality.oracle(),
+        "op12_divergence": divergence.oracle(),
+    }
