@@ -45,7 +45,8 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def services(spark, options: argparse.Namespace) -> list:
-    from urllib.request import urlopen
+    from urllib.error import URLError
+    from urllib.request import HTTPRedirectHandler, build_opener
 
     from .operators import crawl
     from .plans.frontend import Frontend
@@ -56,15 +57,24 @@ def services(spark, options: argparse.Namespace) -> list:
     if not isinstance(documents, IndexStore):
         raise StrandlineError("the front end searches an index:<folder>")
 
+    def addresses(name: str) -> set[str]:
+        return {a[4][0] for a in socket.getaddrinfo(name, None)}
+
+    class Checked(HTTPRedirectHandler):
+        def redirect_request(self, req, fp, code, msg, headers, newurl):
+            if crawl.refused(newurl, addresses):
+                raise URLError(f"redirected to {newurl}")
+            return super().redirect_request(req, fp, code, msg, headers, newurl)
+
     def get(url: str) -> tuple[int, str, str]:
-        with urlopen(url, timeout=30) as got:
+        with build_opener(Checked).open(url, timeout=30) as got:
             return got.status, got.headers.get("Content-Type", ""), got.read().decode("utf-8", "replace")
 
     where = partition(options.partition_detection_mode)
     host, _, port = options.frontend_listen_addr.rpartition(":")
     return [
         Frontend(graph, documents, options.frontend_results_per_page, options.frontend_max_summary_length, (host or "0.0.0.0", int(port))),
-        CrawlService(graph, documents, lambda due: crawl.fetch_live(due, get).drop("id", "retrieved_at"), options.crawler_update_interval, options.crawler_reindex_threshold, where),
+        CrawlService(graph, documents, lambda due: crawl.fetch_live(due, get, addresses).drop("id"), options.crawler_update_interval, options.crawler_reindex_threshold, where),
         RankService(graph, documents, options.ranker_update_interval, where),
     ]
 

@@ -31,3 +31,7 @@ class NegativeCost(StrandlineError):
 
 class NoPartitionData(StrandlineError):
     """The number of partitions is not known yet."""
+
+
+class CommitConflict(StrandlineError):
+    """Another writer has rewritten the same rows meanwhile."""

@@ -1,16 +1,19 @@
 """The crawl dataflow: fetch, filter, extract links and text, fan out.
 
 A pass is one lineage of column expressions; branches share it and are joined
-by a bag union.  Fetching over the network is an optional ``mapInPandas`` with a
+by a bag union.  Fetching over the network is an optional ``mapInArrow`` with a
 function of the caller's; by default pages come from a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ipaddress
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +27,66 @@ def fetched(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.select("id", "url", "retrieved_at").join(pages, "url")
 
 
-def fetch_live(links: DataFrame, get: Callable[[str], tuple[int, str, str]]) -> DataFrame:
-    """Pages fetched by ``get(url) -> (status, content_type, html)``; a failure drops the row."""
+LIVE = "id string, url string, status int, content_type string, html string"
+_EXCLUDED = re.compile(H.EXCLUDED.replace("(?id)", "(?i)").replace("$", r"\Z"))
 
-    def run(batches):
+
+def refused(url: str, addresses: Callable[[str], Iterable[str]], blocks: tuple[str, ...] = N.PRIVATE_BLOCKS) -> bool:
+    """Whether a URL must not be requested: no http(s), an excluded ending, or a host that has a private address or none.
+
+    ``addresses(host)`` gives the addresses of a name; if it fails, the host counts as private.
+    """
+    try:
+        parts = urlsplit(url)
+        host = parts.hostname
+        if parts.scheme.lower() not in ("http", "https") or not host or _EXCLUDED.search(url):
+            return True
+        try:
+            found = [ipaddress.ip_address(host)]
+        except ValueError:
+            found = [ipaddress.ip_address(a.split("%")[0]) for a in addresses(host)]
+    except (ValueError, OSError):
+        return True
+    nets = [ipaddress.ip_network(b, strict=False) for b in blocks]
+    found = [getattr(a, "ipv4_mapped", None) or a for a in found]
+    return not found or any(a in net for a in found for net in nets if net.version == a.version)
+
+
+def fetch_live(links: DataFrame, get: Callable[[str], tuple[int, str, str]], addresses: Callable[[str], Iterable[str]] | None = None) -> DataFrame:
+    """Pages (id, url, status, content_type, html) fetched by ``get(url) -> (status, content_type, html)``; a failure drops the row.
+
+    With ``addresses`` (see :func:`refused`) no refused URL is requested; ``get``
+    has to ask :func:`refused` again before it follows a redirect.
+    """
+    names = [c.split()[0] for c in LIVE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, url, at in batch[["id", "url", "retrieved_at"]].itertuples(index=False):
+            for i, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if addresses is not None and refused(url, addresses):
+                    continue
                 try:
-                    rows.append((i, url, at, *get(url)))
+                    rows.append((i, url, *get(url)))
                 except Exception:  # noqa: BLE001 - whatever the client raises, the link is dropped for this pass
                     continue
-            yield pd.DataFrame(rows, columns=["id", "url", "retrieved_at", "status", "content_type", "html"])
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return links.select("id", "url", "retrieved_at").mapInPandas(run, "id string, url string, retrieved_at timestamp, status int, content_type string, html string")
+    return links.select("id", "url").mapInArrow(run, LIVE)
+
+
+def requestable(links: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Links that may be requested at all, judged before any request: ending, and address if ``hosts`` or the URL gives one.
+
+    Without ``hosts``, a named host is left to the fetcher, which resolves it.
+    """
+    kept = crawlable(links)
+    if hosts is not None:
+        return public_only(kept, hosts)
+    literal = N.host_ip(H.hostname(F.col("url")))
+    return kept.where(H.scheme(F.col("url")).isin("http", "https") & (literal.isNull() | ~N.blocked(literal)))
 
 
 def crawlable(links: DataFrame) -> DataFrame:

@@ -108,6 +108,19 @@ def partition_links(links: DataFrame, n: int) -> DataFrame:
     return links.withColumn("partition", ids.partition_index(F.col("id"), n))
 
 
+def pass_changes(crawled: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What crawled pages (id, url, links, no_follow_links) change in the graph at ``now``.
+
+    (targets, touched, followed, cutoffs): links to add (url), links retrieved (url,
+    retrieved_at), new or kept edges (src, url), and sources whose older edges go
+    (src, updated_before).
+    """
+    targets = crawled.select(F.explode(F.concat("links", "no_follow_links")).alias("url"))
+    followed = crawled.select(F.col("id").alias("src"), F.explode("links").alias("url"))
+    cutoffs = crawled.select(F.col("id").alias("src"), _time(now).alias("updated_before"))
+    return targets, crawled.select("url", _time(now).alias("retrieved_at")), followed, cutoffs
+
+
 def graph_update(links: DataFrame, edges: DataFrame, crawled: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """Merge crawled pages (id, url, links, no_follow_links) into the graph at ``now``.
 

@@ -23,6 +23,17 @@ def index_rejects(incoming: DataFrame) -> DataFrame:
     return incoming.where(_missing())
 
 
+def incoming_texts(incoming: DataFrame) -> DataFrame:
+    """One row for each document that can be indexed, the latest."""
+    best = incoming.where(~_missing()).groupBy("link_id").agg(F.max(F.struct("indexed_at", "url", "title", "content")).alias("n"))
+    return best.select("link_id", "n.*")
+
+
+def incoming_scores(scores: DataFrame) -> DataFrame:
+    """One (link_id, score) for each document."""
+    return scores.where(~_missing()).groupBy("link_id").agg(F.max("score").alias("score"))
+
+
 def index_documents(documents: DataFrame, incoming: DataFrame, strict: bool = False) -> DataFrame:
     """Insert or replace by link id; a known document keeps its PageRank, a new one has 0.
 
@@ -31,7 +42,7 @@ def index_documents(documents: DataFrame, incoming: DataFrame, strict: bool = Fa
     if strict and not index_rejects(incoming).isEmpty():
         raise MissingLinkID("a document has no link id")
     fields = ["url", "title", "content", "indexed_at"]
-    new = incoming.where(~_missing()).groupBy("link_id").agg(F.max(F.struct("indexed_at", "url", "title", "content")).alias("n"))
+    new = incoming_texts(incoming).select("link_id", F.struct("indexed_at", "url", "title", "content").alias("n"))
     old = documents.select("link_id", F.struct(*fields).alias("o"), "pagerank")
     both = old.join(new, "link_id", "full_outer")
     return both.select("link_id", *[F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in fields], F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
@@ -39,7 +50,7 @@ def index_documents(documents: DataFrame, incoming: DataFrame, strict: bool = Fa
 
 def update_scores(documents: DataFrame, scores: DataFrame) -> DataFrame:
     """Set PageRanks (link_id, score); an unknown id becomes a placeholder document."""
-    given = scores.where(~_missing()).groupBy("link_id").agg(F.max("score").alias("score"))
+    given = incoming_scores(scores)
     both = documents.join(given, "link_id", "full_outer")
     empty = F.col("indexed_at").isNull() & F.col("score").isNotNull()
     return both.select(

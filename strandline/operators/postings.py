@@ -87,10 +87,10 @@ class PostingsIndex:
             return self.spark.createDataFrame([], "link_id string")
         names = list(dict.fromkeys(terms))
         found = self.postings(names).groupBy("link_id", "field").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(names)])
-        starts = [_shifted(f"p{names.index(t)}", i) for i, t in enumerate(terms)]
+        starts = [shifted(f"p{names.index(t)}", i) for i, t in enumerate(terms)]
         return found.where(F.size(reduce(F.array_intersect, starts)) > 0).select("link_id").distinct()
 
 
-def _shifted(column: str, by: int) -> Column:
+def shifted(column: str, by: int) -> Column:
     """Where the phrase would start, for each position of its ``by``-th term."""
     return F.transform(F.col(column), lambda p: p - by)

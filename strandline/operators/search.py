@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import StrandlineError
 from ..functions import text as X
 from .postings import PostingsIndex
+from .segments import Found, SegmentedIndex
 
 PAGE_SIZE = 10
 SUMMARY_LENGTH = 256
@@ -47,16 +48,16 @@ def parse_offset(value: Column) -> Column:
     return F.when(number >= 0, number).otherwise(F.lit(0).cast("bigint"))
 
 
-def matching(stored: PostingsIndex, query: Query) -> DataFrame:
+def matching(stored: PostingsIndex | SegmentedIndex, query: Query) -> DataFrame:
     """(link_id, score, pagerank) of the documents that match: any term, or the phrase in one field."""
     terms = query.terms
     scored = stored.scores(terms)
     if query.phrase:
         scored = scored.join(stored.phrase(terms), "link_id", "left_semi")
-    return scored.join(stored.ranks(), "link_id")
+    return scored.join(stored.pageranks() if isinstance(stored, SegmentedIndex) else stored.ranks(), "link_id")
 
 
-def ranked(stored: PostingsIndex, query: Query, blend: str | None = None) -> DataFrame:
+def ranked(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | None = None) -> DataFrame:
     """Matches with ``rank_score``: by PageRank then text score, or blended.
 
     ``blend``: 'multiply' is score * (score + pagerank), 'sum' is score + pagerank.
@@ -64,8 +65,7 @@ def ranked(stored: PostingsIndex, query: Query, blend: str | None = None) -> Dat
     found = matching(stored, query)
     if blend is None:
         return found.withColumn("rank_score", F.col("pagerank"))
-    if blend not in ("multiply", "sum"):
-        raise StrandlineError("blend must be 'multiply', 'sum' or None")
+    _check_blend(blend)
     total = F.col("score") + F.col("pagerank")
     return found.withColumn("rank_score", F.col("score") * total if blend == "multiply" else total)
 
@@ -75,25 +75,61 @@ def order() -> list[Column]:
     return [F.desc("rank_score"), F.desc("score"), F.asc("link_id")]
 
 
-def search(stored: PostingsIndex, query: Query, blend: str | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
+def _check_blend(blend: str | None) -> None:
+    if blend not in ("multiply", "sum", None):
+        raise StrandlineError("blend must be 'multiply', 'sum' or None")
+
+
+def top(stored: SegmentedIndex, query: Query, k: int, blend: str | None = None, after: Row | None = None) -> Found:
+    """The first ``k`` hits, or those after the hit ``after``, from the blocks that can hold them (see :class:`SegmentedIndex`)."""
+    _check_blend(blend)
+    terms = query.terms
+    key = None if after is None else (after.rank_score, after.score, after.link_id)
+    return stored.top(list(dict.fromkeys(terms)), k, blend, terms if query.phrase else None, key)
+
+
+def _fetched(stored: PostingsIndex | SegmentedIndex, page: list[Row], total: int) -> DataFrame:
+    """Hits with their documents, which are fetched by their ids."""
+    keys = [r.link_id for r in page]
+    shown = stored.spark.createDataFrame([(i, r.link_id, r.score, r.rank_score, total) for i, r in enumerate(page)], "position int, link_id string, score double, rank_score double, total_count long")
+    found = stored.documents(keys) if isinstance(stored, SegmentedIndex) else stored.documents().where(F.col("link_id").isin(keys))
+    return found.join(F.broadcast(shown), "link_id").orderBy("position")
+
+
+def search(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | None = None, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of hits in order, each with its ``position`` and the number of all hits.
 
     Hits are ranked from the postings of the query's terms as a top-k of ids;
-    only the page's documents are then fetched, by their ids.
+    only the page's documents are then fetched, by their ids.  An index in segments
+    reads the postings that can hold the page's hits and no others.
     """
+    if isinstance(stored, SegmentedIndex):
+        found = top(stored, query, query.offset + page_size, blend)
+        return _fetched(stored, found.hits[query.offset :], found.total)
     hits = ranked(stored, query, blend)
     page = hits.orderBy(*order()).offset(query.offset).limit(page_size).select("link_id", "score", "rank_score").collect()  # page_size rows
     if 0 < len(page) < page_size:
         total = query.offset + len(page)
     else:
         total = hits.count() if page else 0
-    shown = stored.spark.createDataFrame([(i, *r, total) for i, r in enumerate(page)], "position int, link_id string, score double, rank_score double, total_count long")
-    found = stored.documents().where(F.col("link_id").isin([r.link_id for r in page]))
-    return found.join(F.broadcast(shown), "link_id").orderBy("position")
+    return _fetched(stored, page, total)
+
 
+def batches(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | None = None, size: int = PAGE_SIZE) -> Iterator[Row]:
+    """All hits from the query's offset on, fetched ``size`` at a time as they are asked for.
 
-def batches(stored: PostingsIndex, query: Query, blend: str | None = None, size: int = PAGE_SIZE) -> Iterator[Row]:
-    """All hits from the query's offset on, fetched ``size`` at a time as they are asked for."""
+    Over an index in segments each batch begins after the last hit of the one
+    before, on one version of the index, whatever is written meanwhile.
+    """
+    if isinstance(stored, SegmentedIndex):
+        skip, last = query.offset, None
+        while True:
+            page = top(stored, query, skip + size, blend, last)
+            rows = page.hits[skip:]
+            yield from _fetched(stored, rows, page.total).collect() if rows else []
+            if len(rows) < size:
+                return
+            skip, last = 0, rows[-1]
     offset = query.offset
     while True:
         rows = search(stored, replace(query, offset=offset), blend, size).collect()
@@ -103,7 +139,7 @@ def batches(stored: PostingsIndex, query: Query, blend: str | None = None, size:
         offset += size
 
 
-def search_page(stored: PostingsIndex, text: str, offset: str | int = 0, page_size: int = PAGE_SIZE, summary_length: int = SUMMARY_LENGTH) -> DataFrame:
+def search_page(stored: PostingsIndex | SegmentedIndex, text: str, offset: str | int = 0, page_size: int = PAGE_SIZE, summary_length: int = SUMMARY_LENGTH) -> DataFrame:
     """link_id, url, title, summary, total_count, rank_score, score: a page as shown, summaries made for its rows alone."""
     query = Query.parse(text, offset)
     page = search(stored, query, page_size=page_size)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import html as H
-from ..operators import graphstore, search
+from ..operators import search
 from ..sources.stores import IndexStore, Store
 
 HOME, SEARCH, SUBMIT = "/", search.ENDPOINT, "/submit/site"
@@ -58,7 +58,6 @@ class Frontend:
     def __init__(self, graph: Store, documents: IndexStore, page_size: int = search.PAGE_SIZE, summary_length: int = search.SUMMARY_LENGTH, address: tuple[str, int] = ("127.0.0.1", 8080)) -> None:
         self.graph, self.documents, self.page_size, self.summary_length, self.address = graph, documents, page_size, summary_length, address
         self.name, self.interval = "front-end", timedelta(seconds=1)
-        self.changing = threading.Lock()
         self.server: ThreadingHTTPServer | None = None
 
     def handle(self, method: str, target: str, form: str = "") -> tuple[int, str]:
@@ -91,8 +90,7 @@ class Frontend:
         url = spark.range(1).select(F.lit(link).alias("url")).where(H.scheme(F.col("url")).isin("http", "https")).select(H.without_fragment(F.col("url")).alias("url"))
         if url.isEmpty():
             return 400, self._submit_page("This is no address of a web site.")
-        with self.changing:
-            self.graph.write("links", graphstore.upsert_links(self.graph.read("links"), url))
+        self.graph.upsert_links(url)
         return 200, self._submit_page("The site was added.")
 
     def start(self) -> ThreadingHTTPServer:

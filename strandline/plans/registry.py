@@ -20,9 +20,11 @@ from ..functions import network as N
 from ..functions import text as X
 from ..operators import crawl, graphstore, index, search
 from ..operators.postings import PostingsIndex
-from ..schemas import LAST_ID, NEVER, NIL_ID, never
-from ..shared import shared_dir
+from ..operators.segments import SegmentedIndex
+from ..schemas import EDGE, LAST_ID, LINK, NEVER, NIL_ID, never
+from ..shared import file_versions, shared_dir
 from ..ship import ship
+from ..sources.stores import ParquetStore, open_index
 from . import pagerank as PR
 from . import shortest_path as SP
 from .pregel import Pregel
@@ -194,6 +196,37 @@ def upsert_links(spark, d):
     return graphstore.upsert_links(links, later.union(early).union(new)).select("id", "url", seconds("retrieved_at").alias("retrieved_s"))
 
 
+@query(
+    f"""WITH {LINKS} SELECT {uuid_sql('url')} AS id, url, max(retrieved_s)::BIGINT AS retrieved_s FROM (
+      SELECT url, retrieved_s + k * 3600 AS retrieved_s FROM links, (SELECT unnest(range(5)) AS k) WHERE page_id % 5 >= k
+      UNION ALL SELECT url || 'new', {NEVER} FROM links) GROUP BY url"""
+)
+def delta_upserts(spark, d):
+    """Five commits of changed and new links to a stored table, with compactions between them."""
+    store = ParquetStore(spark, {"links": LINK}, fresh_store(spark, "parquet").split(":", 1)[1], ranges=4, compact_at=3)
+    links = links_of(spark, d)
+    for k in range(5):
+        own = links.where(F.col("page_id") % 5 >= k).select("url", F.timestamp_seconds(seconds("retrieved_at") + k * 3600).alias("retrieved_at"))
+        new = links.where(F.col("page_id") % 5 == k).select(F.concat("url", F.lit("new")).alias("url"), never().alias("retrieved_at"))
+        store.upsert_links(own.union(new))
+    return store.read("links").select("id", "url", seconds("retrieved_at").alias("retrieved_s"))
+
+
+@query(
+    f"""WITH {SITES}, kept AS (SELECT src, dst, CASE WHEN l THEN {BASE_S + 86400} ELSE updated_s END AS updated_s, cut FROM (
+      SELECT *, substr(dst, 1, 1) < '8' AS l, substr(src, 1, 1) < '4' AS cut FROM site_edges))
+    SELECT src, dst, updated_s FROM kept WHERE NOT cut OR updated_s >= {BASE_S}"""
+)
+def delta_edges(spark, d):
+    """Edges committed, some of them touched in a second commit that also cuts the older edges of some sources."""
+    store = ParquetStore(spark, {"edges": EDGE}, fresh_store(spark, "parquet").split(":", 1)[1], ranges=4)
+    edges = site_edges(spark, d)
+    store.write("edges", edges)
+    cutoffs = edges.where(F.substring("src", 1, 1) < "4").select("src", at(BASE_S).alias("updated_before")).distinct()
+    store.upsert_edges(edges.where(F.substring("dst", 1, 1) < "8"), at(BASE_S + 86400), cutoffs)
+    return store.read("edges").select("src", "dst", seconds("updated_at").alias("updated_s"))
+
+
 @query(f"WITH {SITES} SELECT id, src, dst FROM site_edges WHERE src IN (SELECT id FROM sites) AND dst IN (SELECT id FROM sites)")
 def edge_fk_semi(spark, d):
     return graphstore.known_edges(site_edges(spark, d), site_links(spark, d)).select("id", "src", "dst")
@@ -444,14 +477,20 @@ def stored_index(spark, d) -> PostingsIndex:
     return PostingsIndex(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}").write(documents_of(spark, d))
 
 
-_INDEXES: dict[tuple[str, str], PostingsIndex] = {}
+_INDEXES: dict[tuple, SegmentedIndex] = {}
 
 
-def index_of(spark, d) -> PostingsIndex:
-    """The stored index of a folder's documents, made at the first search in the application."""
-    key = spark.sparkContext.applicationId, d
+def fresh_store(spark, kind: str) -> str:
+    return f"{kind}:{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def index_of(spark, d) -> SegmentedIndex:
+    """The index of a folder's documents, made at the first search in the application and again when the files change."""
+    key = spark.sparkContext.applicationId, d, file_versions(table(spark, d, "documents"))
     if key not in _INDEXES:
-        _INDEXES[key] = stored_index(spark, d)
+        store = open_index(spark, fresh_store(spark, "index"))
+        store.write("documents", documents_of(spark, d))
+        _INDEXES[key] = store.search_index()
     return _INDEXES[key]
 
 
@@ -497,6 +536,36 @@ def search_phrase(spark, d):
     return hits.select("link_id").join(urls, "link_id").withColumn("total_count", hits.agg(F.count(F.lit(1))).scalar())
 
 
+@query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, (row_number() OVER (ORDER BY docs.pagerank DESC, scored.score DESC, link_id))::INT - 1 AS position, round(score, 6) AS score FROM scored JOIN docs USING (link_id)")
+def search_cursor(spark, d):
+    """All hits in order, a batch of 300 after the other, each from the last hit of the one before."""
+    stored, asked = index_of(spark, d), search.Query.parse(MATCH)
+    rows, last = [], None
+    while page := search.top(stored, asked, 300, after=last).hits:
+        rows += [(r.link_id, len(rows) + i, r.score) for i, r in enumerate(page)]
+        last = page[-1]
+    return spark.createDataFrame(rows, "link_id string, position int, score double").withColumn("score", F.round("score", 6))
+
+
+CHANGED_DOCS = DOCS.replace("text AS content", "CASE WHEN doc_id % 10 = 3 THEN 'que que ' || text ELSE text END AS content").replace(
+    "(doc_id % 97) / 97.0::DOUBLE AS pagerank", "(doc_id % 89) / 89.0::DOUBLE AS pagerank"
+)
+
+
+@query(f"WITH {CHANGED_DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(pagerank, 6) AS pagerank, round(score, 6) AS score FROM scored JOIN docs USING (link_id)")
+def segments_followed(spark, d):
+    """BM25 and PageRanks after documents came in six commits, some were replaced, segments merged and new scores set."""
+    docs, store = documents_of(spark, d), open_index(spark, fresh_store(spark, "index"))
+    for k in range(6):
+        store.put_documents(docs.where(F.col("doc_id") % 6 == k))
+        if k % 2:
+            stored = store.search_index()
+    store.put_documents(docs.where("doc_id % 10 = 3").withColumn("content", F.concat(F.lit("que que "), "content")))
+    store.put_scores(docs.select("link_id", ((F.col("doc_id") % 89) / 89.0).alias("score")))
+    stored = store.search_index()
+    return stored.scores(TERMS).join(stored.pageranks(), "link_id").select("link_id", F.round("pagerank", 6).alias("pagerank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {DOCS}, {bm25_sql(['que'])} SELECT link_id, url, CASE WHEN title = '' THEN url ELSE title END AS title, (SELECT count(*) FROM scored) AS total_count FROM scored JOIN docs USING (link_id) ORDER BY docs.pagerank DESC, scored.score DESC, link_id LIMIT 10 OFFSET 10")
 def search_page(spark, d):
     return search.search_page(index_of(spark, d), "que", "10").select("link_id", "url", "title", "total_count")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NoPartitionData, StrandlineError
 from ..functions.ids import partition_extent
-from ..operators import crawl, graphstore, index
+from ..operators import crawl, graphstore
 from ..shared import Tables
 from ..sources.stores import Store
 from .pagerank import pagerank
@@ -82,20 +82,20 @@ class CrawlService:
             raise NoPartitionData("the number of partitions is not known yet")
         lo, hi = partition_extent(*found)
         now = F.lit(self.clock())
-        links, edges = self.graph.read("links"), self.graph.read("edges")
-        due = graphstore.links_scan(links, lo, hi, F.lit(self.clock() - self.reindex_after))
+        links = self.graph.read("links")
+        due = crawl.requestable(graphstore.links_scan(links, lo, hi, F.lit(self.clock() - self.reindex_after)), self.hosts)
         # fetched once, so that links, edges and documents of a pass agree even if an executor is lost
         tables = Tables(links.sparkSession)
         crawled = tables.put(crawl.crawl_pages(due, self.fetch(due), self.hosts), "id")
         try:
             count = crawled.count()
             if count:
-                new_links, new_edges = graphstore.graph_update(links, edges, crawled, now)
-                texts = crawled.select(F.col("id").alias("link_id"), "url", "title", F.col("text").alias("content"), now.alias("indexed_at"))
-                docs = index.index_documents(self.documents.read("documents"), texts)
-                self.documents.write("documents", docs)
-                self.graph.write("edges", new_edges)
-                self.graph.write("links", new_links)
+                # only changes are written, so passes that overlap keep each other's; the pages count as retrieved at the end
+                targets, touched, followed, cutoffs = graphstore.pass_changes(crawled, now)
+                self.graph.upsert_links(targets)
+                self.graph.upsert_edges(self.graph.link_ids(followed).select("src", F.col("id").alias("dst")), now, cutoffs)
+                self.documents.put_documents(crawled.select(F.col("id").alias("link_id"), "url", "title", F.col("text").alias("content"), now.alias("indexed_at")))
+                self.graph.upsert_links(touched)
             return count
         finally:
             tables.drop(crawled)
@@ -126,7 +126,7 @@ class RankService:
         links = self.graph.read("links").where(F.col("retrieved_at") < start).select("id")
         edges = self.graph.read("edges").where(F.col("updated_at") < start).select("src", "dst")
         ranks = pagerank(links, edges)
-        self.documents.write_scores(index.update_scores(self.documents.read("documents"), ranks.select(F.col("id").alias("link_id"), F.col("rank").alias("score"))))
+        self.documents.put_scores(ranks.select(F.col("id").alias("link_id"), F.col("rank").alias("score")))
         return ranks.count()
 
 

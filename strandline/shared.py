@@ -7,10 +7,8 @@ removed.  A lost executor loses none of it.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,23 +36,36 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-@contextlib.contextmanager
-def planned_ahead(spark: SparkSession) -> Iterator[None]:
-    """Static plans.  A step over buckets has its partitions and joins laid down; planning each stage anew took longer than running it."""
-    key = "spark.sql.adaptive.enabled"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
+def file_versions(df: DataFrame) -> tuple:
+    """(path, length, modification time) of the files that a frame reads."""
+    found = []
+    for name in sorted(df.inputFiles()):
+        files, at = file_system(df.sparkSession, name)
+        status = files.getFileStatus(at)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def planned_ahead(spark: SparkSession) -> SparkSession:
+    """A session of its own for static plans, with the same settings and tables.
+
+    A step over buckets has its partitions and joins laid down; planning each stage
+    anew took longer than running it.  Frames of that session are planned so, whatever
+    other threads do, and the caller's session stays as it is.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    return own
 
 
 class Tables:
     """Bucketed tables of one iteration."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/strandline-steps"
+        self.spark, self.root = planned_ahead(spark), f"{shared_dir(spark)}/strandline-steps"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.paths: dict[str, str] = {}
 
@@ -63,8 +74,7 @@ class Tables:
         name = f"strandline_{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         dealt = df.repartition(self.buckets, key) if deal else df
-        with contextlib.nullcontext() if deal else planned_ahead(self.spark):
-            dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
         self.paths[name] = path
         found = self.spark.table(name)
         found._strandline = name

@@ -1,13 +1,15 @@
 """Stores by URI: where link, edge and document tables live.
 
-``in-memory:`` starts empty and ends with the session; ``parquet:<folder>`` reads
-and writes folders; ``index:<folder>`` is such a folder with the documents'
-stored postings beside it, for searches; ``postgresql:`` (and CockroachDB, which
+``in-memory:`` starts empty and ends with the session; ``parquet:<folder>`` keeps
+each table as a log of commits; ``index:<folder>`` is such a folder with an index
+of the documents beside it, for searches; ``postgresql:`` (and CockroachDB, which
 speaks its protocol) goes through JDBC with a partitioned read on the id, and
 needs the driver's jar.  ``es:`` is refused: its place is taken by ``index:``.
 
-A write replaces a table by a frame that may be made from the table itself.  It
-never takes away the old rows before the new ones are complete.
+Changes go in by key (``upsert_links``, ``upsert_edges``, ``put_documents``,
+``put_scores``): each writes its own rows only, and several writers at once keep
+each other's.  ``write`` replaces a table by a frame that may be made from the
+table itself.  It never takes away the old rows before the new ones are complete.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import StrandlineError
-from ..functions.ids import partition_bounds
-from ..operators.postings import PostingsIndex
-from ..schemas import DOCUMENT, EDGE, LINK, NIL_ID
+from ..functions import ids
+from ..operators import graphstore, index
+from ..operators.graphstore import _time
+from ..operators.segments import SegmentedIndex
+from ..schemas import DOCUMENT, EDGE, LINK, NIL_ID, never
 from ..shared import file_system, shared_dir
+from .deltalog import DeltaTable, Kind
 
 GRAPH_TABLES = {"links": LINK, "edges": EDGE}
 INDEX_TABLES = {"documents": DOCUMENT}
@@ -52,9 +58,26 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         raise NotImplementedError
 
-    def write_scores(self, documents: DataFrame) -> None:
-        """Replace the documents by ones of which only the PageRank has changed."""
-        self.write("documents", documents)
+    def link_ids(self, urls: DataFrame) -> DataFrame:
+        """``urls`` with ``id``: that of the stored link, or the one that the URL gives."""
+        known = self.read("links").select("url", F.col("id").alias("_id"))
+        return urls.join(known, "url", "left").withColumn("id", F.coalesce("_id", ids.link_id(F.col("url")))).drop("_id")
+
+    def upsert_links(self, incoming: DataFrame) -> None:
+        """Insert or touch by URL (url[, retrieved_at]); the latest retrieval wins."""
+        raise NotImplementedError
+
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
+        """Insert or touch (src, dst) at ``now``; older edges of the sources of ``cutoffs`` (src, updated_before) go.  All in one commit."""
+        raise NotImplementedError
+
+    def put_documents(self, texts: DataFrame) -> None:
+        """Insert or replace texts by link id; PageRanks stay."""
+        raise NotImplementedError
+
+    def put_scores(self, scores: DataFrame) -> None:
+        """Set PageRanks (link_id, score); an unknown id becomes a placeholder document."""
+        raise NotImplementedError
 
     def reset(self) -> None:
         """Empty every table."""
@@ -65,49 +88,90 @@ class Store:
         """Give back what the store holds; its tables stay, except in memory."""
 
 
+def _links(rows: DataFrame) -> DataFrame:
+    """One row for each id: the latest retrieval."""
+    return rows.groupBy("id").agg(F.max("url").alias("url"), F.max("retrieved_at").alias("retrieved_at"))
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """One row for each pair of ends, the latest update; a row without ``dst`` says that older edges of its source are gone."""
+    merged = rows.groupBy("src", "dst").agg(F.min("id").alias("id"), F.max("updated_at").alias("updated_at"))
+    cuts = merged.where("dst is null")
+    left = graphstore.remove_stale_edges_many(merged.where("dst is not null"), cuts.select("src", F.col("updated_at").alias("updated_before")))
+    return left.unionByName(cuts)
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """The latest commit's text and the latest commit's score of each document; one that has a score alone is a placeholder."""
+    text, score = F.struct("_v", "indexed_at", "url", "title", "content"), F.struct("_v", "pagerank")
+    met = rows.groupBy("link_id").agg(F.max(F.when(F.col("indexed_at").isNotNull(), text)).alias("t"), F.max(F.when(F.col("pagerank").isNotNull(), score)).alias("p"))
+    shown = lambda c, default: F.when(F.col("t").isNotNull(), F.col(f"t.{c}")).otherwise(default).alias(c)
+    return met.select("link_id", *[shown(c, F.lit("")) for c in ("url", "title", "content")], shown("indexed_at", never()), F.coalesce("p.pagerank", F.lit(0.0)).alias("pagerank"))
+
+
+KINDS = {
+    "links": Kind(LINK, "id", _links),
+    "edges": Kind(EDGE, "src", _edges, lambda rows: rows.where("dst is not null")),
+    "documents": Kind(DOCUMENT, "link_id", _documents),
+}
+
+
 class ParquetStore(Store):
-    """Folders of Parquet, sorted by the range column so that id ranges prune row groups.
+    """Folders of Parquet, each a log of commits (see :mod:`deltalog`), in ranges of ids.
 
-    Each write is a new version ``v=<n>`` of its table; the highest complete one
-    counts, and the one before stays for whoever still reads it.
+    Changes of several writers at once all stay.  ``ranges`` and ``compact_at``
+    are the log's.
     """
 
-    KEPT = 2
-
-    def __init__(self, spark: SparkSession, tables: dict[str, StructType], root: str) -> None:
+    def __init__(self, spark: SparkSession, tables: dict[str, StructType], root: str, **options) -> None:
         super().__init__(spark, tables)
         self.root = root.rstrip("/")
+        self.logs = {name: DeltaTable(spark, f"{self.root}/{name}", KINDS[name], **options) for name in tables}
 
-    def versions(self, name: str) -> list[int]:
-        """Complete versions, oldest first."""
-        files, at = file_system(self.spark, f"{self.root}/{name}")
-        if not files.exists(at):
-            return []
-        found = []
-        for status in files.listStatus(at):
-            label = status.getPath().getName()
-            if label.startswith("v=") and files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(label[2:]))
-        return sorted(found)
-
-    def path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v={version}"
+    def log(self, name: str) -> DeltaTable:
+        self._schema(name)
+        return self.logs[name]
 
-    def read(self, name: str) -> DataFrame:
-        schema, found = self._schema(name), self.versions(name)
-        return self.spark.read.schema(schema).parquet(self.path(name, found[-1])) if found else self._empty(name)
+    def read(self, name: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        return self.log(name).read(lo, hi)
 
     def write(self, name: str, df: DataFrame) -> None:
-        column, found = RANGE_COLUMN[name], self.versions(name)
-        fresh = found[-1] + 1 if found else 0
-        # the overwritten folder can only be what a failed write left
-        df.select(*self._schema(name).fieldNames()).repartitionByRange(column).sortWithinPartitions(column).write.mode("overwrite").parquet(self.path(name, fresh))
-        self._forget(name)
+        # ids that are not made from what their rows name, such as those of another store, have to be looked up from then on
+        made = {"links": ids.link_id(F.col("url")), "edges": ids.edge_id(F.col("src"), F.col("dst"))}.get(name)
+        self.log(name).replace(df, None if made is None else F.col("id") != made)
+
+    def link_ids(self, urls: DataFrame) -> DataFrame:
+        """``urls`` with ``id``: that of the stored link, or the one that the URL gives."""
+        made = ids.link_id(F.col("url"))
+        if not self.log("links").state().flags.get("flagged"):
+            return urls.withColumn("id", made)
+        known = self.read("links").select("url", F.col("id").alias("_id"))
+        return urls.join(known, "url", "left").withColumn("id", F.coalesce("_id", made)).drop("_id")
+
+    def upsert_links(self, incoming: DataFrame) -> None:
+        when = F.coalesce(F.col("retrieved_at").cast("timestamp"), never()) if "retrieved_at" in incoming.columns else never()
+        new = incoming.groupBy("url").agg(F.max(when).alias("retrieved_at"))
+        self.log("links").append(self.link_ids(new))
+
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
+        new = pairs.select("src", "dst").distinct().withColumn("updated_at", _time(now)).withColumn("id", ids.edge_id(F.col("src"), F.col("dst")))
+        if self.log("edges").state().flags.get("flagged"):
+            known = self.read("edges").select("src", "dst", F.col("id").alias("_id"))
+            new = new.join(known, ["src", "dst"], "left").withColumn("id", F.coalesce("_id", "id")).drop("_id")
+        if cutoffs is not None:
+            gone = cutoffs.select("src", F.lit(None).cast("string").alias("dst"), F.col("updated_before").alias("updated_at"), F.lit(None).cast("string").alias("id"))
+            new = new.unionByName(gone)
+        self.log("edges").append(new)
+
+    def put_documents(self, texts: DataFrame) -> None:
+        self.log("documents").append(index.incoming_texts(texts).withColumn("indexed_at", F.coalesce("indexed_at", never())))
+
+    def put_scores(self, scores: DataFrame) -> None:
+        self.log("documents").append(index.incoming_scores(scores).select("link_id", F.col("score").alias("pagerank")))
 
-    def _forget(self, name: str) -> None:
-        for old in self.versions(name)[: -self.KEPT]:
-            files, at = file_system(self.spark, self.path(name, old))
-            files.delete(at, True)
+    def reset(self) -> None:
+        for name in self.tables:
+            self.log(name).replace(self._empty(name))
 
 
 class MemoryStore(ParquetStore):
@@ -125,27 +189,11 @@ class MemoryStore(ParquetStore):
 
 
 class IndexStore(ParquetStore):
-    """Documents with their stored postings."""
+    """Documents with their index, which follows the log of the documents in segments."""
 
-    def write(self, name: str, df: DataFrame) -> None:
-        super().write(name, df)
-        found = self.versions("postings")
-        PostingsIndex(self.spark, self.path("postings", found[-1] + 1 if found else 0)).write(self.read(name), copy=False)
-        self._forget("postings")
-
-    def write_scores(self, documents: DataFrame) -> None:
-        """The texts, and so the postings, stay as they are; new placeholders have no words."""
-        if self.versions("postings"):
-            super().write("documents", documents)
-        else:
-            self.write("documents", documents)
-
-    def search_index(self) -> PostingsIndex:
-        found = self.versions("postings")
-        if not found:
-            self.write("documents", self.read("documents"))
-            found = self.versions("postings")
-        return PostingsIndex(self.spark, self.path("postings", found[-1]), self.read("documents"))
+    def search_index(self) -> SegmentedIndex:
+        """The index as of now; what was committed since the last call is indexed first."""
+        return SegmentedIndex(self.spark, f"{self.root}/index", self.log("documents")).refresh()
 
 
 class JdbcStore(Store):
@@ -155,7 +203,7 @@ class JdbcStore(Store):
 
     def predicates(self, name: str) -> list[str]:
         """One id range for each partition of the read."""
-        column, bounds = RANGE_COLUMN[name], partition_bounds(self.partitions)
+        column, bounds = RANGE_COLUMN[name], ids.partition_bounds(self.partitions)
         starts = [NIL_ID, *bounds[:-1]]
         last = len(bounds) - 1
         return [f"{column} >= '{lo}'" + ("" if i == last else f" AND {column} < '{hi}'") for i, (lo, hi) in enumerate(zip(starts, bounds, strict=True))]
@@ -177,6 +225,42 @@ class JdbcStore(Store):
             f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {fresh} n WHERE NOT EXISTS (SELECT 1 FROM {name} WHERE {name}.{key} = n.{key})",
         ]
 
+    def _beside(self, name: str, frames: list[DataFrame], statements: Callable[..., list[str]]) -> None:
+        """Write frames to tables beside, then change the stored one in a single transaction."""
+        fresh = [f"{name}_next_{uuid.uuid4().hex[:8]}" for _ in frames]
+        self.transact([self._create_like(name, f) for f in fresh])
+        try:
+            for df, f in zip(frames, fresh, strict=True):
+                df.select(*self._schema(name).fieldNames()).write.jdbc(self.url, f, mode="append", properties=self.options)
+            self.transact(statements(*fresh))
+        finally:
+            self.transact([f"DROP TABLE {f}" for f in fresh])
+
+    @staticmethod
+    def _touch(name: str, fresh: str, keys: list[str], when: str, columns: list[str]) -> list[str]:
+        """Later times for known keys, and the rows of new ones; rows of other writers stay."""
+        same = " AND ".join(f"n.{k} = {name}.{k}" for k in keys)
+        listed = ", ".join(columns)
+        return [
+            f"UPDATE {name} SET {when} = (SELECT n.{when} FROM {fresh} n WHERE {same}) WHERE EXISTS (SELECT 1 FROM {fresh} n WHERE {same} AND n.{when} > {name}.{when})",
+            f"INSERT INTO {name} ({listed}) SELECT {listed} FROM {fresh} n WHERE NOT EXISTS (SELECT 1 FROM {name} WHERE {same})",
+        ]
+
+    def upsert_links(self, incoming: DataFrame) -> None:
+        when = F.coalesce(F.col("retrieved_at").cast("timestamp"), never()) if "retrieved_at" in incoming.columns else never()
+        new = incoming.groupBy("url").agg(F.max(when).alias("retrieved_at")).withColumn("id", ids.link_id(F.col("url")))
+        self._beside("links", [new], lambda fresh: self._touch("links", fresh, ["url"], "retrieved_at", LINK.fieldNames()))
+
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
+        new = pairs.select("src", "dst").distinct().withColumn("updated_at", _time(now)).withColumn("id", ids.edge_id(F.col("src"), F.col("dst")))
+        touch = lambda fresh: self._touch("edges", fresh, ["src", "dst"], "updated_at", EDGE.fieldNames())
+        if cutoffs is None:
+            return self._beside("edges", [new], touch)
+        # rows of edges from a source to itself say how long its edges count
+        gone = cutoffs.groupBy("src").agg(F.max("updated_before").alias("updated_at")).select(F.col("src").alias("id"), "src", F.col("src").alias("dst"), "updated_at")
+        cut = "DELETE FROM edges WHERE EXISTS (SELECT 1 FROM {} n WHERE n.src = edges.src AND edges.updated_at < n.updated_at)"
+        return self._beside("edges", [new, gone], lambda fresh, cuts: [*touch(fresh), cut.format(cuts)])
+
     def _create_like(self, name: str, fresh: str) -> str:
         empty = " WITH NO DATA" if self.url.startswith("jdbc:derby:") else " WHERE 1 = 0"
         return f"CREATE TABLE {fresh} AS SELECT * FROM {name}{empty}"
@@ -204,15 +288,8 @@ class JdbcStore(Store):
             connection.close()
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Write the rows to a table beside, then change the stored one in a single transaction."""
-        columns = self._schema(name).fieldNames()
-        fresh = f"{name}_next_{uuid.uuid4().hex[:8]}"
-        self.transact([self._create_like(name, fresh)])
-        try:
-            df.select(*columns).write.jdbc(self.url, fresh, mode="append", properties=self.options)
-            self.transact(self.statements(name, fresh))
-        finally:
-            self.transact([f"DROP TABLE {fresh}"])
+        """Bring the table to the rows of ``df``."""
+        self._beside(name, [df], lambda fresh: self.statements(name, fresh))
 
 
 def _open(spark: SparkSession, uri: str, tables: dict[str, StructType]) -> Store:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.errors import NoPartitionData, StrandlineError
 from strandline.functions import ids
-from strandline.operators import graphstore
+from strandline.operators import crawl, graphstore
 from strandline.plans import dataflow as D
 from strandline.plans.services import CrawlService, RankService, ServiceGroup, fixed_partition, host_partition
 from strandline.schemas import LINK
@@ -113,3 +113,59 @@ def test_partition_of_a_replica():
             host_partition(count, lambda: "crawler-2")()
     with pytest.raises(StrandlineError, match="number"):
         host_partition(lambda: 4, lambda: "laptop")()
+
+
+def test_a_live_crawl_from_an_empty_store(spark, tmp_path):
+    """Submitted links, never fetched before, of which private hosts and other files are not asked for at all."""
+    asked = str(tmp_path / "asked")
+    graph, docs = open_graph(spark, "in-memory:"), open_index(spark, "in-memory:")
+    refused = ["http://10.0.0.1/admin", "http://localhost/secret", "http://169.254.169.254/latest", "http://a.example.com/pic.JPG", "http://inside.example.com/", "http://unknown.example.com/", "http://[::1]/"]
+    graph.upsert_links(spark.createDataFrame([(u,) for u in [*PAGES, *refused]], "url string"))
+    known = {"a.example.com": "9.9.9.9", "b.example.com": "9.9.9.8", "inside.example.com": "192.168.1.1", "localhost": "127.0.0.1"}
+    pages = dict(PAGES)
+
+    def get(url):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        return 200, "text/html", pages[url]
+
+    def addresses(host):
+        return [known[host]] if host in known else []
+
+    crawler = CrawlService(graph, docs, lambda due: crawl.fetch_live(due, get, addresses).drop("id"), timedelta(minutes=5), timedelta(days=7), clock=lambda: NOW)
+    assert crawler.run_once() == 2
+    assert set(open(asked).read().split()) == set(PAGES)
+    assert {r.title for r in docs.read("documents").collect()} == {"A", "B"}
+    # with a table of hosts the links are judged before they reach the fetcher
+    seen = []
+    hosts = spark.createDataFrame(list(known.items()), "host string, ip string")
+    frame = spark.createDataFrame(list(PAGES.items()), "url string, html string")
+    other = open_graph(spark, "in-memory:")
+    other.upsert_links(spark.createDataFrame([(u,) for u in [*PAGES, *refused]], "url string"))
+    assert CrawlService(other, docs, lambda due: seen.extend(r.url for r in due.collect()) or frame, timedelta(minutes=5), timedelta(days=7), hosts=hosts, clock=lambda: NOW).run_once() == 2
+    assert set(seen) == set(PAGES)
+
+
+def test_static_plans_leave_the_session_alone(spark):
+    import threading
+
+    from strandline.shared import Tables
+
+    key = "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "true")
+    seen = []
+
+    def steps():
+        tables = Tables(spark)
+        for _ in range(2):
+            df = tables.put(spark.range(20).withColumnRenamed("id", "k"), "k")
+            df = tables.put(df.groupBy("k").count(), "k", deal=False)
+            seen.append((spark.conf.get(key), df.count()))
+            tables.drop(df)
+
+    threads = [threading.Thread(target=steps) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == [("true", 20)] * 4 and spark.conf.get(key) == "true"

@@ -88,8 +88,8 @@ def test_index_store(spark, tmp_path):
     store.write("documents", make(lambda i: i))
     found = lambda: [r.link_id for r in S.search(store.search_index(), S.Query.parse("words")).collect()]
     assert found() == ["2", "1", "0"]
-    store.write_scores(make(lambda i: -i))
-    assert found() == ["0", "1", "2"] and len(store.versions("postings")) == 1
+    store.put_scores(spark.createDataFrame([(str(i), float(-i)) for i in range(3)], "link_id string, score double"))
+    assert found() == ["0", "1", "2"] and len(store.search_index().entry.segments) == 1
     assert open_index(spark, f"index:{tmp_path}/new").search_index().scores(["words"]).count() == 0
     with pytest.raises(StrandlineError, match="index:"):
         open_index(spark, "es:http://localhost:9200")
