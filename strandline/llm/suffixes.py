@@ -388,11 +388,11 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, band:
 
 
 def report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text (of whole characters) of every document."""
     rows, done = removals(documents, length)
-    done = done.select("k", "n_removed", "n_spans", "kept_sha256")
+    texts = _texts(documents).select("doc_id", "k", "text", F.octet_length("bytes").cast("long").alias("n_bytes"))
     copies = rows.where(F.col("n_bytes") >= length).groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = rows.join(copies, "k", "left").join(done, "k", "left")
+    joined = texts.join(copies, "k", "left").join(done, "k", "left")
     gone = F.col("copies").isNotNull()
     nothing = hashlib.sha256(b"").hexdigest()
     return joined.select(
@@ -401,6 +401,7 @@ def report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("k")))).alias("kept_sha256"),
+        F.when(gone, F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text"),
     )
 
 
