@@ -88,7 +88,7 @@ def top(stored: SegmentedIndex, query: Query, k: int, blend: str | None = None,
     return stored.top(list(dict.fromkeys(terms)), k, blend, terms if query.phrase else None, key)
 
 
-def _fetched(stored: PostingsIndex | SegmentedIndex, page: list[Row], total: int) -> DataFrame:
+def fetched(stored: PostingsIndex | SegmentedIndex, page: list[Row], total: int) -> DataFrame:
     """Hits with their documents, which are fetched by their ids."""
     keys = [r.link_id for r in page]
     shown = stored.spark.createDataFrame([(i, r.link_id, r.score, r.rank_score, total) for i, r in enumerate(page)], "position int, link_id string, score double, rank_score double, total_count long")
@@ -105,14 +105,14 @@ def search(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | No
     """
     if isinstance(stored, SegmentedIndex):
         found = top(stored, query, query.offset + page_size, blend)
-        return _fetched(stored, found.hits[query.offset :], found.total)
+        return fetched(stored, found.hits[query.offset :], found.total)
     hits = ranked(stored, query, blend)
     page = hits.orderBy(*order()).offset(query.offset).limit(page_size).select("link_id", "score", "rank_score").collect()  # page_size rows
     if 0 < len(page) < page_size:
         total = query.offset + len(page)
     else:
         total = hits.count() if page else 0
-    return _fetched(stored, page, total)
+    return fetched(stored, page, total)
 
 
 def batches(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | None = None, size: int = PAGE_SIZE) -> Iterator[Row]:
@@ -126,7 +126,7 @@ def batches(stored: PostingsIndex | SegmentedIndex, query: Query, blend: str | N
         while True:
             page = top(stored, query, skip + size, blend, last)
             rows = page.hits[skip:]
-            yield from _fetched(stored, rows, page.total).collect() if rows else []
+            yield from fetched(stored, rows, page.total).collect() if rows else []
             if len(rows) < size:
                 return
             skip, last = 0, rows[-1]

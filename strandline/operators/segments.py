@@ -378,8 +378,9 @@ class SegmentedIndex:
         wins = self._bounded(terms, df, blend)
         if after is not None:
             rank, score, last = after
-            equal, tied = F.col("rank_score") == rank, F.col("score") == score
-            beyond = lambda frame: frame.where((F.col("rank_score") < rank) | equal & ((F.col("score") < score) | tied & (F.col("link_id") > last)))
+            tied = (F.col("score") < score) | (F.col("score") == score) & (F.col("link_id") > last)
+            later = (F.col("rank_score") < rank) | (F.col("rank_score") == rank) & tied
+            beyond = lambda frame: frame.where(later)
             if blend is None:  # pages before lie in windows of larger PageRanks
                 wins = wins.where(F.col("rank_min") <= rank)
         every = wins.count()
@@ -395,8 +396,9 @@ class SegmentedIndex:
         # every window that could hold a hit before the k-th
         rest = wins
         if len(best) >= k:
-            rank, score = F.lit(best[-1].rank_score), F.lit(best[-1].score)
-            reach = (F.col("ub_rank") > rank) | (F.col("ub_rank") == rank) & (F.col("ub_score") >= score) if blend is None else F.col("ub_rank") >= rank
+            worst = best[-1]
+            ahead, equal = F.col("ub_rank") > worst.rank_score, F.col("ub_rank") == worst.rank_score
+            reach = ahead | equal & (F.col("ub_score") >= worst.score) if blend is None else ahead | equal
             rest = wins.where(reach)
         listed = rest.select("seg", "win").limit(LISTED + 1).collect()
         seen = {(w.seg, w.win) for w in first}

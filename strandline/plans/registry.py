@@ -536,15 +536,14 @@ def search_phrase(spark, d):
     return hits.select("link_id").join(urls, "link_id").withColumn("total_count", hits.agg(F.count(F.lit(1))).scalar())
 
 
-@query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, (row_number() OVER (ORDER BY docs.pagerank DESC, scored.score DESC, link_id))::INT - 1 AS position, round(score, 6) AS score FROM scored JOIN docs USING (link_id)")
+@query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, url, round(score, 6) AS score FROM scored JOIN docs USING (link_id) ORDER BY docs.pagerank DESC, scored.score DESC, link_id LIMIT 40 OFFSET 80")
 def search_cursor(spark, d):
-    """All hits in order, a batch of 300 after the other, each from the last hit of the one before."""
+    """The third batch of 40, each found from the last hit of the one before."""
     stored, asked = index_of(spark, d), search.Query.parse(MATCH)
-    rows, last = [], None
-    while page := search.top(stored, asked, 300, after=last).hits:
-        rows += [(r.link_id, len(rows) + i, r.score) for i, r in enumerate(page)]
-        last = page[-1]
-    return spark.createDataFrame(rows, "link_id string, position int, score double").withColumn("score", F.round("score", 6))
+    first = search.top(stored, asked, 40).hits
+    second = search.top(stored, asked, 40, after=first[-1]).hits
+    third = search.top(stored, asked, 40, after=second[-1])
+    return search.fetched(stored, third.hits, third.total).select("link_id", "url", F.round("score", 6).alias("score"))
 
 
 CHANGED_DOCS = DOCS.replace("text AS content", "CASE WHEN doc_id % 10 = 3 THEN 'que que ' || text ELSE text END AS content").replace(
