@@ -1,15 +1,20 @@
 """PageRank with dangling mass spread over all vertices.
 
-A superstep is one job: ranks join edges, shares are summed by target with
-map-side combination, and the written result carries the step's change and the
-next dangling mass as observed metrics.  Edges are stored in buckets of their
-source with its out-degree, ranks in buckets of the id, so a step shuffles the
-shares only; the ranks of the step before last are removed.
+``BLOCK`` supersteps are one job: ranks join edges, shares are summed by target with
+map-side combination, and so on from what came out.  Edges are stored in buckets
+of their source with its out-degree, ranks in buckets of the id, so a superstep
+shuffles the shares only; the ranks of the job before are removed.
+
+The mass of dangling vertices is a sum over all ranks, which a plan cannot know
+while it runs.  But every later rank depends on it linearly: a constant added to
+all ranks becomes, a superstep later, that constant times what the vertex gets if
+all give 1.  These weights are made once, the sums are observed, and the ranks of
+a block follow from both when it is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import StrandlineError
@@ -17,6 +22,7 @@ from ..shared import Tables
 
 DAMPING = 0.85
 MIN_CHANGE = 0.001
+BLOCK = 4  # supersteps of a job
 
 
 def _settings(damping: float, min_change: float) -> tuple[float, float]:
@@ -38,6 +44,20 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
 
 
+def _shares(links: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """(id, name): what vertices get along their edges if each gives its value in equal parts."""
+    met = links.join(values.select(F.col("id").alias("src"), F.col("value")), "src")
+    return met.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("out_degree")).alias(name))
+
+
+def _weighted(x: str, constants: list[float]) -> Column:
+    """``x`` plus what the constants of the supersteps before it have become by now: the last as it is, older ones spread by w1, w2, ..."""
+    out = F.col(x)
+    for age, c in enumerate(reversed(constants)):
+        out = out + F.lit(c) * (F.col(f"w{age}") if age else 1.0)
+    return out
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, min_change: float = MIN_CHANGE, max_steps: int | None = None, history: list | None = None) -> DataFrame:
     """(id, rank) after the first superstep past the first whose summed change is below ``min_change``, or after ``max_steps``.
 
@@ -53,25 +73,54 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, mi
     links = tables.put(used.join(out_degree(used), "src"), "src", deal=False)
     # the table of vertices with their out-degree, null for dangling ones
     degree = used.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-    ranks = tables.put(ids.join(degree, "id", "left").withColumn("rank", F.lit(1.0 / n)), "id", deal=False)
+    known = tables.put(ids.join(degree, "id", "left"), "id", deal=False)
     tables.drop(used)
-    lost = ranks.agg(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank")))).first()[0] or 0.0
-    step = 1
+    tables.drop(ids)
+    dangling = lambda c: F.coalesce(F.sum(F.when(F.col("out_degree").isNull(), F.col(c))), F.lit(0.0))
+    # w1, w2, ...: a constant added to every rank, so many supersteps later
+    spread = known
+    for age in range(1, BLOCK - 1):
+        given = _shares(links, spread.withColumn("value", F.col(f"w{age - 1}") if age > 1 else F.lit(1.0)), f"w{age}")
+        spread = spread.join(given, "id", "left").withColumn(f"w{age}", damping * F.coalesce(f"w{age}", F.lit(0.0)))
+    seen = Observation()
+    lost_of = [F.count_if(F.col("out_degree").isNull()).cast("double").alias("d0"), *[dangling(f"w{a}").alias(f"d{a}") for a in range(1, BLOCK - 1)]]
+    stored = tables.put(spread.withColumn("rank", F.lit(1.0 / n)).observe(seen, *lost_of), "id", deal=False)
+    tables.drop(known)
+    lost_by = [seen.get[f"d{a}"] for a in range(BLOCK - 1)]
+    lost, step, rank = lost_by[0] / n, 1, F.col("rank")
     if history is not None:
         history.append((1, 1.0))
     while max_steps is None or step < max_steps:
-        step += 1
-        shares = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
-        base = (1.0 - damping) / n + damping * lost / n
-        moved = ranks.join(shares, "id", "left").select("id", "out_degree", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        size = BLOCK if max_steps is None else min(BLOCK, max_steps - step)
+        base, per = (1.0 - damping) / n, damping / n
+        fixed = stored.select("id", "out_degree", *[f"w{a}" for a in range(1, BLOCK - 1)], rank.alias("rank"))
+        block, value = fixed, F.col("rank")
+        for k in range(1, size + 1):
+            given = _shares(links, block.withColumn("value", value), f"x{k}")
+            added = base + per * lost if k == 1 else base
+            block = block.join(given, "id", "left").withColumn(f"x{k}", F.lit(added) + damping * F.coalesce(f"x{k}", F.lit(0.0)))
+            value = F.col(f"x{k}")
         seen = Observation()
-        before, ranks = ranks, tables.put(moved.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))).alias("lost")).drop("old"), "id", deal=False)
-        change, lost = seen.get["change"], seen.get["lost"] or 0.0
+        before, stored = stored, tables.put(block.observe(seen, *[dangling(f"x{k}").alias(f"l{k}") for k in range(1, size + 1)]), "id", deal=False)
         tables.drop(before)
-        if history is not None:
-            history.append((step, change))
-        if max_steps is None and change < min_change:
+        # the constants that the plan could not know: the mass lost in each superstep but the last
+        constants: list[float] = []
+        ranks = [F.col("rank")]
+        for k in range(1, size + 1):
+            ranks.append(_weighted(f"x{k}", constants))
+            lost = seen.get[f"l{k}"] + sum(c * lost_by[age] for age, c in enumerate(reversed(constants)))
+            constants.append(per * lost)
+        changes = stored.agg(*[F.sum(F.abs(b - a)).alias(f"c{k}") for k, (a, b) in enumerate(zip(ranks, ranks[1:], strict=False), 1)]).first()
+        done = None
+        for k, change in enumerate(changes, 1):
+            step += 1
+            if history is not None:
+                history.append((step, change))
+            if max_steps is None and change < min_change:
+                done = k
+                break
+        rank = ranks[done or size]
+        if done:
             break
     tables.drop(links)
-    tables.drop(ids)
-    return ranks.select("id", "rank")
+    return stored.select("id", rank.alias("rank"))

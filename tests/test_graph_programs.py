@@ -129,7 +129,7 @@ def test_graph_builder(spark):
 
 
 def test_superstep_shuffles_shares_only(spark, monkeypatch):
-    """Edges and ranks are stored in buckets of what they are joined on, and older ranks are gone."""
+    """Edges and ranks are stored in buckets of what they are joined on, four supersteps are one job, and older ranks are gone."""
     from strandline import shared
 
     plans, made = [], []
@@ -143,9 +143,32 @@ def test_superstep_shuffles_shares_only(spark, monkeypatch):
 
     monkeypatch.setattr(shared.Tables, "put", spied)
     v, e = graph(spark, [str(i) for i in range(30)], [(str(i), str(i * 7 % 30)) for i in range(1, 30)])
-    pagerank(v, e, max_steps=5)
-    assert plans[-1].count("Exchange hashpartitioning") == 1
+    history = []
+    ranks = pagerank(v, e, max_steps=5, history=history)
+    shuffles = [line for line in plans[-1].splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(shuffles) == 4 and [step for step, _ in history] == [1, 2, 3, 4, 5]
     assert len(made[-1].paths) == 1
+    assert ranks.agg(F.sum("rank")).first()[0] == pytest.approx(1)
+    before = len(plans)
+    pagerank(v, e, max_steps=9)
+    assert len(plans) - before == len(shuffles) + 2  # tables of the start, and two blocks instead of eight supersteps
+
+
+def test_blocks_of_supersteps_end_anywhere(spark):
+    """The ranks of every superstep, whatever block it lies in, against the formula."""
+    rnd = random.Random(8)
+    names = [str(i) for i in range(25)]
+    pairs = [(rnd.choice(names), rnd.choice(names[:15])) for _ in range(60)]  # repeated edges, loops and dangling vertices
+    v, e = graph(spark, names, pairs)
+    kept = [(a, b) for a, b in pairs if a != b]
+    out = {x: [b for a, b in kept if a == x] for x in names}
+    rank = {x: 1 / 25 for x in names}
+    for step in range(2, 8):
+        lost = sum(r for x, r in rank.items() if not out[x])
+        rank = {x: 0.15 / 25 + 0.85 * (lost / 25 + sum(rank[a] / len(out[a]) * out[a].count(x) for a in names if x in out[a])) for x in names}
+        if step in (2, 4, 5, 7):
+            got = {r.id: r.rank for r in pagerank(v, e, max_steps=step).collect()}
+            assert got == pytest.approx(rank)
 
 
 def test_paths_without_cost(spark):
