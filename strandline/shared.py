@@ -58,6 +58,9 @@ def planned_ahead(spark: SparkSession) -> SparkSession:
         if spark.conf.isModifiable(key):
             own.conf.set(key, value)
     own.conf.set("spark.sql.adaptive.enabled", "false")
+    # both sides of a step's joins lie in buckets of the key, one sorted file each: nothing to copy around or to sort again
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     return own
 
 
