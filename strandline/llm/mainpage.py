@@ -76,10 +76,11 @@ def _is_name(token: str) -> bool:
 
 
 class Element:
-    __slots__ = ("around", "article", "cut", "dropped", "features", "home", "inside", "name", "named", "parent", "weight")
+    __slots__ = ("article", "cut", "depth", "dropped", "features", "fresh", "home", "inside", "left", "name", "named", "parent", "vote", "weight", "words")
 
-    def __init__(self, name: str, parent: Element | None, attributes: str = "") -> None:
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Element | None, attributes: str = "", around: set[str] | frozenset[str] = frozenset()) -> None:
+        """``around`` has the features of the elements that it stands in."""
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent is not None else 0
         words: list[str] = []
         tokens: list[str] = []
         article = name in ("article", "main")
@@ -98,24 +99,34 @@ class Element:
         self.dropped = (held and parent.dropped) or (name in DROPPED and name != "form") or bool(bare and _HIDDEN.search(bare) and name != "body")
         self.cut = self.dropped or soft or (held and parent.cut and not article)
         self.features = (*(() if name in PLAIN else (f"<{name}",)), *(f".{w}" for w in dict.fromkeys(words)))
-        # features of the element and of those around it, each once; shared with the parent where nothing is new
-        above: dict[str, None] = parent.around if held else {}
-        new = [f for f in self.features if f not in above] if name not in ("html", "body") else []
-        self.around = above | dict.fromkeys(new) if new else above
+        # those that no element around it has
+        self.fresh = [f for f in self.features if f not in around] if name not in ("html", "body") else []
         # the container that it stands in, outside of what is cut
         self.home: Element | None = (self if name in CONTAINER and not self.cut else parent.home) if held else None
         self.weight: float | None = None
+        self.vote: tuple[float, int] | None = None
+        self.left: bool | None = None
+        self.words = [0, 0]  # inside and outside of an article
 
 
 class Page:
-    """Blocks of a page: lists of (element, text, number of tags before)."""
+    """Blocks of a page: lists of (element, text, number of tags before); and all its elements, outer ones first.
+
+    Open elements are kept by name as well, so that each tag takes constant time
+    however many are open.
+    """
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[Element, str, int]] = []
+        self.elements: list[Element] = []
         self.tags = 0
-        here = Element("html", None)
+        self._path: list[Element] = []
+        self._open: dict[str, list[Element]] = {}
+        self._closed_by_none: list[Element] = []  # open ones that no inline end tag closes
+        self._around: set[str] = set()
+        self._enter("html", "")
         pieces: list[str] = []
-        owner = here
+        owner = self._path[-1]
 
         def end_block() -> None:
             nonlocal pieces, owner
@@ -132,7 +143,7 @@ class Page:
             upto = found.start() if found else size
             if upto > at:
                 if not pieces:
-                    owner = here
+                    owner = self._path[-1]
                 pieces.append(source[at:upto])
             if not found:
                 break
@@ -147,73 +158,100 @@ class Page:
                     elif name not in VOID:
                         if name not in INLINE:
                             end_block()
-                            here = self._implied_end(here, name)
-                        parent = here
+                            self._end_implied(name)
+                        parent = self._path[-1]
                         if not found[3].rstrip().endswith("/") or name not in ("svg", "path"):
-                            here = Element(name, here, found[3])
+                            here = self._enter(name, found[3])
                             if name in INLINE and here.cut and not parent.cut:
                                 end_block()
                         if name in RAW:
                             shut = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                             at = shut.end() if shut else size
-                            here = parent
+                            self._back_to(parent)
                     elif name == "hr":
                         end_block()
             elif close is not None:
                 close = close.lower()
                 self.tags += 1
-                target = here
-                while target is not None and target.name != close:
-                    target = target.parent
+                target = self._nearest(close)
                 if close not in INLINE:
                     end_block()
                 elif target is not None and target.cut and target.parent is not None and not target.parent.cut:
                     end_block()
-                if target is not None and target.parent is not None and self._may_close(here, target):
-                    here = target.parent
+                if target is not None and target.parent is not None and self._may_close(target):
+                    self._back_to(target.parent)
         end_block()
 
-    @staticmethod
-    def _may_close(here: Element, target: Element) -> bool:
+    def _enter(self, name: str, attributes: str) -> Element:
+        here = Element(name, self._path[-1] if self._path else None, attributes, self._around)
+        self.elements.append(here)
+        self._path.append(here)
+        self._open.setdefault(name, []).append(here)
+        if name not in INLINE:
+            self._closed_by_none.append(here)
+        self._around.update(here.fresh)
+        return here
+
+    def _back_to(self, element: Element) -> None:
+        while self._path[-1] is not element:
+            gone = self._path.pop()
+            self._open[gone.name].pop()
+            if gone.name not in INLINE:
+                self._closed_by_none.pop()
+            self._around.difference_update(gone.fresh)
+
+    def _nearest(self, *names: str) -> Element | None:
+        """The innermost open element of these names."""
+        found = [self._open[n][-1] for n in names if self._open.get(n)]
+        return max(found, key=lambda e: e.depth, default=None)
+
+    def _may_close(self, target: Element) -> bool:
         """An inline end tag doesn't close a block that was opened inside it."""
-        if target.name not in INLINE:
-            return True
-        while here is not target:
-            if here.name not in INLINE:
-                return False
-            here = here.parent
-        return True
-
-    @staticmethod
-    def _implied_end(here: Element, name: str) -> Element:
+        return target.name not in INLINE or self._closed_by_none[-1].depth < target.depth
+
+    def _end_implied(self, name: str) -> None:
         """Where a new block element hangs: an open paragraph, item or cell of its kind ends."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(name, ())
         if name in ENDS_P:
             ends += ("p",)
         stop = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(name, ()) + ("div", "article", "main", "section", "body", "html")
-        look = here
-        while look is not None and look.name not in stop:
-            if look.name in ends and look.parent is not None:
-                return look.parent
-            look = look.parent
-        return here
+        last = self._nearest(*ends) if ends else None
+        if last is not None and last.depth > self._nearest(*stop).depth:
+            self._back_to(last.parent)
+
+    def votes(self) -> tuple[Counter, Counter]:
+        """Words inside and outside of a marked article by the features of the elements around them, and ``*`` for all."""
+        inside, outside = Counter(), Counter()
+        for element, text, _ in self.blocks:
+            element.words[not element.inside] += text.count(" ") + 1
+        for element in reversed(self.elements):  # inner ones first: an element holds the words of those in it
+            a, b = element.words
+            if element.parent is None:
+                inside["*"], outside["*"] = a, b
+            else:
+                element.parent.words[0] += a
+                element.parent.words[1] += b
+            for f in element.fresh:
+                inside[f] += a
+                outside[f] += b
+        return inside, outside
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
     """Log-odds of features from at most about MAX_LABELLED pages that mark their article."""
     labelled = pages.where(F.col("html").rlike(r"(?i)<article\b|<main\b|articlebody")).select("html")
-    rows = pages.count()
+    rows = labelled.count()
     if rows > MAX_LABELLED:
-        labelled = labelled.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / rows))
+        labelled = labelled.where(F.pmod(F.xxhash64("html"), F.lit(1 << 62)) < (MAX_LABELLED << 62) // rows)
 
     def run(batches):
         for batch in batches:
             inside, outside = Counter(), Counter()
             for source in batch["html"]:
-                for element, text, _ in Page(source or "").blocks:
-                    words = text.count(" ") + 1
-                    (inside if element.inside else outside).update(dict.fromkeys(["*", *element.around], words))
-            names = list(inside.keys() | outside.keys())
+                a, b = Page(source or "").votes()
+                inside.update(a)
+                outside.update(b)
+            names = [n for n in inside.keys() | outside.keys() if inside[n] or outside[n]]
             yield pd.DataFrame({"feature": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
 
     counts = labelled.mapInPandas(run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
@@ -243,22 +281,38 @@ class Scorer:
     def _word(self, element: Element) -> float:
         if element.dropped or (element.cut and self._left_out(element)):
             return -1.0
-        found = [self.weights[f] for f in element.around if f in self.weights]
+        total, n = self._vote(element)
         # text outside all that is known scores a little: pages without any structure are content
-        return max(-2.0, min(2.0, 0.5 + sum(found) / max(len(found), 1))) if found else 0.5
-
-    def _left_out(self, element: Element | None) -> bool:
-        """Whether a form, header or named element is around, with no article between."""
-        while element is not None and element.cut:
-            if element.named:
-                if NAMED_PRIOR + sum(self.weights.get(f, 0.0) for f in element.features) < 0:
-                    return True
-            elif element.name == "form" or (element.name == "header" and not element.inside):
-                return True
-            if element.article:
-                return False
+        return max(-2.0, min(2.0, 0.5 + total / n)) if n else 0.5
+
+    def _vote(self, element: Element) -> tuple[float, int]:
+        """Sum and number of the known weights of features around; each element's is made once, from the one around it."""
+        chain = []
+        while element is not None and element.vote is None:
+            chain.append(element)
             element = element.parent
-        return False
+        total, n = element.vote if element is not None else (0.0, 0)
+        for inner in reversed(chain):
+            for f in inner.fresh:
+                if f in self.weights:
+                    total, n = total + self.weights[f], n + 1
+            inner.vote = total, n
+        return total, n
+
+    def _left_out(self, element: Element) -> bool:
+        """Whether a form, header or named element is around, with no article between; made once for each element."""
+        chain = []
+        while element is not None and element.cut and element.left is None:
+            chain.append(element)
+            element = element.parent
+        left = element.left if element is not None and element.cut else False
+        for inner in reversed(chain):
+            if inner.named:
+                drops = NAMED_PRIOR + sum(self.weights.get(f, 0.0) for f in inner.features) < 0
+            else:
+                drops = inner.name == "form" or (inner.name == "header" and not inner.inside)
+            left = inner.left = drops or (left and not inner.article)
+        return left
 
     def line(self, blocks: list[tuple[Element, str, int]]) -> list[tuple[float, float]]:
         """Of each block: what the tags before it cost, and what its words score."""

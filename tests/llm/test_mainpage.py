@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -110,3 +111,45 @@ def test_deep_nesting_and_repeats(spark):
     rows = [(None, None, deep), (1, "u", deep), (1, "u", deep)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [(r.page_id, r.text) for r in M.extract(frame).orderBy("page_id").collect()] == [(i, "Words at the bottom.") for i in (None, 1, 1)]
+
+
+@pytest.mark.parametrize("source", ["<b>" * 50_000 + "</i>" * 50_000, "<span>" * 50_000 + "<p>a</p>" * 50_000, "<div class=ad>" * 50_000 + "<p>a" * 50_000])
+def test_many_open_elements(source):
+    """Each tag takes constant time; walking all open elements for each would take hours here."""
+    M.main_blocks(source, M.Scorer({".ad": -1.0}))
+    assert sum(M.Page(source).votes()[1].values()) >= 0
+
+
+def test_whole_query_by_brute_force(spark):
+    """Weights counted block by block over all elements around, texts by a search of all regions."""
+    rng = random.Random(4)
+    kinds = ["<p>{}", "<div class='ad box'>{}</div>", "<nav>{}</nav>", "<div class=text>{}</div>", "<ul><li>{}</ul>", "<b>{}</i>", "<form>{}</form>", "<div class=related>{}</div>", "{}<br>"]
+    html = [None, ""]
+    for n in range(60):
+        parts = [rng.choice(kinds).format(" ".join(f"w{n}x{i}y{j}" for j in range(rng.randrange(1, 20)))) for i in range(rng.randrange(1, 9))]
+        if n % 2:
+            a, b = sorted(rng.sample(range(len(parts) + 1), 2)) if len(parts) > 1 else (0, 1)
+            parts[a:b] = [rng.choice(["<article>", "<div itemprop=articleBody>"]) + "".join(parts[a:b]) + "</div></article>"]
+        html.append("<body>" + "".join(parts))
+    inside, outside = {}, {}
+    for source in html:
+        if source and ("<article" in source or "articleBody" in source):
+            for element, text, _ in M.Page(source).blocks:
+                found, e = {"*"}, element
+                while e is not None:
+                    found |= set(e.features) if e.name not in ("html", "body") else set()
+                    e = e.parent
+                for f in found:
+                    table = inside if element.inside else outside
+                    table[f] = table.get(f, 0) + len(text.split())
+    scale = (outside["*"] + 1) / (inside["*"] + 1)
+    names = {f for f in inside.keys() | outside.keys() if f != "*" and inside.get(f, 0) + outside.get(f, 0) >= M.LEAST_WORDS}
+    want = {f: math.log((inside.get(f, 0) * scale + M.SMOOTH) / (outside.get(f, 0) + M.SMOOTH)) for f in names}
+    frame = spark.createDataFrame([(i, f"u{i}", h, "t", "f", "w", "i") for i, h in enumerate(html)], "page_id long, url string, html string, text string, feature string, words string, inside string").repartition(3)
+    assert M.learn(frame) == pytest.approx(want)
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in M.extract(frame).collect()}
+    for i, source in enumerate(html):
+        scorer, blocks = M.Scorer(want), M.Page(source or "").blocks
+        region = exhaustive(scorer.line(blocks))[1]
+        text = "\n".join(t for e, t, _ in blocks[region[0] : region[1] + 1] if scorer.word(e) > 0) if region else ""
+        assert got[i] == (f"u{i}", text, len(text))
