@@ -42,6 +42,7 @@ MIN_DOCS = 10
 TOP = 10
 TILE = 1 << 18
 PAIR_CELLS = 1 << 20
+LISTED_LANGS = 100_000
 SCALE = 1_000_000_000
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -154,6 +155,9 @@ def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     sizes = totals.groupBy("lang").agg(F.count("*").alias("groups")).join(width, "lang", "left")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("width") * F.col("groups") / TILE)).cast("int")
     sizes = sizes.select("lang", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce(blocks, F.lit(1)).alias("blocks"))
+    sizes = save(sizes, "sizes")
+    if sizes.count() <= LISTED_LANGS:  # so that a language of very many rows stays where it is
+        sizes = F.broadcast(sizes)
     totals = save(totals.join(sizes, "lang").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "width", "blocks"), "totals")
     dealt = kept.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n")
     spread = totals.select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "total", "width")
