@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import StrandlineError
 from ..functions import html as H
 from ..functions import network as N
+from .networks import match
 
 
 def fetched(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -93,8 +94,20 @@ def crawlable(links: DataFrame) -> DataFrame:
     return links.where(H.crawlable(F.col("url")))
 
 
-def public_only(links: DataFrame, hosts: DataFrame | None = None, **options) -> DataFrame:
-    """Links whose host has a public address; an unknown one counts as private.  ``hosts`` (host, ip) stands for DNS."""
+def public_only(links: DataFrame, hosts: DataFrame | None = None, networks: DataFrame | None = None, **options) -> DataFrame:
+    """Links whose host has a public address; an unknown one counts as private.
+
+    ``hosts`` (host, ip) stands for DNS.  Addresses in one of ``networks`` (net), a
+    list of any size, are refused as well.
+    """
+    if networks is not None:
+        ip = N.host_ip(F.col("_host"), F.col("_ip")) if hosts is not None else N.host_ip(F.col("_host"))
+        named = links.withColumn("_host", H.hostname(F.col("url")))
+        if hosts is not None:
+            known = hosts.groupBy(F.col("host").alias("_host")).agg(F.min("ip").alias("_ip"))
+            named = named.join(known, "_host", "left")
+        met = match(named.withColumn("_at", ip), networks, "_at").where("net is null")
+        links = met.select(*links.columns)
     named = links.withColumn("_host", H.hostname(F.col("url")))
     if hosts is None:
         return named.where(~N.blocked(N.host_ip(F.col("_host")), **options)).drop("_host")

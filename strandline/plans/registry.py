@@ -18,7 +18,7 @@ from ..functions import html as H
 from ..functions import ids
 from ..functions import network as N
 from ..functions import text as X
-from ..operators import crawl, graphstore, index, search
+from ..operators import crawl, graphstore, index, networks, search
 from ..operators.postings import PostingsIndex
 from ..operators.segments import SegmentedIndex
 from ..schemas import EDGE, LAST_ID, LINK, NEVER, NIL_ID, never
@@ -374,6 +374,29 @@ def filter_private(spark, d):
     return spark.createDataFrame([(a,) for a in [*ADDRESSES, *ADDRESSES_6]], "ip string").where(~N.blocked(F.col("ip")))
 
 
+def _address_sql(x: str) -> str:
+    return f"concat_ws('.', ({x}) // 16777216, ({x}) // 65536 % 256, ({x}) // 256 % 256, ({x}) % 256)"
+
+
+@query(
+    f"""WITH nets AS (SELECT DISTINCT {_address_sql('lo')} || '/' || len AS net, len, lo, lo + (1::BIGINT << (32 - len)) - 1 AS hi FROM (
+      SELECT len, x // (1::BIGINT << (32 - len)) * (1::BIGINT << (32 - len)) AS lo FROM (SELECT (o_orderkey * 40503) % 4294967296 AS x, 10 + o_orderkey % 23 AS len FROM orders))),
+    places AS (SELECT event_id, (user_id * 2654435 + event_id * 40503 * 7) % 4294967296 AS x FROM events),
+    met AS (SELECT event_id, arg_max(net, len) AS net FROM places JOIN nets ON x BETWEEN lo AND hi GROUP BY event_id)
+    SELECT event_id, {_address_sql('x')} AS ip, net FROM places LEFT JOIN met USING (event_id)"""
+)
+def match_networks(spark, d):
+    """Addresses made from events against a network for each order."""
+    x = F.pmod(F.col("o_orderkey") * 40503, F.lit(1 << 32))
+    length = (F.lit(10) + F.col("o_orderkey") % 23).cast("int")
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - length)
+    dotted = lambda lo: F.concat_ws(".", *[F.pmod(F.shiftright(lo, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    lo = x - F.pmod(x, size)
+    nets = table(spark, d, "orders").select(F.concat(dotted(lo), F.lit("/"), length.cast("string")).alias("net"))
+    at_ = F.pmod(F.col("user_id") * 2654435 + F.col("event_id") * 40503 * 7, F.lit(1 << 32))
+    return networks.match(table(spark, d, "events").select("event_id", dotted(at_).alias("ip")), nets)
+
+
 SUBMITTED = """(SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.example.com/' || page_id WHEN 2 THEN 'https://new.example.com/' || page_id || '#top' ELSE 'nonsense' END AS site FROM pages)"""
 
 
