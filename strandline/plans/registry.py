@@ -8,6 +8,7 @@ texts.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ from ..ship import ship
 from ..sources.stores import ParquetStore, open_index
 from . import pagerank as PR
 from . import shortest_path as SP
+from .mail import MailProgram
 from .pregel import Pregel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -814,6 +816,22 @@ def pregel_broadcast(spark, d):
     return program.run(v, e, steps=2).vertices.select("id", "value")
 
 
+@query(
+    f"""WITH {GRAPH} SELECT id, coalesce(quantile_disc(v, 0.5), -1)::BIGINT AS value FROM vertices LEFT JOIN
+      (SELECT dst, substr(src, 2)::BIGINT * 7919 % 1009 AS v FROM edges) ON dst = id GROUP BY id"""
+)
+def pregel_median(spark, d):
+    """The lower median of what a vertex's neighbours send, which no combiner gives exactly."""
+    v, e = _vertices(spark, d, F.substring("id", 2, 20).cast("long") * 7919 % 1009)
+
+    def median(value, messages, step, n):
+        if step == 0:
+            return value, True  # active again, so that vertices without mail compute as well
+        return next(itertools.islice(messages, (n - 1) // 2, None), -1) if n else -1, False
+
+    return MailProgram(median, lambda value, edge, step: value, count=True).run(v, e, steps=2).vertices.select("id", "value")
+
+
 @query(f"WITH {GRAPH} SELECT 0 AS step, count(*) + 5 AS total, sum(length(id))::DOUBLE AS weight FROM vertices UNION ALL SELECT 1, 2 * count(*) + 5, 2 * sum(length(id))::DOUBLE FROM vertices")
 def pregel_aggregators(spark, d):
     v, e = _vertices(spark, d, F.char_length("id").cast("double"))
