@@ -519,6 +519,12 @@ def index_of(spark, d) -> SegmentedIndex:
     return _INDEXES[key]
 
 
+@query(f"WITH {DOCS} SELECT count(*) AS docs, sum(len({tokens_sql('title')}))::BIGINT AS title_terms, sum(len({tokens_sql('content')}))::BIGINT AS content_terms FROM docs")
+def index_sizes(spark, d):
+    """What the index of the documents holds; the first query to ask for it makes it."""
+    return spark.createDataFrame([index_of(spark, d).entry.sizes()], "docs long, title_terms long, content_terms long")
+
+
 @query(f"WITH {DOCS}, {bm25_sql(TERMS)} SELECT link_id, round(score, 6) AS score FROM scored")
 def bm25_scores(spark, d):
     return index_of(spark, d).scores(TERMS).select("link_id", F.round("score", 6).alias("score"))
