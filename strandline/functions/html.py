@@ -80,12 +80,46 @@ def _resolve_any(base: pd.Series, target: pd.Series) -> pd.Series:
 _PLAIN = r"[A-Za-z0-9_~!$&'()*+,;=@-]"
 
 
+_STEP = r"[A-Za-z0-9_~!$&'()*+,=@.-]*"
+
+
+def _squeezed(segments: Column) -> Column:
+    """Without empty segments between others."""
+    return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
+
+
+def _without_dots(segments: Column) -> Column:
+    """A path's segments with ``.`` and ``..`` carried out on a stack."""
+    empty = F.expr("cast(array() as array<string>)")
+    up = lambda stack: F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+    stack = F.aggregate(segments, empty, lambda stack, s: F.when(s == "..", up(stack)).when(s == ".", stack).otherwise(F.concat(stack, F.array(s))))
+    last = F.element_at(segments, -1).isin(".", "..")
+    return F.when(last, F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+
+
+def relative_url(base: Column, target: Column) -> Column:
+    """:func:`resolve` natively for paths of plain characters, relative ones and dot segments included; null for others."""
+    site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    under = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    steps = rf"(?:/?{_STEP}(?:/{_STEP})*)"
+    fits = (site != "") & under.rlike(rf"^(?:/{_STEP})*\z") & target.rlike(rf"^(?!//){steps}(?:\?{_PLAIN}*)?\z") & (target != "")
+    path = F.substring_index(target, "?", 1)
+    query = F.when(target.contains("?") & ~target.endswith("?"), F.concat(F.lit("?"), F.substring_index(target, "?", -1))).otherwise(F.lit(""))
+    around = F.regexp_replace(under, r"[^/]+\z", "")  # the folder that the page lies in
+    joined = F.concat(F.when(around == "", F.lit("/")).otherwise(around), path)
+    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(let(F.split(joined, "/"), _squeezed))
+    walked = let(segments, lambda s: F.array_join(_without_dots(s), "/"))
+    rooted = let(walked, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+    # a query alone stays on the page
+    return F.when(fits & (path == ""), F.concat(site, under, query)).when(fits, F.concat(site, rooted, query))
+
+
 def plain_url(base: Column, target: Column) -> Column:
-    """:func:`resolve` natively for plain absolute URLs and paths from the root; null for others."""
+    """:func:`resolve` natively for plain absolute URLs and plain paths; null for others."""
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     rooted = target.rlike(rf"^(?:/{_PLAIN}+(?:\.{_PLAIN}+)*)+/?(?:\?{_PLAIN}*)?\z")
     absolute = target.rlike(rf"^https?://[a-z0-9.:-]+(?:/{_PLAIN}+(?:\.{_PLAIN}+)*)*/?\z")
-    return F.when(rooted & site.contains("://"), F.concat(site, target)).when(absolute, target)
+    return F.when(rooted & site.contains("://"), F.concat(site, target)).when(absolute, target).otherwise(relative_url(base, target))
 
 
 def with_resolved(df: DataFrame, base: str, target: str, name: str) -> DataFrame:

@@ -324,6 +324,20 @@ def extract_links(spark, d):
     return crawl.page_links(table(spark, d, "pages"), key="page_id").select("page_id", "pos", "link", "nofollow")
 
 
+@query(
+    r"""WITH parts AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+    folders AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]+$', '') END AS folder FROM parts)
+    SELECT page_id, site || CASE page_id % 5 WHEN 0 THEN folder || 'x' || page_id WHEN 1 THEN regexp_replace(folder, '[^/]+/$', '') || 'y/' || page_id || '/'
+      WHEN 2 THEN folder || 'w?p=' || page_id WHEN 3 THEN '/top' ELSE path || '?q=' || page_id END AS resolved FROM folders"""
+)
+def resolve_relative(spark, d):
+    """Relative targets made from pages, with dot segments, against the pages' addresses."""
+    n = F.col("page_id").cast("string")
+    kinds = [F.concat(F.lit("./x"), n), F.concat(F.lit("../y/"), n, F.lit("/.")), F.concat(F.lit("z/../w?p="), n), F.lit("../" * 20 + "top"), F.concat(F.lit("?q="), n)]
+    target = F.element_at(F.array(*kinds), (F.col("page_id") % 5 + 1).cast("int"))
+    return H.with_resolved(table(spark, d, "pages").select("page_id", "url", target.alias("target")), "url", "target", "resolved").select("page_id", "resolved")
+
+
 @query(rf"WITH {FOUND} SELECT page_id, pos::INT AS pos, link AS resolved FROM found")
 def resolve_urls(spark, d):
     spread = table(spark, d, "pages").select("page_id", "url", F.posexplode(H.anchors(F.col("html"))).alias("pos", "a"))

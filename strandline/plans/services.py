@@ -82,7 +82,7 @@ class CrawlService:
             raise NoPartitionData("the number of partitions is not known yet")
         lo, hi = partition_extent(*found)
         now = F.lit(self.clock())
-        links = self.graph.read("links")
+        links = self.graph.read("links", lo, hi)
         due = crawl.requestable(graphstore.links_scan(links, lo, hi, F.lit(self.clock() - self.reindex_after)), self.hosts)
         # fetched once, so that links, edges and documents of a pass agree even if an executor is lost
         tables = Tables(links.sparkSession)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..errors import StrandlineError
+from ..errors import StrandlineError, UnknownEdgeLinks
 from ..functions import ids
 from ..operators import graphstore, index
 from ..operators.graphstore import _time
@@ -52,7 +52,8 @@ class Store:
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], self._schema(name))
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        """A table's rows, or those with lo <= id < hi."""
         raise NotImplementedError
 
     def write(self, name: str, df: DataFrame) -> None:
@@ -67,8 +68,12 @@ class Store:
         """Insert or touch by URL (url[, retrieved_at]); the latest retrieval wins."""
         raise NotImplementedError
 
-    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
-        """Insert or touch (src, dst) at ``now``; older edges of the sources of ``cutoffs`` (src, updated_before) go.  All in one commit."""
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None, unknown: str | None = None) -> None:
+        """Insert or touch (src, dst) at ``now``; older edges of the sources of ``cutoffs`` (src, updated_before) go.  All in one commit.
+
+        ``unknown`` says what becomes of edges with an end that is no link: 'drop',
+        'error', or (default) that the caller has seen to it.
+        """
         raise NotImplementedError
 
     def put_documents(self, texts: DataFrame) -> None:
@@ -136,6 +141,8 @@ class ParquetStore(Store):
         return self.log(name).read(lo, hi)
 
     def write(self, name: str, df: DataFrame) -> None:
+        if name == "documents":  # a row of a whole table has a text and a score, as a commit of either alone has not
+            df = df.withColumn("indexed_at", F.coalesce("indexed_at", never())).withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
         # ids that are not made from what their rows name, such as those of another store, have to be looked up from then on
         made = {"links": ids.link_id(F.col("url")), "edges": ids.edge_id(F.col("src"), F.col("dst"))}.get(name)
         self.log(name).replace(df, None if made is None else F.col("id") != made)
@@ -153,7 +160,12 @@ class ParquetStore(Store):
         new = incoming.groupBy("url").agg(F.max(when).alias("retrieved_at"))
         self.log("links").append(self.link_ids(new))
 
-    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None, unknown: str | None = None) -> None:
+        if unknown is not None:
+            links = self.read("links")
+            if unknown == "error" and not graphstore.unknown_edges(pairs, links).isEmpty():
+                raise UnknownEdgeLinks("an edge names an unknown link")
+            pairs = graphstore.known_edges(pairs.select("src", "dst"), links)
         new = pairs.select("src", "dst").distinct().withColumn("updated_at", _time(now)).withColumn("id", ids.edge_id(F.col("src"), F.col("dst")))
         if self.log("edges").state().flags.get("flagged"):
             known = self.read("edges").select("src", "dst", F.col("id").alias("_id"))
@@ -208,10 +220,12 @@ class JdbcStore(Store):
         last = len(bounds) - 1
         return [f"{column} >= '{lo}'" + ("" if i == last else f" AND {column} < '{hi}'") for i, (lo, hi) in enumerate(zip(starts, bounds, strict=True))]
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
         self._schema(name)
         found = self.spark.read.jdbc(self.url, name, predicates=self.predicates(name), properties=self.options)
-        return found.toDF(*[c.lower() for c in found.columns])
+        found = found.toDF(*[c.lower() for c in found.columns])
+        key = F.col(RANGE_COLUMN[name])
+        return found.where((key >= (lo or NIL_ID)) & (key < hi if hi else F.lit(True)))
 
     def statements(self, name: str, fresh: str) -> list[str]:
         """What brings a table to the rows of ``fresh``, row by row of its key, so that rows which stay keep what refers to them."""
@@ -251,7 +265,9 @@ class JdbcStore(Store):
         new = incoming.groupBy("url").agg(F.max(when).alias("retrieved_at")).withColumn("id", ids.link_id(F.col("url")))
         self._beside("links", [new], lambda fresh: self._touch("links", fresh, ["url"], "retrieved_at", LINK.fieldNames()))
 
-    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None) -> None:
+    def upsert_edges(self, pairs: DataFrame, now, cutoffs: DataFrame | None = None, unknown: str | None = None) -> None:
+        # the database's foreign keys refuse unknown ends, unless they are left out here
+        pairs = graphstore.known_edges(pairs.select("src", "dst"), self.read("links")) if unknown == "drop" else pairs
         new = pairs.select("src", "dst").distinct().withColumn("updated_at", _time(now)).withColumn("id", ids.edge_id(F.col("src"), F.col("dst")))
         touch = lambda fresh: self._touch("edges", fresh, ["src", "dst"], "updated_at", EDGE.fieldNames())
         if cutoffs is None:

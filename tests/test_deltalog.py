@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.errors import CommitConflict, StrandlineError
+from strandline.errors import CommitConflict, StrandlineError, UnknownEdgeLinks
 from strandline.functions import ids
 from strandline.plans.services import CrawlService
 from strandline.schemas import LINK
@@ -204,6 +204,17 @@ def test_edges_of_a_source_that_is_crawled_again(spark, tmp_path):
     assert seen() == {(a, b, 4), (a, c, 3), (b, c, 1)}
 
 
+def test_edges_with_unknown_ends(spark, tmp_path):
+    store = open_graph(spark, f"parquet:{tmp_path}/g")
+    store.write("links", links(spark, [1, 2]))
+    pairs = spark.createDataFrame([(key(1), key(2)), (key(1), key(3))], "src string, dst string")
+    with pytest.raises(UnknownEdgeLinks):
+        store.upsert_edges(pairs, NOW, unknown="error")
+    assert store.read("edges").count() == 0
+    store.upsert_edges(pairs, NOW, unknown="drop")
+    assert [(r.src, r.dst) for r in store.read("edges").collect()] == [(key(1), key(2))]
+
+
 def test_ids_of_another_store_stay(spark, tmp_path):
     store = open_graph(spark, f"parquet:{tmp_path}/g")
     store.write("links", links(spark, [1]))
@@ -220,5 +231,7 @@ def test_documents_and_scores(spark, tmp_path):
     store.put_documents(text(1, "second", 4))  # the later commit, whatever its time
     store.put_scores(score(2, 0.25))
     assert {(r.link_id, r.title, r.pagerank, r.indexed_at.year) for r in store.read("documents").collect()} == {(key(1), "second", 0.5, 2024), (key(2), "", 0.25, 1)}
+    store.write("documents", store.read("documents").withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("pagerank", F.lit(None).cast("double")))
+    assert {(r.link_id, r.title, r.pagerank, r.indexed_at.year) for r in store.read("documents").collect()} == {(key(1), "second", 0.0, 1), (key(2), "", 0.0, 1)}
     store.reset()
     assert store.read("documents").count() == 0
