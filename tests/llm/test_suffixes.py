@@ -19,7 +19,7 @@ def brute(rows, length):
                 gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return sorted(out, key=repr)
 
 
