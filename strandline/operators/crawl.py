@@ -23,9 +23,14 @@ from ..functions import network as N
 from .networks import match
 
 
-def fetched(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links (id, url, retrieved_at) with their pages (url, html[, status, content_type]); links without a page drop out."""
-    return links.select("id", "url", "retrieved_at").join(pages, "url")
+def fetched(links: DataFrame, pages: DataFrame, fetch: str | None = None) -> DataFrame:
+    """Links (id, url, retrieved_at) with their pages (url, html[, status, content_type]); links without a page drop out.
+
+    ``fetch`` names a column of both that tells fetches of one URL apart; without it
+    every page of a link's URL is a row.
+    """
+    on = ["url", *([fetch] if fetch else [])]
+    return links.select("id", *on, "retrieved_at").join(pages, on)
 
 
 LIVE = "id string, url string, status int, content_type string, html string"
@@ -150,18 +155,23 @@ def page_links(pages: DataFrame, hosts: DataFrame | None = None, key: str = "url
     return first.select(key, "pos", "link", "nofollow")
 
 
-def crawl_pages(links: DataFrame, pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """One crawled row for each fetched link: id, url, title, text, links, no_follow_links."""
-    got = fetched(crawlable(links), pages)
+def crawl_pages(links: DataFrame, pages: DataFrame, hosts: DataFrame | None = None, fetch: str | None = None) -> DataFrame:
+    """One crawled row for each fetched link: id, url, title, text, links, no_follow_links.
+
+    With ``fetch`` (see :func:`fetched`) a URL that was fetched several times has a row
+    for each, with the links of that page alone.
+    """
+    got = fetched(crawlable(links), pages, fetch)
+    key = fetch or "id"
     if "status" in pages.columns:
         got = successful_html(got)
     if hosts is not None:
         got = public_only(got, hosts)
-    spread = page_links(got.select("id", "url", "html"), hosts, key="id")
-    listed = spread.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "link", "nofollow"))).alias("found"))
-    text = got.select("id", "url", H.title(F.col("html")).alias("title"), H.text(F.col("html")).alias("text"))
+    spread = page_links(got.select(key, "url", "html"), hosts, key=key)
+    listed = spread.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "link", "nofollow"))).alias("found"))
+    text = got.select("id", *([fetch] if fetch else []), "url", H.title(F.col("html")).alias("title"), H.text(F.col("html")).alias("text"))
     pick = lambda flag: F.coalesce(F.transform(F.filter("found", lambda x: x["nofollow"] == flag), lambda x: x["link"]), F.expr("cast(array() as array<string>)"))
-    return text.join(listed, "id", "left").select("id", "url", "title", "text", pick(False).alias("links"), pick(True).alias("no_follow_links"))
+    return text.join(listed, key, "left").select("id", "url", "title", "text", pick(False).alias("links"), pick(True).alias("no_follow_links"))
 
 
 def broadcast_union(df: DataFrame, branches: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:

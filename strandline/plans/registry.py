@@ -435,7 +435,8 @@ CRAWLED = rf"""WITH {LINKS}, {FOUND},
 
 
 def crawled_of(spark, d):
-    return crawl.crawl_pages(links_of(spark, d), table(spark, d, "pages").select("url", "html"))
+    # a URL may stand in several rows of the table, each a fetch of its own
+    return crawl.crawl_pages(links_of(spark, d), table(spark, d, "pages").select("url", "page_id", "html"), fetch="page_id")
 
 
 @query(
@@ -448,7 +449,7 @@ def crawl_pages(spark, d):
 
 @query(r"SELECT count(*) AS pages FROM pages WHERE NOT regexp_matches(url, '(?i)\.(?:jpg|jpeg|png|gif|ico|css|js)$')")
 def crawl_count(spark, d):
-    got = crawl.fetched(crawl.crawlable(links_of(spark, d)), table(spark, d, "pages").select("url", "html"))
+    got = crawl.fetched(crawl.crawlable(links_of(spark, d)), table(spark, d, "pages").select("url", "page_id"), fetch="page_id")
     return got.agg(F.count(F.lit(1)).alias("pages"))
 
 
