@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let
+
 # Fixed value: a word of the analyser.
 TOKEN = r"[\p{L}\p{N}_]+"
 # Where a sentence ends, after the mark (a lower-case letter, digit, blank or symbol before, and a punctuation
@@ -21,6 +24,28 @@ def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 
+def _runs(listed: Column, same: Callable[[Column, Column], Column], body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body(sorted, start, length)`` for each run of equal elements of an array, in the time that sorting takes."""
+
+    def spread(s: Column) -> Column:
+        first = lambda i: (i == 0) | ~same(F.get(s, i), F.get(s, i - 1))
+        return let(F.filter(F.transform(s, lambda _, i: i), first), lambda starts: F.transform(starts, lambda at, k: body(s, at, F.coalesce(F.get(starts, k + 1), F.size(s)) - at)))
+
+    return let(F.sort_array(listed), spread)
+
+
+def term_counts(terms: Column) -> Column:
+    """array<struct<term, tf>>: the distinct terms of an array, counted inside the row."""
+    return _runs(terms, lambda a, b: a == b, lambda s, at, n: F.struct(F.get(s, at).alias("term"), n.cast("long").alias("tf")))
+
+
+def term_positions(terms: Column) -> Column:
+    """array<struct<term, tf, positions>>: as :func:`term_counts`, with the positions from 0 in order."""
+    placed = F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    found = lambda s, at, n: F.struct(F.get(s, at)["term"].alias("term"), n.alias("tf"), F.transform(F.slice(s, at + 1, n), lambda x: x["pos"]).alias("positions"))
+    return _runs(placed, lambda a, b: a["term"] == b["term"], found)
+
+
 def query_terms(expr: str) -> list[str]:
     """A query's distinct analysed terms, in order."""
     import regex

@@ -72,11 +72,23 @@ def require_document(documents: DataFrame, link_id: str):
     return found[0]
 
 
+def repeated_ids(documents: DataFrame) -> bool:
+    """Whether an id stands in several rows, so that rows are no whole documents; only ids are shuffled."""
+    return not documents.groupBy("link_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def build_postings(documents: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(field, term, link_id, tf, length) of titles and contents; length counts the field's terms."""
+    """(field, term, link_id, tf, length) of titles and contents; length counts the field's terms.
+
+    Terms are counted inside the row of their document, so nothing is shuffled unless
+    a document has several rows.
+    """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f), stop_words).alias("terms")) for f in ("title", "content")])
-    listed = documents.select("link_id", F.explode(fields).alias("f")).select("link_id", "f.field", F.size("f.terms").cast("long").alias("length"), F.explode("f.terms").alias("term"))
-    return listed.groupBy("field", "term", "link_id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    listed = documents.select("link_id", F.explode(fields).alias("f")).select("link_id", "f.field", F.size("f.terms").cast("long").alias("length"), F.explode(X.term_counts(F.col("f.terms"))).alias("t"))
+    counted = listed.select("field", "t.term", "link_id", "t.tf", "length")
+    if repeated_ids(documents):
+        return counted.groupBy("field", "term", "link_id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    return counted
 
 
 def term_df(postings: DataFrame) -> DataFrame:
