@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..shared import file_system
-from .index import B, K1, field_stats
+from .index import B, K1, field_stats, repeated_ids
 
 BUCKETS = 64
 STORED = "field string, term string, link_id string, tf long, length long, positions array<int>, bucket int"
@@ -23,11 +23,13 @@ FIELDS = ("title", "content")
 
 
 def positional_postings(documents: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(field, term, link_id, tf, length, positions)."""
+    """(field, term, link_id, tf, length, positions), made inside the row of a document; those in several rows are grouped."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f), stop_words).alias("terms")) for f in FIELDS])
-    listed = documents.select("link_id", F.explode(fields).alias("f")).select("link_id", "f.field", F.size("f.terms").cast("long").alias("length"), F.posexplode("f.terms").alias("pos", "term"))
-    grouped = listed.groupBy("field", "term", "link_id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("field", "term", "link_id", "tf", "length", "positions")
+    listed = documents.select("link_id", F.explode(fields).alias("f")).select("link_id", "f.field", F.size("f.terms").cast("long").alias("length"), F.explode(X.term_positions(F.col("f.terms"))).alias("t"))
+    found = listed.select("field", "t.term", "link_id", F.col("t.tf").cast("long").alias("tf"), "length", "t.positions")
+    if repeated_ids(documents):
+        return found.groupBy("field", "term", "link_id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return found
 
 
 def _bucket(term: Column) -> Column:
@@ -43,12 +45,12 @@ class PostingsIndex:
     def write(self, documents: DataFrame, stop_words: tuple[str, ...] = (), copy: bool = True) -> PostingsIndex:
         """Index ``documents``; without ``copy`` they are stored elsewhere already."""
         if copy:
-            documents.repartitionByRange("link_id").sortWithinPartitions("link_id").write.mode("overwrite").parquet(f"{self.root}/documents")
+            documents.repartitionByRange("link_id").sortWithinPartitions("link_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/documents")
             documents = self.spark.read.parquet(f"{self.root}/documents")
         self._documents = documents
         postings = positional_postings(documents, stop_words).withColumn("bucket", _bucket(F.col("term")))
-        # ranges of (bucket, term, id), so that a very common term fills many files rather than one task
-        postings.repartitionByRange("bucket", "term", "link_id").sortWithinPartitions("bucket", "term", "link_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
+        # ids are random digits, which only an entropy coder makes smaller; ranges of (bucket, term, id), so that a very common term fills many files rather than one task
+        postings.repartitionByRange("bucket", "term", "link_id").sortWithinPartitions("bucket", "term", "link_id").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings")
         field_stats(documents, stop_words).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/fields")
         files, at = file_system(self.spark, f"{self.root}/_SUCCESS")
         files.create(at, True).close()

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators import index as I
+from strandline.operators.postings import positional_postings
 from strandline.schemas import DOCUMENT
 
 ROWS = [("a", "u", "b a b", "x y x x", None, 0.0), ("b", "u", "", None, None, 0.0), ("c", "u", "y", "y", None, 0.0)]
@@ -24,3 +25,11 @@ def test_postings_of_whole_documents_shuffle_nothing(spark):
 def test_a_document_in_several_rows_is_one(spark):
     found = I.build_postings(spark.createDataFrame([*ROWS, ("c", "u", "y y z", "y", None, 0.0)], DOCUMENT)).where("link_id = 'c'")
     assert {tuple(r) for r in found.collect()} == {("title", "y", "c", 3, 3), ("title", "z", "c", 1, 3), ("content", "y", "c", 2, 1)}
+
+
+def test_positions_of_whole_documents_shuffle_nothing(spark):
+    found = positional_postings(spark.createDataFrame(ROWS, DOCUMENT))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(map(str, r)) for r in found.where("link_id = 'a'").collect()} == {("title", "a", "a", "1", "3", "[1]"), ("title", "b", "a", "2", "3", "[0, 2]"), ("content", "x", "a", "3", "4", "[0, 2, 3]"), ("content", "y", "a", "1", "4", "[1]")}
+    twice = positional_postings(spark.createDataFrame([*ROWS, ("c", "u", "y y z", "y", None, 0.0)], DOCUMENT)).where("link_id = 'c' and term = 'y'")
+    assert {(r.field, r.tf, r.length, tuple(r.positions)) for r in twice.collect()} == {("title", 3, 3, (0, 0, 1)), ("content", 2, 1, (0, 0))}
