@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.let import let
 from ..sources.deltalog import KEPT as CHANGES_KEPT
 from ..sources.deltalog import DeltaTable, Log
 from .index import B, K1
@@ -41,6 +42,7 @@ BUCKETS = 16
 FANOUT = 4
 PROBE = 16
 LISTED = 2048
+DEALT = 2  # windows of a task that makes blocks
 KEPT = 4
 FIELDS = ("title", "content")
 BLOCK = "field string, term string, win long, docs array<int>, tfs array<int>, lengths array<int>, positions array<array<int>>, n int, tf_max int, len_min int, seg string, bucket int"
@@ -148,7 +150,7 @@ class SegmentedIndex:
     def _work(self, df: DataFrame) -> DataFrame:
         """``df`` written, so that everything made from it agrees."""
         path = f"{self.root}/work/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         found._strandline_work = path
         return found
@@ -167,30 +169,33 @@ class SegmentedIndex:
         seg = uuid.uuid4().hex
         numbered = self._numbered(docs)
         fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f)).alias("terms")) for f in FIELDS])
-        spread = numbered.select("win", "docno", F.explode(fields).alias("f")).select("win", "docno", "f.field", F.size("f.terms").alias("length"), F.posexplode("f.terms").alias("pos", "term"))
-        # dealt by term and window, which splits a common term; both groupings then stay where they are
-        dealt = spread.repartition("field", "term", "win")
-        postings = dealt.groupBy("field", "term", "win", "docno").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        self._write_blocks(seg, postings)
+        # whole documents are dealt by window, some windows to a task; their terms are grouped where they are
+        documents = numbered.count()
+        dealt = numbered.select("win", "docno", *FIELDS).repartition(documents // (DEALT << self.bits) + 1, "win")
+        spread = dealt.select("win", "docno", F.explode(fields).alias("f")).select("win", "docno", "f.field", F.size("f.terms").alias("length"), F.explode(X.term_positions(F.col("f.terms"))).alias("t"))
+        postings = spread.select("field", "t.term", "win", "docno", F.col("t.tf").alias("tf"), "length", "t.positions")
+        self._write_blocks(seg, postings, documents)
         sizes = numbered.select("docno", "win", "link_id", *[F.size(X.tokens(F.col(f))).cast("long").alias(f) for f in FIELDS])
         return seg, self._finish(seg, numbered, sizes)
 
     def _finish(self, seg: str, numbered: DataFrame, sizes: DataFrame) -> list[int]:
-        sizes.sortWithinPartitions("docno").write.parquet(f"{self.root}/docs/seg={seg}")
+        sizes.sortWithinPartitions("docno").write.option("compression", "zstd").parquet(f"{self.root}/docs/seg={seg}")
         self._write_ranks(seg, numbered.select(F.lit(seg).alias("seg"), "win", "docno", "pagerank"))
         self._remove_work(numbered)
         n, *total = self._read("docs", DOC, [f"seg={seg}"]).agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f), F.lit(0)) for f in FIELDS]).first()
         return [n, *total]
 
-    def _write_blocks(self, seg: str, postings: DataFrame) -> None:
-        """Blocks of postings (field, term, win, docno, tf, length, positions)."""
+    def _write_blocks(self, seg: str, postings: DataFrame, documents: int) -> None:
+        """Blocks of the postings (field, term, win, docno, tf, length, positions) of so many documents."""
         offset = F.col("docno").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int").alias("doc")
-        listed = postings.groupBy("field", "term", "win").agg(F.sort_array(F.collect_list(F.struct(offset, "tf", "length", "positions"))).alias("d"))
-        blocks = listed.select(
-            "field", "term", "win", F.col("d.doc").alias("docs"), F.col("d.tf").alias("tfs"), F.col("d.length").alias("lengths"), F.col("d.positions").alias("positions"),
-            F.size("d").alias("n"), F.array_max("d.tf").alias("tf_max"), F.array_min("d.length").alias("len_min"), _bucket(F.col("term")).alias("bucket"),
-        )
-        blocks.repartitionByRange("bucket", "term", "win").sortWithinPartitions("bucket", "term", "field", "win").write.partitionBy("bucket").parquet(f"{self.root}/blocks/seg={seg}")
+        listed = postings.groupBy("field", "term", "win").agg(F.sort_array(F.collect_list(F.struct(offset, "length", "positions"))).alias("d"))
+        packed = listed.select("field", "term", "win", _bucket(F.col("term")).alias("bucket"), _packed(F.col("d")).alias("p"))
+        # parts of a bucket by term and window, more of them for more documents; ranges would make all blocks twice, once for their sample
+        parts = documents // (DEALT * 64 << self.bits) + 1
+        dealt = packed.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64("term", "win"), F.lit(parts))).sortWithinPartitions("bucket", "term", "field", "win")
+        opened = dealt.select("field", "term", "win", "bucket", F.slice("p", F.lit(2), F.get("p", F.lit(0))).alias("docs"), F.slice("p", F.get("p", F.lit(0)) + 2, F.get("p", F.lit(0))).alias("lengths"), _unpacked(F.col("p")).alias("positions"))
+        blocks = opened.select("field", "term", "win", "docs", F.transform("positions", F.size).alias("tfs"), "lengths", "positions", F.size("docs").alias("n"), F.array_max(F.transform("positions", F.size)).alias("tf_max"), F.array_min("lengths").alias("len_min"), "bucket")
+        blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/blocks/seg={seg}")
 
     def _write_ranks(self, name: str, ranks: DataFrame) -> None:
         ranks.repartitionByRange("seg", "win").sortWithinPartitions("seg", "win").write.parquet(f"{self.root}/ranks/txn={name}")
@@ -218,7 +223,7 @@ class SegmentedIndex:
         zipped = F.inline(F.arrays_zip("docs", "tfs", "lengths", "positions"))
         spread = old.select("field", "term", F.col("seg").alias("old_seg"), "win", zipped).select("field", "term", "old_seg", (F.shiftleft("win", self.bits) + F.col("docs")).alias("old_docno"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"), "positions")
         postings = spread.join(numbered.select("old_seg", "old_docno", "win", "docno"), ["old_seg", "old_docno"])
-        self._write_blocks(seg, postings)
+        self._write_blocks(seg, postings, numbered.count())
         sizes = self._finish(seg, numbered, numbered.select("docno", "win", "link_id", *FIELDS))
         e = self.entry
         made = Entry(upto=e.upto, segments={s: n for s, n in e.segments.items() if s not in names}, gone={s: n for s, n in e.gone.items() if s not in names}, ranks=[*e.ranks, seg])
@@ -410,6 +415,23 @@ class SegmentedIndex:
         return Found(best, total, every, read)
 
 
+def _packed(d: Column) -> Column:
+    """A block as one array for the shuffle: its size, documents, lengths, and positions, of which the first of a document is -1 - itself."""
+    marked = F.flatten(F.transform(d["positions"], lambda ps: F.transform(ps, lambda p, i: F.when(i == 0, -1 - p).otherwise(p))))
+    return F.concat(F.array(F.size(d)), d["doc"], d["length"], marked)
+
+
+def _unpacked(p: Column) -> Column:
+    """The positions of each document of a packed block."""
+
+    def cut(flat: Column) -> Column:
+        starts = F.filter(F.transform(flat, lambda _, i: i), lambda i: F.get(flat, i) < 0)
+        own = lambda at, end: F.transform(F.slice(flat, at + 1, end - at), lambda x: F.when(x < 0, -1 - x).otherwise(x))
+        return let(starts, lambda found: F.transform(found, lambda at, k: own(at, F.coalesce(F.get(found, k + 1), F.size(flat)))))
+
+    return let(F.slice(p, 2 + 2 * F.get(p, F.lit(0)), F.size(p)), cut)
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
