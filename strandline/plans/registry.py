@@ -100,8 +100,10 @@ def site_links(spark: SparkSession, d: str) -> DataFrame:
 
 def site_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges from suppliers to the parts of their line items, updated at the last shipment."""
-    lines = table(spark, d, "lineitem").select(ids.link_id(_site("s", "l_suppkey")).alias("src"), ids.link_id(_site("p", "l_partkey")).alias("dst"), "l_shipdate")
-    return lines.groupBy("src", "dst").agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("updated_at")).select(ids.edge_id(F.col("src"), F.col("dst")).alias("id"), "src", "dst", "updated_at")
+    # grouped by the keys of the line items: the ids made of them are five times as long
+    ends = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("updated_at"))
+    edges = ends.select(ids.link_id(_site("s", "l_suppkey")).alias("src"), ids.link_id(_site("p", "l_partkey")).alias("dst"), "updated_at")
+    return edges.select(ids.edge_id(F.col("src"), F.col("dst")).alias("id"), "src", "dst", "updated_at")
 
 
 SITES = f"""sites AS (SELECT {uuid_sql('url')} AS id, url FROM (
