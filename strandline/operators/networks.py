@@ -68,10 +68,22 @@ def match(addresses: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFram
     if not lengths:
         return addresses.withColumn("net", F.lit(None).cast("string"))
 
+    # only numbers are spread over the lengths and shuffled: the length and the address, of which its prefix is made at the join
+    wide = any(length > 64 for _, length in lengths)
+    key = ["_kind", "_hi", "_lo"] if wide else ["_kind", "_hi"]
+    kind = lambda family, length: family * 1000 + length
+    nets = known.select((F.col("_family") * 1000 + F.col("_len")).cast("int").alias("_kind"), *key[1:], "net")
+
     def held(family: int, length: int) -> Column:
         hi, lo = _prefix(F.col("_b.hi"), F.col("_b.lo"), length)
-        return F.when(F.col("_b.family") == family, F.struct(F.lit(family).alias("_family"), F.lit(length).alias("_len"), hi.alias("_hi"), lo.alias("_lo")))
-
-    spread = each.select("_matched", F.explode(F.array_compact(F.array(*[held(*x) for x in lengths]))).alias("p")).select("_matched", "p.*")
-    best = spread.join(known, ["_family", "_len", "_hi", "_lo"]).groupBy("_matched").agg(F.max_by("net", "_len").alias("net"))
-    return addresses.join(best, F.col(ip) == F.col("_matched"), "left").drop("_matched")
+        return F.when(F.col("_b.family") == family, F.struct(F.lit(kind(family, length)).alias("_kind"), hi.alias("_hi"), *([lo.alias("_lo")] if wide else [])))
+
+    own = ["_b.hi", *(["_b.lo"] if any(family == 6 for family, _ in lengths) else [])]
+    at = [F.col(c).alias(f"_at_{c[-2:]}") for c in own]
+    # addresses that are written differently may be one number; they meet again by family and bits
+    each = each.select(F.col("_b.family").alias("_f"), *at, "_b").distinct()
+    spread = each.select(*[c for c in each.columns if c not in ("_b", "_f")], F.explode(F.array_compact(F.array(*[held(*x) for x in lengths]))).alias("p")).select(*[c for c in each.columns if c not in ("_b", "_f")], "p.*")
+    bits = [c for c in each.columns if c not in ("_b", "_f")]
+    found = spread.join(nets, key).groupBy(F.floor(F.col("_kind") / 1000).cast("int").alias("_f"), *bits).agg(F.max_by("net", "_kind").alias("net"))
+    named = addresses.withColumn("_b", _bits(F.col(ip))).withColumn("_f", F.col("_b.family")).withColumns({f"_at_{c[-2:]}": F.col(c) for c in own}).drop("_b")
+    return named.join(found, ["_f", *bits], "left").select(*addresses.columns, "net")
