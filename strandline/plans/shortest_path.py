@@ -75,8 +75,8 @@ def shortest_paths(vertices: DataFrame, edges: DataFrame, source: str, max_steps
     """
     if not edges.where("cost < 0").isEmpty():
         raise NegativeCost("edge costs must not be negative")
-    tables = Tables(vertices.sparkSession)
-    ids = tables.put(vertices.select("id").distinct(), "id", deal=False)
+    tables = Tables(vertices.sparkSession, edges.count())
+    ids = tables.put(vertices.select("id").distinct(), "id")
     best = edges.groupBy("src", "dst").agg(F.min("cost").cast("long").alias("cost"))
     known = tables.put(best.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "src")
     state = _costs(tables, ids, known, source, max_steps)
