@@ -12,7 +12,7 @@ import itertools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -124,6 +124,19 @@ def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct(), edges
 
 
+def numbered_graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same graph without costs; its ids are numbers, twice the key, and one more for parts."""
+    lines = table(spark, d, "lineitem").where("l_quantity is not null")
+    s, p, there = F.col("l_suppkey").cast("long") * 2, F.col("l_partkey").cast("long") * 2 + 1, F.col("l_quantity") >= 25
+    edges = lines.select(F.when(there, s).otherwise(p).alias("src"), F.when(there, p).otherwise(s).alias("dst")).distinct()
+    # the ends of all line items: their edges need not be made twice
+    return lines.select(F.explode(F.array(s, p)).alias("id")).distinct(), edges
+
+
+def graph_name(number: Column) -> Column:
+    return F.concat(F.when(number % 2 == 0, F.lit("s")).otherwise(F.lit("p")), F.shiftright(number, 1).cast("string"))
+
+
 GRAPH = """edges AS MATERIALIZED (SELECT src, dst, min(l_linenumber)::BIGINT AS cost FROM (
   SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_linenumber FROM lineitem WHERE l_quantity >= 25 UNION ALL
   SELECT 'p' || l_partkey, 's' || l_suppkey, l_linenumber FROM lineitem WHERE l_quantity < 25) GROUP BY src, dst),
@@ -770,7 +783,7 @@ def out_degree(spark, d):
 
 @query(f"WITH {rank_sql(8)} SELECT id, round(r, 9) AS rank FROM r8")
 def pagerank_fixed_steps(spark, d):
-    return PR.pagerank(*graph_of(spark, d), max_steps=8).select("id", F.round("rank", 9).alias("rank"))
+    return PR.pagerank(*numbered_graph_of(spark, d), max_steps=8).select(graph_name(F.col("id")).alias("id"), F.round("rank", 9).alias("rank"))
 
 
 #: supersteps to convergence on the oracle's data
@@ -779,13 +792,13 @@ CONVERGED = 48
 
 @query(f"WITH {rank_sql(CONVERGED)} SELECT id, round(r, 9) AS rank FROM r{CONVERGED}")
 def pagerank(spark, d):
-    return PR.pagerank(*graph_of(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+    return PR.pagerank(*numbered_graph_of(spark, d)).select(graph_name(F.col("id")).alias("id"), F.round("rank", 9).alias("rank"))
 
 
 @query(f"WITH {rank_sql(8)} " + " UNION ALL ".join(f"SELECT {s} AS step, round(sum(change), 9) AS change FROM r{s}" for s in range(1, 9)))
 def pagerank_sad(spark, d):
     history: list = []
-    PR.pagerank(*graph_of(spark, d), max_steps=8, history=history)
+    PR.pagerank(*numbered_graph_of(spark, d), max_steps=8, history=history)
     return spark.createDataFrame(history, "step int, change double").select("step", F.round("change", 9).alias("change"))
 
 
@@ -794,8 +807,8 @@ def pagerank_sad(spark, d):
     FROM docs d FULL OUTER JOIN (SELECT {uuid_sql("'doc:' || substr(id, 2)")} AS link_id, r FROM r{CONVERGED} WHERE starts_with(id, 'p')) s ON d.link_id = s.link_id"""
 )
 def rank_then_index(spark, d):
-    ranks = PR.pagerank(*graph_of(spark, d)).where(F.col("id").startswith("p"))
-    scores = ranks.select(ids.uuid_of(F.concat(F.lit("doc:"), F.expr("substr(id, 2)"))).alias("link_id"), F.col("rank").alias("score"))
+    ranks = PR.pagerank(*numbered_graph_of(spark, d)).where("id % 2 = 1")
+    scores = ranks.select(ids.uuid_of(F.concat(F.lit("doc:"), F.shiftright("id", 1).cast("string"))).alias("link_id"), F.col("rank").alias("score"))
     return index.update_scores(documents_of(spark, d).drop("doc_id"), scores).select("link_id", "url", F.round("pagerank", 9).alias("pagerank"))
 
 
