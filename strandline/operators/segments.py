@@ -112,25 +112,27 @@ class SegmentedIndex:
         return any(self.table.read_entry(v).get("replaces") for v in self.table.versions() if self.entry.upto < v <= latest)
 
     def _rebuilt(self, latest: int) -> Entry:
-        docs = self.table.read(version=latest).select("link_id", "title", "content", "pagerank")
-        seg, sizes = self._segment(docs)
+        numbered = self._numbered(self.table.read(version=latest).select("link_id", "title", "content", "pagerank"))
+        seg, sizes = self._segment(numbered)
+        self._remove_work(numbered)
         return Entry(upto=latest, segments={seg: sizes} if sizes[0] else {}, ranks=[seg])
 
     def _followed(self, latest: int) -> Entry:
         """The present entry and what was committed since."""
         rows = self.table.changes(self.entry.upto, latest)
-        text = rows.where("indexed_at is not null").groupBy("link_id").agg(F.max(F.struct("_v", "indexed_at", "url", "title", "content")).alias("t")).select("link_id", "t.title", "t.content", F.lit(True).alias("is_text"))
-        score = rows.where("pagerank is not null").groupBy("link_id").agg(F.max(F.struct("_v", "pagerank")).alias("p")).select("link_id", F.col("p.pagerank").alias("given"))
+        # texts and scores in one grouping, so that texts are dealt by id once
+        text, score = F.struct("_v", "indexed_at", "url", "title", "content"), F.struct("_v", "pagerank")
+        per = rows.groupBy("link_id").agg(F.max(F.when(F.col("indexed_at").isNotNull(), text)).alias("t"), F.max(F.when(F.col("pagerank").isNotNull(), score)).alias("p")).where("t is not null or p is not null")
         before = self.live_docs().join(self.ranks(), ["seg", "win", "docno"])
         old = before.select("link_id", "seg", "win", "docno", F.col("title").alias("old_title"), F.col("content").alias("old_content"), "pagerank")
-        met = text.join(score, "link_id", "full_outer").join(old, "link_id", "left")
-        met = self._work(met.where("is_text or seg is null"))  # replaced texts, new ones, and scores of unknown documents
-        empty = F.lit("")
-        shown = lambda c: F.when(F.col("is_text"), F.col(c)).otherwise(empty).alias(c)
-        seg, sizes = self._segment(met.select("link_id", shown("title"), shown("content"), F.coalesce("given", "pagerank", F.lit(0.0)).alias("pagerank")))
+        named = old.select("link_id", *[F.col(c).alias(f"old_{c}") for c in ("seg", "win", "docno")], "old_title", "old_content", "pagerank")
+        met = per.join(named, "link_id", "left").where("t is not null or old_seg is null")  # replaced texts, new ones, and scores of unknown documents
+        shown = lambda c: F.coalesce(F.when(F.col("t").isNotNull(), F.col(f"t.{c}")).otherwise(F.lit("")), F.lit("")).alias(c)
+        numbered = self._numbered(met.select("link_id", shown("title"), shown("content"), F.coalesce("p.pagerank", "pagerank", F.lit(0.0)).alias("pagerank"), "old_seg", "old_win", "old_docno", "old_title", "old_content"))
+        seg, sizes = self._segment(numbered)
         e = self.entry
         made = Entry(upto=latest, segments={**e.segments, **({seg: sizes} if sizes[0] else {})}, gone=dict(e.gone), dead=list(e.dead), ranks=[*e.ranks, seg])
-        gone = met.where("seg is not null").select("seg", "win", "docno", F.col("old_title").alias("title"), F.col("old_content").alias("content"))
+        gone = numbered.where("old_seg is not null").select(F.col("old_seg").alias("seg"), F.col("old_win").alias("win"), F.col("old_docno").alias("docno"), F.col("old_title").alias("title"), F.col("old_content").alias("content"))
         lost = gone.groupBy("seg").agg(F.count(F.lit(1)), F.sum("title"), F.sum("content")).collect()  # one row for each segment
         if lost:
             name = uuid.uuid4().hex
@@ -138,13 +140,14 @@ class SegmentedIndex:
             made.dead.append(name)
             for s, *n in lost:
                 made.gone[s] = [a + b for a, b in zip(made.gone.get(s, [0, 0, 0]), n, strict=True)]
-        if not score.isEmpty():  # PageRanks come as whole passes: all are written anew, by window
+        given = rows.where("pagerank is not null").groupBy("link_id").agg(F.max(score).alias("p")).select("link_id", F.col("p.pagerank").alias("given"))
+        if not given.isEmpty():  # PageRanks come as whole passes: all are written anew, by window
             name = uuid.uuid4().hex
-            kept = old.join(met.select("link_id"), "link_id", "left_anti").join(score, "link_id", "left").select("seg", "win", "docno", F.coalesce("given", "pagerank").alias("pagerank"))
+            kept = old.join(numbered.select("link_id"), "link_id", "left_anti").join(given, "link_id", "left").select("seg", "win", "docno", F.coalesce("given", "pagerank").alias("pagerank"))
             own = self._read("ranks", RANK, [f"txn={seg}"]).select("seg", "win", "docno", "pagerank")
             self._write_ranks(name, kept.unionByName(own))
             made.ranks = [name]
-        self._remove_work(met)
+        self._remove_work(numbered)
         return made
 
     def _work(self, df: DataFrame) -> DataFrame:
@@ -164,10 +167,9 @@ class SegmentedIndex:
         ranked = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("docno", F.monotonically_increasing_id())
         return self._work(ranked.withColumn("win", F.shiftright("docno", self.bits)))
 
-    def _segment(self, docs: DataFrame) -> tuple[str, list[int]]:
-        """Write a segment of documents (link_id, title, content, pagerank): its name, documents and terms."""
+    def _segment(self, numbered: DataFrame) -> tuple[str, list[int]]:
+        """Write a segment of numbered documents (link_id, title, content, pagerank): its name, documents and terms."""
         seg = uuid.uuid4().hex
-        numbered = self._numbered(docs)
         fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f)).alias("terms")) for f in FIELDS])
         # whole documents are dealt by window, some windows to a task; their terms are grouped where they are
         documents = numbered.count()
@@ -181,7 +183,6 @@ class SegmentedIndex:
     def _finish(self, seg: str, numbered: DataFrame, sizes: DataFrame) -> list[int]:
         sizes.sortWithinPartitions("docno").write.option("compression", "zstd").parquet(f"{self.root}/docs/seg={seg}")
         self._write_ranks(seg, numbered.select(F.lit(seg).alias("seg"), "win", "docno", "pagerank"))
-        self._remove_work(numbered)
         n, *total = self._read("docs", DOC, [f"seg={seg}"]).agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f), F.lit(0)) for f in FIELDS]).first()
         return [n, *total]
 
@@ -225,6 +226,7 @@ class SegmentedIndex:
         postings = spread.join(numbered.select("old_seg", "old_docno", "win", "docno"), ["old_seg", "old_docno"])
         self._write_blocks(seg, postings, numbered.count())
         sizes = self._finish(seg, numbered, numbered.select("docno", "win", "link_id", *FIELDS))
+        self._remove_work(numbered)
         e = self.entry
         made = Entry(upto=e.upto, segments={s: n for s, n in e.segments.items() if s not in names}, gone={s: n for s, n in e.gone.items() if s not in names}, ranks=[*e.ranks, seg])
         if sizes[0]:

@@ -115,9 +115,9 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 KINDS = {
-    "links": Kind(LINK, "id", _links),
+    "links": Kind(LINK, "id", _links, grouped=True),
     "edges": Kind(EDGE, "src", _edges, lambda rows: rows.where("dst is not null")),
-    "documents": Kind(DOCUMENT, "link_id", _documents),
+    "documents": Kind(DOCUMENT, "link_id", _documents, grouped=True),
 }
 
 
@@ -176,7 +176,9 @@ class ParquetStore(Store):
         self.log("edges").append(new)
 
     def put_documents(self, texts: DataFrame) -> None:
-        self.log("documents").append(index.incoming_texts(texts).withColumn("indexed_at", F.coalesce("indexed_at", never())))
+        # dealt by id once, for the latest of each and for the files alike
+        latest = index.incoming_texts(texts.repartitionByRange("link_id"))
+        self.log("documents").append(latest.withColumn("indexed_at", F.coalesce("indexed_at", never())), dealt=True)
 
     def put_scores(self, scores: DataFrame) -> None:
         self.log("documents").append(index.incoming_scores(scores).select("link_id", F.col("score").alias("pagerank")))
