@@ -30,7 +30,7 @@ from ..shared import Tables
 DAMPING = 0.85
 MIN_CHANGE = 0.001
 BLOCK = 12  # supersteps of a job, at most
-EDGES = 2_000_000  # of a block, and a quarter as many vertices
+EDGES = 8_000_000  # of a block, and a quarter as many vertices
 LEAST = 20_000  # edges that a block of their own is worth
 
 TILE = "k long, kd long, sources binary, starts binary, places binary"
