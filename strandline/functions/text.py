@@ -24,6 +24,11 @@ def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 
+def spaced(text: Column) -> Column:
+    """The same tokens in one string, with one space between them: it passes to Arrow tasks in a fraction of an array's time."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), TOKEN.replace("[", "[^", 1), " "))
+
+
 def _runs(listed: Column, same: Callable[[Column, Column], Column], body: Callable[[Column, Column, Column], Column]) -> Column:
     """``body(sorted, start, length)`` for each run of equal elements of an array, in the time that sorting takes."""
 

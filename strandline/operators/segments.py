@@ -31,7 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.blocks import FIELDS, PACKED, indexed
 from ..functions.let import let
+from ..ship import ship
 from ..sources.deltalog import KEPT as CHANGES_KEPT
 from ..sources.deltalog import DeltaTable, Log
 from .index import B, K1
@@ -42,9 +44,8 @@ BUCKETS = 16
 FANOUT = 4
 PROBE = 16
 LISTED = 2048
-DEALT = 2  # windows of a task that makes blocks
+DEALT = 2
 KEPT = 4
-FIELDS = ("title", "content")
 BLOCK = "field string, term string, win long, docs array<int>, tfs array<int>, lengths array<int>, positions array<array<int>>, n int, tf_max int, len_min int, seg string, bucket int"
 DOC = "docno long, win long, link_id string, title long, content long, seg string"
 RANK = "seg string, win long, docno long, pagerank double, txn string"
@@ -82,6 +83,7 @@ class SegmentedIndex:
     """The index below ``root`` of the documents in ``documents`` (see :class:`DeltaTable`), at one version."""
 
     def __init__(self, spark: SparkSession, root: str, documents: DeltaTable, version: int | None = None, fanout: int = FANOUT, window_bits: int = WINDOW_BITS) -> None:
+        ship(spark)
         self.spark, self.root, self.log, self.table, self.fanout, self.bits = spark, root.rstrip("/"), Log(spark, root), documents, fanout, window_bits
         found = self.log.versions()
         self.entry = Entry(**self.log.read_entry(found[-1] if version is None else version)) if found else Entry()
@@ -170,13 +172,9 @@ class SegmentedIndex:
     def _segment(self, numbered: DataFrame) -> tuple[str, list[int]]:
         """Write a segment of numbered documents (link_id, title, content, pagerank): its name, documents and terms."""
         seg = uuid.uuid4().hex
-        fields = F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f)).alias("terms")) for f in FIELDS])
-        # whole documents are dealt by window, some windows to a task; their terms are grouped where they are
-        documents = numbered.count()
-        dealt = numbered.select("win", "docno", *FIELDS).repartition(documents // (DEALT << self.bits) + 1, "win")
-        spread = dealt.select("win", "docno", F.explode(fields).alias("f")).select("win", "docno", "f.field", F.size("f.terms").alias("length"), F.explode(X.term_positions(F.col("f.terms"))).alias("t"))
-        postings = spread.select("field", "t.term", "win", "docno", F.col("t.tf").alias("tf"), "length", "t.positions")
-        self._write_blocks(seg, postings, documents)
+        # files hold whole windows in order, so the tasks that read them make the blocks and no text is shuffled
+        blocks = numbered.select("win", self._offset(), *[X.spaced(F.col(f)).alias(f) for f in FIELDS]).mapInArrow(indexed, PACKED)
+        self._write_blocks(seg, blocks, numbered.count())
         sizes = numbered.select("docno", "win", "link_id", *[F.size(X.tokens(F.col(f))).cast("long").alias(f) for f in FIELDS])
         return seg, self._finish(seg, numbered, sizes)
 
@@ -186,14 +184,15 @@ class SegmentedIndex:
         n, *total = self._read("docs", DOC, [f"seg={seg}"]).agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f), F.lit(0)) for f in FIELDS]).first()
         return [n, *total]
 
-    def _write_blocks(self, seg: str, postings: DataFrame, documents: int) -> None:
-        """Blocks of the postings (field, term, win, docno, tf, length, positions) of so many documents."""
-        offset = F.col("docno").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int").alias("doc")
-        listed = postings.groupBy("field", "term", "win").agg(F.sort_array(F.collect_list(F.struct(offset, "length", "positions"))).alias("d"))
-        packed = listed.select("field", "term", "win", _bucket(F.col("term")).alias("bucket"), _packed(F.col("d")).alias("p"))
+    def _offset(self) -> Column:
+        """A document's number in its window."""
+        return F.col("docno").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int").alias("doc")
+
+    def _write_blocks(self, seg: str, packed: DataFrame, documents: int) -> None:
+        """Write the packed blocks (field, term, win, p) of so many documents."""
         # parts of a bucket by term and window, more of them for more documents; ranges would make all blocks twice, once for their sample
         parts = documents // (DEALT * 64 << self.bits) + 1
-        dealt = packed.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64("term", "win"), F.lit(parts))).sortWithinPartitions("bucket", "term", "field", "win")
+        dealt = packed.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64("term", "win"), F.lit(parts))).sortWithinPartitions("bucket", "term", "field", "win")
         opened = dealt.select("field", "term", "win", "bucket", F.slice("p", F.lit(2), F.get("p", F.lit(0))).alias("docs"), F.slice("p", F.get("p", F.lit(0)) + 2, F.get("p", F.lit(0))).alias("lengths"), _unpacked(F.col("p")).alias("positions"))
         blocks = opened.select("field", "term", "win", "docs", F.transform("positions", F.size).alias("tfs"), "lengths", "positions", F.size("docs").alias("n"), F.array_max(F.transform("positions", F.size)).alias("tf_max"), F.array_min("lengths").alias("len_min"), "bucket")
         blocks.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/blocks/seg={seg}")
@@ -224,7 +223,8 @@ class SegmentedIndex:
         zipped = F.inline(F.arrays_zip("docs", "tfs", "lengths", "positions"))
         spread = old.select("field", "term", F.col("seg").alias("old_seg"), "win", zipped).select("field", "term", "old_seg", (F.shiftleft("win", self.bits) + F.col("docs")).alias("old_docno"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"), "positions")
         postings = spread.join(numbered.select("old_seg", "old_docno", "win", "docno"), ["old_seg", "old_docno"])
-        self._write_blocks(seg, postings, numbered.count())
+        listed = postings.groupBy("field", "term", "win").agg(F.sort_array(F.collect_list(F.struct(self._offset(), "length", "positions"))).alias("d"))
+        self._write_blocks(seg, listed.select("field", "term", "win", _packed(F.col("d")).alias("p")), numbered.count())
         sizes = self._finish(seg, numbered, numbered.select("docno", "win", "link_id", *FIELDS))
         self._remove_work(numbered)
         e = self.entry
@@ -353,8 +353,9 @@ class SegmentedIndex:
 
     def _bounded(self, terms: list[str], df: dict, blend: str | None) -> DataFrame:
         """(seg, win, ub_rank, ub_score, rank_min): what no hit of a window exceeds, for windows with any of the terms."""
-        header = self.blocks(terms).select("field", "seg", "win", self._impact(df, F.col("tf_max").cast("double"), F.col("len_min").cast("double")).alias("s"))
-        score = header.groupBy("seg", "win", "field").agg(F.sum("s").alias("s")).groupBy("seg", "win").agg((F.max("s") * (1 + 1e-9)).alias("ub_score"))
+        header = self.blocks(terms).select("field", "term", "seg", "win", self._impact(df, F.col("tf_max").cast("double"), F.col("len_min").cast("double")).alias("s"))
+        # a window of very long texts has a term's block in parts
+        score = header.groupBy("seg", "win", "field", "term").agg(F.max("s").alias("s")).groupBy("seg", "win", "field").agg(F.sum("s").alias("s")).groupBy("seg", "win").agg((F.max("s") * (1 + 1e-9)).alias("ub_score"))
         met = score.join(self.bounds(), ["seg", "win"])
         s, r = F.col("ub_score"), F.col("rank_max")
         rank = {None: r, "sum": s + r, "multiply": F.greatest(s * (s + r), F.lit(0.0))}[blend]
