@@ -51,6 +51,15 @@ def test_a_repeated_id_is_one_document(spark, tmp_path):
     assert [r.link_id for r in found.phrase(["red", "blue"]).collect()] == ["a"]
 
 
+def test_a_phrase_is_found_by_number(spark, tmp_path):
+    """Ids come to the documents that hold the phrase; before, all postings of its terms were shuffled with their ids."""
+    docs = spark.createDataFrame([(f"{i}", "u", "red" if i % 2 else "of", "we read of the sea of" if i % 3 else "the of", None, 0.0) for i in range(12)], DOCUMENT).repartition(3)
+    hits = PostingsIndex(spark, f"file://{tmp_path}/x").write(docs).phrase(["of", "the"])
+    assert sorted(r.link_id for r in hits.collect()) == sorted(f"{i}" for i in range(12) if i % 3)
+    dealt = [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "field" in line]
+    assert dealt and all("docno" in line and "link_id" not in line for line in dealt)
+
+
 def test_parcels_hold_all_blocks(monkeypatch):
     rows = [(i // 4, i % 4 * 900, "" if i % 3 else f"t{i} same", " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(50)]
     want = expected(rows) | {("content", f"w{k}", 13, 0): (70_000, list(range(k, 70_000, 3))) for k in range(3)}
